@@ -1,12 +1,14 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import decontamination, media, mixing, sharding
+from . import decontamination, language, media, mixing, quality, sharding
 
 QUERIES = {
     "op1_hash_tree": sharding.op1_hash_tree,
     "op2_media_columns": media.op2_media_columns,
     "op3_suffix_search": decontamination.op3_suffix_search,
     "op5_source_mix": mixing.op5_source_mix,
+    "op6_additive_quality": quality.op6_additive_quality,
+    "op10_language_id": language.op10_language_id,
 }
 
 ORACLE_SQL = {
