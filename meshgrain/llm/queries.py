@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import decontamination, language, media, mixing, quality, sharding
+from . import decontamination, language, media, mixing, quality, sharding, shingle_join
 
 QUERIES = {
     "op1_hash_tree": sharding.op1_hash_tree,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_suffix_search": decontamination.op3_suffix_search,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_additive_quality": quality.op6_additive_quality,
+    "op7_jaccard_join": shingle_join.op7_jaccard_join,
     "op10_language_id": language.op10_language_id,
 }
 
