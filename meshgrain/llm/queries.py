@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import decontamination, language, line_dedup, media, mixing, quality, sharding, shingle_join
+from . import decontamination, language, line_dedup, media, mixing, quality, sharding, shingle_join, suffix_dedup
 
 QUERIES = {
     "op1_hash_tree": sharding.op1_hash_tree,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_source_mix": mixing.op5_source_mix,
     "op6_additive_quality": quality.op6_additive_quality,
     "op7_jaccard_join": shingle_join.op7_jaccard_join,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": language.op10_language_id,
 }
