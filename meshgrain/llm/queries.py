@@ -1,11 +1,12 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import decontamination, language, line_dedup, media, mixing, quality, sharding, shingle_join, suffix_dedup
+from . import decontamination, language, line_dedup, lm_scoring, media, mixing, quality, sharding, shingle_join, suffix_dedup
 
 QUERIES = {
     "op1_hash_tree": sharding.op1_hash_tree,
     "op2_media_columns": media.op2_media_columns,
     "op3_suffix_search": decontamination.op3_suffix_search,
+    "op4_attention_lm": lm_scoring.op4_attention_lm,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_additive_quality": quality.op6_additive_quality,
     "op7_jaccard_join": shingle_join.op7_jaccard_join,
