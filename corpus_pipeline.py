@@ -1,8 +1,71 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input.
 
-STAGES: list = []
+All stages but the last return the columns of documents. Clean documents stay: language identification lets go
+what it rejects (texts without a letter or a likely language), the Jaccard join keeps the document of least id of
+each group, decontamination lets go what has a benchmark window, mixing repeats or leaves out whole
+documents so that sources come near their targets, and sharding places what is left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshgrain.llm import decontamination, language, mixing, sharding, shingle_join
+from meshgrain.llm.shared import written
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the rows with a language, and keeps the documents whose prediction isn't rejected."""
+    model = language.fit(docs)
+    return language.predict(docs, model, keep=docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (5-word shingles, similarity of 0.75 or more) the document of least id.
+
+    Documents are told apart by id and text: rows that agree in both are one document. A text without words
+    is linked with nothing and stays.
+    """
+    key = F.concat_ws(":", F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), 20, "0"), F.md5(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("row_key", key)
+    groups = shingle_join.groups(keyed, id_col="row_key")
+    stay = groups.filter("row_key = component_id").select("row_key").distinct()
+    return keyed.join(stay, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lets go the documents with a verbatim benchmark window of 10 words."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents as the mix says; a fractional repetition is a whole one from one half on."""
+    carried = [f"c{i}" for i in range(len(docs.columns))]
+    named = docs.select(*docs.columns, *[F.col(c).alias(n) for c, n in zip(docs.columns, carried)])
+    mixed = mixing.mix(named, carry=carried)
+    times = F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    times = F.when(F.col("size") == 0, F.greatest(times, F.lit(1))).otherwise(times)  # a text without words costs nothing
+    rows = mixed.withColumn("times", times.cast("int")).filter("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, carried)])
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its region, rack and shard; repetitions of a document share a shard."""
+    return sharding.assign(docs, "doc_id", sharding.planned())
+
+
+STAGES = [("language_id", identify), ("jaccard_join", distinct), ("decontamination", decontaminate), ("source_mix", mix), ("sharding", shard)]
+
+#: Hashes and models that DuckDB doesn't have; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each but the last written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
