@@ -8,10 +8,12 @@ or more. Equal sets are one class from the start. The join goes in steps:
    frequency. A set that keeps less than `percent` of its shingles has no partner and is done.
 2. Relations between sets. Sets that share a minimum hash are compared with a few leaders of their group; links that
    hold are answers, and their components are taken. Two sets of one component need no comparison any more: the
-   answers of the one are derived from those of the other.
+   answers of the one are derived from those of the other. Where a group still has several components, the overlaps
+   of its sets are counted list by list, in pairs of blocks of bounded size, and its sets are done with each other.
 3. Lists. The rarest shingles of each set (its prefix, over all its shingles in the order of frequency) form the index
    lists. In a list, entries stand in the order of set size and in blocks; for a block, all blocks are skipped whose
-   sizes or positions rule out a match, or that hold the same component only; what is left are candidate pairs.
+   sizes or positions rule out a match, or that hold the same component only; what is left, and wasn't compared in
+   step 2, are candidate pairs.
 4. Candidates of different components are compared; links are added, and the components taken again.
 
 Shingles are 64-bit hashes of whole word sequences; 48 bits of them, and their bucket, are compared.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import written
-from .textio import BATCH_ROWS, LOWER, NOT_SPACE, Rolling, flat, mix, runs, words
+from .textio import BATCH_ROWS, LOWER, NOT_SPACE, Rolling, flat, mix, runs, sums, words
 
 _U = np.uint64
 #: Text bytes in a run of documents whose postings are packed together, and for each bucket of the index.
@@ -176,32 +178,74 @@ def _alike(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bool
 
 
 def _lead(table: pa.Table, percent: int) -> pa.Table:
-    """Links between the sets of a group and its leaders."""
+    """Links between the sets of a group and its leaders. What a link connects already isn't compared again."""
     sig, n = table.column("sig").to_pylist(), table.column("n").to_pylist()
     at = table.column("shingle").combine_chunks()
-    order = sorted(range(len(sig)), key=lambda i: (-n[i], sig[i]))
+    # the most central sets lead: those whose shingles are the commonest in the group
+    _, inverse, often = np.unique(at.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    cut = np.r_[0, np.cumsum([len(x) for x in at])]
+    central = sums(often[inverse], cut) / np.array(n)
+    order = sorted(range(len(sig)), key=lambda i: (-central[i], sig[i]))
     leaders: list[tuple[int, np.ndarray]] = []
+    root = list(range(len(sig)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
     links = []
     for i in order:
         own = np.sort(at[i].values.to_numpy())
-        met = 0
         for k, (j, other) in enumerate(leaders):
-            if 100 * n[i] >= percent * n[j] and _alike(own, n[i], other, n[j], percent):
+            if find(i) != find(j) and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]) and _alike(own, n[i], other, n[j], percent):
                 links.append((sig[i], sig[j]))
-                met += 1
-                leaders.insert(0, leaders.pop(k))
-                break
-        if not met and len(leaders) < LEADERS:
+                root[find(i)] = find(j)
+                if k > 8:
+                    leaders.insert(0, leaders.pop(k))
+        if root[i] == i and len(leaders) < LEADERS:
             leaders.append((i, own))
     return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
 
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the components of a group, of one block or of one with another: the overlaps of a set with all
+    others are counted along the group's lists of its shingles."""
+    sig, comp = table.column("sig").to_pylist(), table.column("comp").to_pylist()
+    n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
+    at = table.column("shingle").combine_chunks()
+    cut = np.r_[0, np.cumsum([len(x) for x in at])]
+    code = np.unique(at.flatten().to_numpy(), return_inverse=True)[1]
+    owner_ = np.repeat(np.arange(len(n)), np.diff(cut))
+    order = np.argsort(code, kind="stable")
+    lists, heads = owner_[order], np.searchsorted(code[order], np.arange(code.max() + 2))
+    label = np.unique(np.array(comp, object), return_inverse=True)[1]
+    size = np.bincount(label)
+    across = block.min() != block.max()
+    links = []
+    for i in np.flatnonzero(label != size.argmax()).tolist():
+        c = code[cut[i] : cut[i + 1]]
+        length = heads[c + 1] - heads[c]
+        both = np.bincount(lists[np.arange(length.sum()) + np.repeat(heads[c] - np.cumsum(length) + length, length)], minlength=len(n))
+        ok = (label != label[i]) & (100 * both >= percent * (n + n[i] - both))
+        if across:
+            ok &= block != block[i]
+        while ok.any():  # one link joins the components
+            j = int(ok.argmax())
+            links.append((sig[i], sig[j]))
+            label[label == label[j]] = label[i]
+            ok &= label != label[i]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+
 def _scan(table: pa.Table, percent: int, step: int = 64) -> pa.Table:
-    """Candidate pairs of an index list: of different components, by size and position. Blocks that can't match are skipped."""
+    """Candidate pairs of an index list: of different components and groups, by size and position. Blocks that can't
+    match are skipped."""
+    met = np.array(table.column("met").to_pylist(), np.int64)
     sig, comp = table.column("sig").to_pylist(), table.column("comp").to_pylist()
     n, pos = table.column("n").to_numpy(), table.column("pos").to_numpy()
     order = np.lexsort((pos, n))
-    n, pos = n[order], pos[order]
+    n, pos, met = n[order], pos[order], met[order]
     label = np.unique(np.array([comp[i] for i in order], object), return_inverse=True)[1]
     out_a, out_b = [], []
     heads = np.arange(0, len(n), step)
@@ -220,6 +264,8 @@ def _scan(table: pa.Table, percent: int, step: int = 64) -> pa.Table:
             ok = (xx < yy) & (label[xx] != label[yy]) & (100 * n[xx] >= percent * n[yy])
             ok &= np.minimum(pos[xx], pos[yy]) + np.minimum(n[xx] - pos[xx], n[yy] - pos[yy]) >= need(n[xx], n[yy])
             a, b = np.nonzero(ok)
+            new = (met[x[a]] != met[y[b]]).all(1)
+            a, b = a[new], b[new]
             out_a.append(x[a])
             out_b.append(y[b])
     a = order[np.concatenate(out_a)] if out_a else []
@@ -240,6 +286,11 @@ def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     return written(shared.groupBy("blob").applyInArrow(lambda t: _gather(t, percent), _SETS), "sets")
 
 
+def _minimum(column: str, k: int) -> F.Column:
+    """The k-th minimum hash of a set. The lambda takes one argument: a second would be the element's place."""
+    return F.array_min(F.transform(column, lambda s: F.xxhash64(s, F.lit(k))))
+
+
 def _verify(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
     x = found.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("shingle").alias("sa"))
@@ -249,6 +300,12 @@ def _verify(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def _labelled(sigs: DataFrame, links: DataFrame) -> DataFrame:
+    """(sig, comp): every set with its component, itself if it has no link."""
+    comps = components(links).select(F.col("vertex").alias("sig"), "component")
+    return sigs.join(comps, "sig", "left").select("sig", F.coalesce("component", "sig").alias("comp"))
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has (id as string, n, sig) for every document, links the verified (a, b) between
     signatures that make up the components. Equal sets share a signature; a set of 0 shingles links with nothing.
@@ -256,21 +313,30 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     """
     table = sets(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
     found = written(table.filter("shingle is not null").dropDuplicates(["sig"]).select("sig", "n", "shingle"), "survivors")
-    salted = [F.array_min(F.transform("shingle", lambda s, k=k: F.xxhash64(s, F.lit(k)))) for k in range(MINIMA)]
-    keyed = found.select("sig", F.posexplode(F.array(*salted)).alias("k", "min"))
+    salted = [_minimum("shingle", k) for k in range(MINIMA)]
+    minima = found.select("sig", *[m.alias(f"m{k}") for k, m in enumerate(salted)])
+    keyed = minima.select("sig", F.posexplode(F.array(*[f"m{k}" for k in range(MINIMA)])).alias("k", "min"))
     many = keyed.groupBy("k", "min").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    keyed = keyed.join(many, ["k", "min"]).select("sig", "k", "min", F.pmod(F.xxhash64("sig"), F.ceil(F.col("m") / BLOCK)).alias("salt"))
-    groups = keyed.join(found, "sig").groupBy("k", "min", "salt")
-    links = written(groups.applyInArrow(lambda t: _lead(t.select(["sig", "n", "shingle"]), percent), "a binary, b binary").distinct(), "leads")
-    comps = written(components(links), "components")
-    placed = found.join(comps.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    keyed = written(keyed.join(many, ["k", "min"]), "minima")
+    blocks = keyed.withColumn("salt", F.pmod(F.xxhash64("sig"), F.ceil(F.col("m") / BLOCK)))
+    first = written(blocks.join(found, "sig").groupBy("k", "min", "salt").applyInArrow(lambda t: _lead(t.select(["sig", "n", "shingle"]), percent), "a binary, b binary").distinct(), "leads")
+    own = written(_labelled(found.select("sig"), first), "components")
+    # groups of several components, in pairs of blocks
+    keyed = keyed.join(own, "sig")
+    apart = keyed.groupBy("k", "min").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("k", "min")
+    parts = F.ceil(F.col("m") / (2 * BLOCK)).cast("int")
+    pairs_of = keyed.join(apart, ["k", "min"]).withColumn("block", F.pmod(F.xxhash64("sig"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pairs_of = pairs_of.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    second = pairs_of.select("sig", "comp", "k", "min", "lo", "hi", "block").join(found, "sig").groupBy("k", "min", "lo", "hi").applyInArrow(lambda t: _compare(t.select(["sig", "comp", "n", "block", "shingle"]), percent), "a binary, b binary")
+    links = written(first.unionByName(second.distinct()), "leads")
+    placed = found.join(_labelled(found.select("sig"), links), "sig").join(minima.select("sig", F.array(*[f"m{k}" for k in range(MINIMA)]).alias("met")), "sig")
     # of n shingles the first n - ceil(n * percent / 100) + 1 by frequency; the unshared ones come before all
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     alone = F.col("n") - F.size("shingle")
-    lists = placed.select("sig", F.col("component").alias("comp"), "n", alone.alias("alone"), F.posexplode(F.slice("shingle", F.lit(1), (prefix - alone).cast("int"))).alias("p", "s"))
-    lists = lists.select("sig", "comp", "n", (F.col("p") + F.col("alone")).cast("long").alias("pos"), "s")
+    lists = placed.select("sig", "comp", "met", "n", alone.alias("alone"), F.posexplode(F.slice("shingle", F.lit(1), (prefix - alone).cast("int"))).alias("p", "s"))
+    lists = lists.select("sig", "comp", "met", "n", (F.col("p") + F.col("alone")).cast("long").alias("pos"), "s")
     mixed = lists.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("s")
-    pairs = written(lists.join(mixed, "s").groupBy("s").applyInArrow(lambda t: _scan(t.select(["sig", "comp", "n", "pos"]), percent), "a binary, b binary").distinct(), "pairs")
+    pairs = written(lists.join(mixed, "s").groupBy("s").applyInArrow(lambda t: _scan(t.select(["sig", "comp", "met", "n", "pos"]), percent), "a binary, b binary").distinct(), "pairs")
     more = _verify(pairs, found, percent)
     return table.select("id", "n", "sig"), written(links.unionByName(more), "links")
 
