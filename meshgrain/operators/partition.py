@@ -121,4 +121,4 @@ def colours(adjacency: DataFrame) -> DataFrame:
             out[v] = next(c for c in range(len(taken) + 1) if c not in taken)
         return pd.DataFrame({"vertex": list(out), "colour": list(out.values())}, dtype="int64")
 
-    return adjacency.select("i", "j").groupBy(F.lit(0)).applyInPandas(paint, "vertex long, colour long")
+    return adjacency.select("i", "j").withColumn("g", F.lit(0)).groupBy("g").applyInPandas(paint, "vertex long, colour long")

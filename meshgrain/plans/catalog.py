@@ -316,3 +316,100 @@ def jacobi_steps(spark, d):
         y = algebra.matvec(a, x).select("i", F.col("v").alias("y"))
         x = x.join(diag, "i").join(y, "i").select("i", (F.col("v") + 0.5 * (F.pmod("i", F.lit(3)) - F.col("y")) / F.col("d")).alias("v"))
     return x.select("i", F.round("v", 6).alias("v"))
+
+
+@query("select time_bucket(interval '1 hour', ts)::timestamp::varchar as start, event_type, count(value)::bigint n, round(avg(value), 5) mean, round(var_pop(value) * count(value), 5) varsum from events group by all")
+def event_statistics(spark, d):
+    """Count, mean and squared deviations of events by hour and type; an extension, with a stream's form beside it."""
+    from meshgrain.streaming import statistics
+
+    s = statistics.windowed(trade.table(spark, d, "events"), "ts", "event_type", "value")
+    return s.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("mean", 5).alias("mean"), F.round("varsum", 5).alias("varsum"))
+
+
+# --- what SQL can't say: kernels, hierarchies and samples on the graph of nations and on grids
+
+
+def _nation_graph(spark: SparkSession, d: str) -> DataFrame:
+    return topology.coarse_graph(trade.edges(spark, d), trade.by_nation(spark, d))
+
+
+def _region_partition(spark: SparkSession, d: str) -> DataFrame:
+    return trade.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("vertex"), F.col("n_regionkey").cast("long").alias("agg"))
+
+
+def _grid(spark: SparkSession, n: int = 12) -> tuple[DataFrame, DataFrame]:
+    """An n x n grid as edges with collected numbering, and its partition into blocks of 4 x 4."""
+    size = (n, n, 1)
+    cells = grids.cells(spark, size)
+    k = 1.0 + F.pmod("cell", F.lit(5))
+    edges = grids.two_point_weights(grids.cell_faces(cells, size, 2), cells.select("cell", *[k.alias(c) for c in ("kx", "ky", "kz")]), (1.0, 1.0, 1.0))
+    return grids.numbered(edges.filter("v1 is not null").select("edge", "v0", "v1", "w")), partition.cartesian(cells, (4, 4, 1), size)
+
+
+@query()
+def upscaled_nations(spark, d):
+    """Errors of the trade graph of nations upscaled to regions, for the flow between the first nation and the last."""
+    from meshgrain.operators import hierarchy, spectral
+
+    edges = _nation_graph(spark, d)
+    vertices = trade.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("vertex"))
+    h = hierarchy.Hierarchy.build(spectral.fine_system(edges, vertices), [_region_partition(spark, d)])
+    f = vertices.select(F.col("vertex").alias("i"), F.when(F.col("vertex") == 0, 1.0).when(F.col("vertex") == 24, -1.0).otherwise(0.0).alias("v"))
+    return spark.createDataFrame([tuple(h.errors(1, f).values())], "vertex double, edge double, div double, complexity double")
+
+
+@query()
+def fiedler_nations(spark, d):
+    """The second eigenvector of the graph of nations."""
+    from meshgrain.operators import hierarchy
+
+    return hierarchy.fiedler(_nation_graph(spark, d))
+
+
+@query()
+def small_world(spark, d):
+    return grids.small_world(spark, 1000, 40, 0.15, 7)
+
+
+@query()
+def grown_parts(spark, d):
+    """Connected parts grown over the trade graph."""
+    e = trade.edges(spark, d)
+    v = trade.by_nation(spark, d).select("vertex")
+    return partition.grow(e, v, partition.parts_for(v.count(), 64))
+
+
+@query()
+def face_colours(spark, d):
+    """Colours for nations, different for those with a face."""
+    return partition.colours(_nation_graph(spark, d).select(F.col("v0").alias("i"), F.col("v1").alias("j")))
+
+
+@query()
+def grid_levels(spark, d):
+    """A grid's hierarchy: dofs and nonzeros by level."""
+    from meshgrain.operators import hierarchy, spectral
+
+    edges, part = _grid(spark)
+    h = hierarchy.Hierarchy.build(spectral.fine_system(edges, part.select("vertex")), [part], spectral.Parameters(spectral_tolerance=1.0))
+    rows = [(k, s.vdofs.count(), s.edofs.count(), n) for k, (s, n) in enumerate(zip(h.systems, h.nonzeros()))]
+    return spark.createDataFrame(rows, "level int, vdofs long, edofs long, nonzeros long")
+
+
+@query()
+def monte_carlo(spark, d):
+    """Level statistics of the mean potential of a grid's left half under a random coefficient."""
+    import numpy as np
+
+    from meshgrain.operators import elements, hierarchy, montecarlo, spectral
+
+    edges, part = _grid(spark, 8)
+    w = part.select(F.col("vertex").alias("i"), F.col("vertex").alias("j"), F.lit(0.04).alias("v"))
+    h = hierarchy.Hierarchy.build(spectral.fine_system(edges, part.select("vertex"), w), [part], spectral.Parameters(spectral_tolerance=1.0))
+    fine = elements.fine_elements(edges)
+    ls = montecarlo.levels(h, [fine, elements.coarse_elements(fine, part, h.steps[0].s)])
+    free = [montecarlo.Level(**{**level.__dict__, "w": None}) for level in ls]
+    left = np.arange(64) % 8 < 4
+    q = montecarlo.functional(left / 64)(free)
+    return montecarlo.estimate(spark, free, montecarlo.Field(ls, 1.0, 5.0, seed=1), q, np.where(left, 1.0, -1.0), first=16)[1]

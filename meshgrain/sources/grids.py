@@ -49,7 +49,7 @@ def small_world(spark: SparkSession, n: int, degree: int, beta: float, seed: int
         pairs = sorted((a, b) for a in range(n) for b in friends[a] if b > a)
         return pd.DataFrame({"edge": range(len(pairs)), "v0": [p[0] for p in pairs], "v1": [p[1] for p in pairs], "w": 1.0})
 
-    return ring(spark, n, degree).groupBy(F.lit(0)).applyInPandas(rewire, "edge long, v0 long, v1 long, w double")
+    return ring(spark, n, degree).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(rewire, "edge long, v0 long, v1 long, w double")
 
 
 def cells(spark: SparkSession, size: tuple[int, int, int]) -> DataFrame:
