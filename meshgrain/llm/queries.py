@@ -37,4 +37,40 @@ r as (select d.doc_id, d.size, t.source_size, t.target,
 select doc_id, size, source_size, target,
        (whole * size + greatest(0, least(size, round(target - whole * source_size - before)::bigint)))::bigint as taken
 from r""",
+    "op3_suffix_search": r"""
+with low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+d as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from low),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bk as (select item_id, w, least(10, len(w)) k from b where len(w) > 0),
+win as (select distinct item_id, k, array_to_string(w[p:p + k - 1], ' ') g from (select *, unnest(range(1, len(w) - k + 2)) p from bk)),
+ks as (select distinct k from win),
+grams as (select doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) p from d, ks where len(w) >= k)),
+hits as (select doc_id, k, p, item_id from grams join win using (k, g)),
+n_hit as (select doc_id, count(distinct q)::bigint n from (select doc_id, unnest(range(p, p + k)) q from (select distinct doc_id, k, p from hits)) group by doc_id),
+items as (select doc_id, count(*)::bigint n, string_agg(i, ',' order by i) s from (select distinct doc_id, item_id::varchar i from hits) group by doc_id)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit.n, 0) n_hit, coalesce(items.n, 0) n_items, sha256(coalesce(items.s, '')) items_sha256, coalesce(n_hit.n, 0) > 0 contaminated
+from d left join n_hit using (doc_id) left join items using (doc_id)""",
+    "op7_jaccard_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+sh as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ')] end)) s from w where len(w) > 0),
+n as (select doc_id, count(*) n from sh group by doc_id),
+both_ as (select a.doc_id x, b.doc_id y, count(*) i from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (select x, y from both_ join n p on p.doc_id = x join n q on q.doc_id = y where 100 * i >= 75 * (p.n + q.n - i)),
+ends as (select x, y from link union all select y, x from link),
+reach as (select doc_id v, doc_id l from documents union select ends.y, reach.l from reach join ends on ends.x = reach.v where reach.l < ends.y),
+least_ as (select v, min(l) l from reach group by v)
+select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, l component_id from w left join n using (doc_id) join least_ on least_.v = w.doc_id""",
+    "op9_line_dedup": r"""
+with l as (select doc_id, unnest(string_split(lower(text), chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 k from documents),
+s as (select doc_id, k, list_sort(list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))) w from l),
+c as (select w, min({'d': doc_id, 'k': k}) f, row_number() over () id, len(w) n from s where len(w) > 0 group by w),
+tok as (select id, n, f, unnest(w) t from c),
+df as (select t, count(*) c from tok group by t),
+pre as (select id, n, t from tok join df using (t) qualify row_number() over (partition by id order by df.c, t) <= n - ceil(n * 0.75) + 1),
+cand as (select distinct a.id x, b.id y from pre a join pre b on a.t = b.t and a.id < b.id and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+pair as (select p.f fx, q.f fy, p.id x, q.id y from cand join c p on p.id = x join c q on q.id = y where 100 * len(list_intersect(p.w, q.w)) >= 75 * (p.n + q.n - len(list_intersect(p.w, q.w)))),
+late as (select distinct case when fx < fy then y else x end id from pair),
+g as (select s.doc_id, s.k, c.id is not null and (late.id is not null or c.f <> {'d': s.doc_id, 'k': s.k}) gone from s left join c on c.w = s.w left join late on late.id = c.id),
+o as (select doc_id, count(*)::bigint n_lines, count(*) filter (gone)::bigint n_removed, coalesce(string_agg(k::varchar, ',' order by k) filter (gone), '') removed from g group by doc_id)
+select d.doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_removed, 0)::bigint n_removed, coalesce(removed, '') removed from documents d left join o using (doc_id)""",
 }
