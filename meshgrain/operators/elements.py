@@ -129,3 +129,28 @@ def step_in_time(system: System, u: DataFrame, volumes: DataFrame, dt: float) ->
     return solve(System(system.vdofs, system.edofs, system.m, system.d, system.constant, w), f)
 
 
+
+
+def coefficient_components(system: System, partition: DataFrame, ps: DataFrame) -> DataFrame:
+    """(a, b, i, j, v): the coarse M in parts that don't depend on the coefficient, for a diagonal fine M: a = b for what
+    comes from the edofs inside an aggregate, a < b for those of a face."""
+    from .spectral import _placed
+
+    _, e = _placed(system, partition)
+    m = system.m.filter("i = j").select("i", F.col("v").alias("m")).join(e.select(F.col("edof").alias("i"), "a", "b"), "i")
+    x = ps.select("i", F.col("j").alias("ci"), F.col("v").alias("x"))
+    y = ps.select("i", F.col("j").alias("cj"), F.col("v").alias("y"))
+    out = m.join(x, "i").join(y, "i").groupBy("a", "b", "ci", "cj").agg(F.sum(F.col("m") * F.col("x") * F.col("y")).alias("v"))
+    return out.select("a", "b", F.col("ci").alias("i"), F.col("cj").alias("j"), "v")
+
+
+def assemble_components(components: DataFrame, coefficient: DataFrame) -> DataFrame:
+    """M for a coefficient (i = aggregate, v): an inside part divided by the coefficient, a face's by the mean of both sides'."""
+    a, b = (coefficient.select(F.col("i").alias(k), F.col("v").alias(f"c{k}")) for k in "ab")
+    z = components.join(a, "a").join(b, "b")
+    return z.groupBy("i", "j").agg(F.sum(F.col("v") * 2 / (F.col("ca") + F.col("cb"))).alias("v"))
+
+
+def diagonal_rescaling(h: DataFrame) -> DataFrame:
+    """(i, v): 1 / sqrt of a matrix's diagonal, to scale a system of multipliers."""
+    return h.filter("i = j").select("i", (1 / F.sqrt("v")).alias("v"))

@@ -413,3 +413,65 @@ def monte_carlo(spark, d):
     left = np.arange(64) % 8 < 4
     q = montecarlo.functional(left / 64)(free)
     return montecarlo.estimate(spark, free, montecarlo.Field(ls, 1.0, 5.0, seed=1), q, np.where(left, 1.0, -1.0), first=16)[1]
+
+
+def _grid_hierarchy(spark: SparkSession, n: int = 8):
+    """A hierarchy of a grid with W = 0.04, its levels as arrays, and the same without W."""
+    from meshgrain.operators import elements, hierarchy, montecarlo, spectral
+
+    edges, part = _grid(spark, n)
+    w = part.select(F.col("vertex").alias("i"), F.col("vertex").alias("j"), F.lit(0.04).alias("v"))
+    h = hierarchy.Hierarchy.build(spectral.fine_system(edges, part.select("vertex"), w), [part], spectral.Parameters(spectral_tolerance=1.0))
+    fine = elements.fine_elements(edges)
+    ls = montecarlo.levels(h, [fine, elements.coarse_elements(fine, part, h.steps[0].s)])
+    return h, ls, [montecarlo.Level(**{**level.__dict__, "w": None}) for level in ls]
+
+
+@query()
+def grid_upscaling(spark, d):
+    """Errors by level of a grid's flow between two corners."""
+    from meshgrain.operators import spectral
+    from meshgrain.plans import drivers
+
+    edges, part = _grid(spark)
+    f = grids.corner_wells(grids.cells(spark, (12, 12, 1)), (12, 12, 1))
+    return drivers.upscaling(edges, part.select("vertex"), [part], f, spectral.Parameters(spectral_tolerance=1.0))
+
+
+@query()
+def time_steps(spark, d):
+    """Two backward Euler steps of a grid's diffusion."""
+    from meshgrain.plans import drivers
+
+    h, _, _ = _grid_hierarchy(spark)
+    ids = spark.range(64).select(F.col("id").alias("i"))
+    return drivers.time_steps(h.systems[0], ids.withColumn("v", (F.col("i") == 0).cast("double")), ids.withColumn("v", F.lit(1.0)), 0.5, 2)
+
+
+@query()
+def field_statistics(spark, d):
+    """Mean and variance by aggregate of a random field's logarithm."""
+    from meshgrain.operators import montecarlo
+    from meshgrain.plans import drivers
+
+    return drivers.field_statistics(spark, montecarlo.Field(_grid_hierarchy(spark)[1], 1.0, 5.0, seed=2), 1, 200)
+
+
+@query()
+def nonlinear_iterations(spark, d):
+    """Iterations of Picard and Newton, on one level and on two."""
+    import numpy as np
+
+    from meshgrain.operators import nonlinear
+    from meshgrain.plans import drivers
+
+    return drivers.nonlinear_iterations(spark, _grid_hierarchy(spark)[2], nonlinear.Conductivity(0.5), np.where(np.arange(64) < 32, 0.2, -0.2))
+
+
+@query(_EE + ", r as (select n_nationkey::bigint n, n_regionkey::bigint r from nation) select 1 as level, v vertex, a agg from ve union all select 2, v, r from ve join r on r.n = ve.a")
+def topology_levels(spark, d):
+    """Nations and regions of all vertices."""
+    from meshgrain.plans import drivers
+
+    part = trade.by_nation(spark, d)
+    return drivers.topology_levels(trade.edges(spark, d), part.select("vertex"), [part, _region_partition(spark, d)])

@@ -116,3 +116,48 @@ def test_krylov():
     spd, sym, b = a @ a.T + np.eye(30), a + a.T, rng.normal(size=30)
     for m, solver in ((spd, krylov.conjugate_gradients), (sym, krylov.minres), (a, krylov.gmres)):
         assert np.linalg.norm(m @ solver(lambda x: m @ x, b).x - b) < 1e-5
+
+
+def test_components_of_the_coefficient(spark, grid):
+    edges, part, h, el = grid
+    parts = elements.coefficient_components(h.systems[0], part, h.steps[0].s)
+    n = h.systems[1].edofs.count()
+    one = spark.createDataFrame([(a, 1.0) for a in range(4)], "i long, v double")
+    assert np.allclose(matrix(elements.assemble_components(parts, one), n, n), matrix(h.systems[1].m, n, n))
+    # a constant coefficient agrees with the elements; faces go by the mean of both sides
+    three = one.withColumn("v", F.lit(3.0))
+    assert np.allclose(matrix(elements.assemble_components(parts, three), n, n), matrix(elements.assemble(el[1], three), n, n))
+
+
+def test_studies(spark, grid):
+    from meshgrain.operators import nonlinear
+    from meshgrain.plans import drivers
+
+    edges, part, h, el = grid
+    whole = hierarchy.Hierarchy.build(spectral.fine_system(edges, part.select("vertex")), [part], spectral.Parameters(spectral_tolerance=1.0))
+    a = matrix(algebra.congruence(algebra.transpose(whole.systems[0].d), whole.systems[0].m.select("i", (1 / F.col("v")).alias("v"))), 64, 64)
+    x = spark.createDataFrame([(i, float(i // 8) - 3.5 + 0.1 * (i % 3)) for i in range(64)], "i long, v double")
+    exact = np.linalg.eigvalsh(a)[1]
+    assert abs(drivers.inverse_power(whole, 0, x, 8) / exact - 1) < 0.05
+    assert abs(drivers.inverse_power(whole, 1, x, 8) / exact - 1) < 0.15
+    ls = montecarlo.levels(h, el)
+    s = drivers.field_statistics(spark, montecarlo.Field(ls, 1.0, 5.0, seed=2), 1, 100).toPandas()
+    assert len(s) == 4 and (s.n == 100).all() and (s["mean"].abs() < 1).all()
+    plain = [montecarlo.Level(**{**l.__dict__, "w": None}) for l in ls]
+    t = drivers.nonlinear_iterations(spark, plain, nonlinear.Conductivity(0.5), np.where(np.arange(64) < 32, 0.2, -0.2)).toPandas()
+    assert len(t) == 4 and (t.residual < 1e-7).all()
+
+
+def test_preconditioners():
+    from meshgrain.operators import kernels
+
+    n = 40
+    a = 2 * np.eye(n) - np.eye(n, k=1) - np.eye(n, k=-1)
+    blocks = [np.arange(k, k + 4) for k in range(0, n, 4)]
+    coarse = np.kron(np.eye(10), np.ones((4, 1)))
+    b = np.arange(n, dtype=float)
+    plain, jacobi, two = (krylov.conjugate_gradients(lambda x: a @ x, b, p) for p in (lambda r: r, kernels.block_jacobi(a, blocks), kernels.two_level(a, blocks, coarse)))
+    assert all(np.linalg.norm(a @ s.x - b) < 1e-5 for s in (plain, jacobi)) and jacobi.iterations < plain.iterations
+    assert np.linalg.norm(a @ two.x - b) < 1e-4 or two.iterations < plain.iterations
+    unit = np.ones(3) / np.sqrt(3)
+    assert np.allclose(unit @ kernels.deflate(np.eye(3), unit), 0) and kernels.beside(unit, np.eye(3)).shape == (3, 3)
