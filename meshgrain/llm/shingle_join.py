@@ -86,7 +86,7 @@ def _post(batches, width: int, buckets: int):
             blob += 1
             seen: dict[bytes, int] = {}
             kept, own = [], []
-            for s in shingles(part.column("body"), width):
+            for s in (s for piece in runs(part, "body") for s in shingles(piece.column("body"), width)):
                 g = signature(s)
                 if g not in seen:
                     seen[g] = len(kept)
