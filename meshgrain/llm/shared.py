@@ -1,24 +1,5 @@
-"""Tables written to the folder that driver and executors share, to cut lineage and to read a result twice."""
+"""Tables in the folder that driver and executors share, under the name that the operators use."""
 
-from __future__ import annotations
+from ..sources.checkpoints import written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset, as in tests, a temporary folder becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='meshgrain-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: it survives lost executors."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["written"]

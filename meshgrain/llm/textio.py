@@ -6,6 +6,7 @@ exact for UTF-8: all bytes of a multi-byte character are 0x80 or more.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,21 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+
+
+def _frugal() -> None:
+    """Lets the allocator give large arrays back at once: else a worker keeps the most that it ever used, and several idle
+    workers share a machine. Without glibc nothing changes."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # arrays from 4 MB on are mapped, and unmapped when they go
+        libc.mallopt(-1, 16 << 20)  # free memory at the heap's end beyond 16 MB goes back
+    except OSError:
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_frugal()
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
