@@ -225,6 +225,17 @@ def test_lm_odd_rows(odd, empty):
     assert (nothing.n_known == 0).all() and (nothing.train_tokens == 0).all()
 
 
+def test_lm_distributions_rest_on_all_text(spark):
+    """Every subword of the training texts has more than the prior, wherever in them it occurs."""
+    names = ["red", "blue", "green", "black", "white", "brown", "orange", "yellow", "silver", "gold", "water", "stone"]
+    texts = [f"the {w} " * 20 for w in names] + ["the " * 300 + "house " * 20 + "the " * 300 + "river " * 20]
+    m = lm_scoring.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sample_docs=1)
+    ids, at = lm_scoring.subwords(lm_scoring.VOCABULARY).encode([w.encode() for w in [*names, "house", "river", "purple"]])
+    share = m.t[ids].sum(1)
+    assert (share[: at[-2]] > 2 * share[at[-2]]).all()
+    assert m.words == sum(len(t.split()) + 1 for t in texts)
+
+
 # --- 5 mixing
 
 
