@@ -236,6 +236,18 @@ def test_lm_distributions_rest_on_all_text(spark):
     assert m.words == sum(len(t.split()) + 1 for t in texts)
 
 
+def test_lm_long_tokens_have_no_floor(spark):
+    """A text without blanks that isn't in training is the less probable the longer it is; the rest are as before."""
+    rng = np.random.default_rng(0)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 60000))
+    rows = [(0, "some words to learn from"), (1, text[:3000]), (2, text[:6000]), (3, text)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_scoring.score(d, d.doc_id > 0).toPandas().set_index("doc_id").score
+    assert np.isfinite(got).all()
+    assert got[1] < -1000 and 1.8 < got[2] / got[1] < 2.2 and 18 < got[3] / got[1] < 22
+    assert np.allclose(lm_scoring._mixed(np.array([2, 0]), 8, np.array([-2.0, -5000.0])), [math.log10(0.125 + 0.005), -5000 + math.log10(0.5)])
+
+
 # --- 5 mixing
 
 
