@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import algebra, kernels, partition, spectral, topology
 
-#: Levels of at most so many dofs are solved densely on the driver; beyond, by conjugate gradients over tables.
+#: Levels of at most so many dofs are solved densely on the driver; beyond, over tables: by conjugate gradients where M is
+#: diagonal, by minimal residuals elsewhere.
 LOCAL_DOFS = 6000
 
 
@@ -100,7 +101,7 @@ def solve(system: spectral.System, f: DataFrame, g: DataFrame | None = None) ->
     spark = f.sparkSession
     nv, ne = system.vdofs.count(), system.edofs.count()
     if nv + ne > LOCAL_DOFS:
-        return conjugate_gradients(system, f)
+        return (conjugate_gradients if algebra.is_diagonal(system.m) else minimal_residuals)(system, f, g)
     v = np.sort(system.vdofs.select("vdof").toPandas()["vdof"].to_numpy())
     e = np.sort(system.edofs.select("edof").toPandas()["edof"].to_numpy())
     w = _local(system.w, v, v) if system.w is not None else None
@@ -108,19 +109,25 @@ def solve(system: spectral.System, f: DataFrame, g: DataFrame | None = None) ->
     return _table(spark, e, s), _table(spark, v, u)
 
 
-def conjugate_gradients(system: spectral.System, f: DataFrame, tolerance: float = 1e-9, most: int = 500) -> tuple[DataFrame, DataFrame]:
-    """The same over tables, for a diagonal M: (D M^-1 D^T + W) u = -f with a diagonal preconditioner, and
-    sigma = -M^-1 D^T u. Each iteration's vectors are written to the shared folder."""
+def _zeros(dofs: DataFrame, dof: str) -> DataFrame:
+    return dofs.select(F.col(dof).alias("i"), F.lit(0.0).alias("v")).distinct()
+
+
+def conjugate_gradients(system: spectral.System, f: DataFrame, g: DataFrame | None = None, tolerance: float = 1e-9, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The same over tables, for a diagonal M: (D M^-1 D^T + W) u = D M^-1 g - f with a diagonal preconditioner, and
+    sigma = M^-1 (g - D^T u). Each iteration's vectors are written to the shared folder."""
     from ..sources.checkpoints import written
 
     if not algebra.is_diagonal(system.m):
-        raise ValueError("large levels are solved over tables only where M is diagonal")
+        raise ValueError("conjugate gradients need a diagonal M; minimal_residuals takes others")
     minv = system.m.select("i", (1 / F.col("v")).alias("v"))
     a = algebra.congruence(algebra.transpose(system.d), minv)
     a = written(algebra.combine((1.0, a), (1.0, system.w)) if system.w is not None else a, "schur")
     diag = a.filter("i = j").select("i", F.col("v").alias("d"))
     b = system.constant.select("i", "v") if system.w is None else None
-    r = f.select("i", (-F.col("v")).alias("v"))
+    own = algebra.rescale(g.select("i", "v"), minv) if g is not None else None
+    parts = [(1.0, _zeros(system.vdofs, "vdof")), (-1.0, f.select("i", "v"))]
+    r = algebra.combine(*parts, *([(1.0, algebra.matvec(system.d, own))] if own is not None else []))
     r = algebra.minus_projection(r, b) if b is not None else r
     state = r.join(diag, "i").select("i", F.col("v").alias("r"), F.lit(0.0).alias("x"), (F.col("v") / F.col("d")).alias("p"), "d")
     state = written(state, "cg")
@@ -136,10 +143,58 @@ def conjugate_gradients(system: spectral.System, f: DataFrame, tolerance: float
         now = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
         state = state.select("i", "r", "x", (F.col("r") / F.col("d") + now / rz * F.col("p")).alias("p"), "d")
         rz = now
+    if rz > tolerance**2 * start:
+        raise RuntimeError(f"conjugate gradients: residual {(rz / start) ** 0.5:.1e} of the first after {most} iterations, above {tolerance:.1e}")
     u = state.select("i", F.col("x").alias("v"))
     u = written(algebra.minus_projection(u, b) if b is not None else u, "u")
-    s = algebra.rescale(algebra.matvec(system.d, u, transposed=True), minv).select("i", (-F.col("v")).alias("v"))
-    return s, u
+    parts = [(1.0, _zeros(system.edofs, "edof")), (-1.0, algebra.rescale(algebra.matvec(system.d, u, transposed=True), minv))]
+    return algebra.combine(*parts, *([(1.0, own)] if own is not None else [])), u
+
+
+def minimal_residuals(system: spectral.System, f: DataFrame, g: DataFrame | None = None, tolerance: float = 1e-10, most: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """The same over tables, for any M: both equations as one symmetric system, preconditioned by the diagonals of M and of
+    D diag(M)^-1 D^T + W. Edofs are numbered 2 i + 1 and vdofs 2 i in it."""
+    from ..sources.checkpoints import written
+
+    edge, vertex = (lambda c: F.col(c) * 2 + 1), (lambda c: F.col(c) * 2)
+    block = lambda m, i, j, sign=1.0: m.select(i("i").alias("i"), j("j").alias("j"), (sign * F.col("v")).alias("v"))
+    stacked = lambda x, i, sign=1.0: x.select(i("i").alias("i"), (sign * F.col("v")).alias("v"))
+    a = block(system.m, edge, edge).unionByName(block(system.d, vertex, edge)).unionByName(block(algebra.transpose(system.d), edge, vertex))
+    a = written(a.unionByName(block(system.w, vertex, vertex, -1.0)) if system.w is not None else a, "mixed")
+    m = system.m.filter("i = j").groupBy("i").agg(F.sum("v").alias("v"))
+    schur = system.d.join(m.select(F.col("i").alias("j"), F.col("v").alias("s")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("v") / F.col("s")).alias("v"))
+    schur = algebra.combine((1.0, schur), (1.0, system.w.filter("i = j").select("i", "v"))) if system.w is not None else schur
+    scale = stacked(m, edge).unionByName(stacked(schur, vertex)).select("i", F.col("v").alias("d"))
+    right = algebra.combine((1.0, _zeros(system.vdofs, "vdof")), (1.0, f.select("i", "v")))
+    right = algebra.minus_projection(right, system.constant) if system.w is None else right
+    left = algebra.combine((1.0, _zeros(system.edofs, "edof")), *([(1.0, g.select("i", "v"))] if g is not None else []))
+    v = stacked(left, edge).unionByName(stacked(right, vertex)).join(scale, "i")
+    state = written(v.select("i", "d", "v", *(F.lit(0.0).alias(c) for c in ("v0", "w", "w0", "x"))), "minres")
+    norm = lambda t: (t.agg(F.sum(F.col("v") * F.col("v") / F.col("d"))).first()[0] or 0.0) ** 0.5
+    old, now = 1.0, norm(state)
+    eta, start = now, now
+    s0, s1, c0, c1 = 0.0, 0.0, 1.0, 1.0
+    for _ in range(most):
+        if abs(eta) <= tolerance * start:
+            break
+        state = state.withColumn("z", F.col("v") / F.col("d") / now)
+        az = algebra.matvec(a, state.select("i", F.col("z").alias("v"))).select("i", F.col("v").alias("az"))
+        state = written(state.join(az, "i"), "minres")
+        delta = state.agg(F.sum(F.col("az") * F.col("z"))).first()[0]
+        state = state.withColumns({"v": F.col("az") - delta / now * F.col("v") - now / old * F.col("v0"), "v0": F.col("v")}).drop("az")
+        new = norm(state)
+        a0 = c1 * delta - c0 * s1 * now
+        a1, a2, a3 = (a0 * a0 + new * new) ** 0.5, s1 * delta + c0 * c1 * now, s0 * now
+        s0, s1, c0, c1 = s1, new / a1, c1, a0 / a1
+        w = (F.col("z") - a3 * F.col("w0") - a2 * F.col("w")) / a1
+        state = state.withColumns({"w": w, "w0": F.col("w"), "x": F.col("x") + c1 * eta * w}).drop("z")
+        eta, old, now = -s1 * eta, now, new
+    if abs(eta) > tolerance * start:
+        raise RuntimeError(f"minimal residuals: residual {abs(eta) / start:.1e} of the first after {most} iterations, above {tolerance:.1e}")
+    state = written(state, "solution")
+    s = state.filter("i % 2 <> 0").select(((F.col("i") - 1) / 2).cast("long").alias("i"), F.col("x").alias("v"))
+    u = state.filter("i % 2 = 0").select((F.col("i") / 2).cast("long").alias("i"), F.col("x").alias("v"))
+    return s, algebra.minus_projection(u, system.constant) if system.w is None else u
 
 
 def fiedler(edges: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Spectral coarsening against published values and algebraic identities."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 
@@ -40,6 +42,26 @@ def test_tiny_solutions(spark, weighted, with_w):
         assert np.allclose([u[i] for i in range(6)], SOLUTIONS[weighted, with_w], atol=1e-8)
 
 
+@pytest.mark.parametrize("diagonal,with_w", [(True, False), (True, True), (False, False), (False, True)])
+def test_both_solvers_agree(spark, monkeypatch, diagonal, with_w):
+    """The same call has the same flux and potential on both sides of LOCAL_DOFS, with g, and f without its zeros."""
+    w = spark.createDataFrame([(i, i, float(i + 1)) for i in range(6)], "i long, j long, v double") if with_w else None
+    system = spectral.fine_system(tiny(spark, True), vertices(spark, 6), w)
+    if not diagonal:
+        more = spark.createDataFrame([(i, j, 0.02) for i in range(6) for j in (i, i + 1)] + [(i + 1, i, 0.02) for i in range(6)], "i long, j long, v double")
+        system = dataclasses.replace(system, m=algebra.combine((1.0, system.m), (1.0, more)))
+    f = spark.createDataFrame([(0, 1.0), (3, -1.0)], "i long, v double")
+    g = spark.createDataFrame([(e, 0.5 * e - 1) for e in range(1, 7)], "i long, v double")
+    near = hierarchy.solve(system, f, g)
+    monkeypatch.setattr(hierarchy, "LOCAL_DOFS", 0)
+    for a, b in zip(near, hierarchy.solve(system, f, g)):
+        x, y = ({r.i: r.v for r in t.collect()} for t in (a, b))
+        assert x.keys() == y.keys() and all(abs(x[i] - y[i]) < 1e-7 for i in x)
+    solver = hierarchy.conjugate_gradients if diagonal else hierarchy.minimal_residuals
+    with pytest.raises(RuntimeError, match="after 1 iterations"):
+        solver(system, f, g, most=1)
+
+
 def test_tiny_two_levels(spark):
     edges = tiny(spark, True)
     part = spark.createDataFrame([(v, v // 3) for v in range(6)], "vertex long, agg long")
