@@ -16,6 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textio import free
+
 
 class Shard(NamedTuple):
     shard: int
@@ -56,11 +58,11 @@ def _inside(parent: Column, choices: dict[int, Column]) -> Column:
 
 
 def assign(df: DataFrame, key: str, tree: Sequence[Shard], prefix: str = "") -> DataFrame:
-    """Adds region, rack and shard (names after `prefix`) to every row.
+    """Adds region, rack and shard (names after `prefix`) to every row, as its last columns.
 
     Key: any column that hashes; rows with equal keys share a shard, null is a key like any other. Weights
-    are positive; a shard number occurs once. Every row gets a shard; an empty table stays empty; a column
-    that already has one of the three names is replaced.
+    are positive; a shard number occurs once. Every row gets a shard; an empty table stays empty. A column of df that
+    has one of the three names keeps its values: the added one gets an underscore before its name.
     """
     if not tree or any(s.weight <= 0 for s in tree) or len({s.shard for s in tree}) < len(tree):
         raise ValueError("a tree has shards of positive weights, each number once")
@@ -71,7 +73,8 @@ def assign(df: DataFrame, key: str, tree: Sequence[Shard], prefix: str = "") ->
         regions[s.region] += s.weight
         racks[s.region][s.rack] += s.weight
         shards[s.rack][s.shard] = s.weight
-    k, r, a, n = F.col(f"`{key}`"), f"{prefix}region", f"{prefix}rack", f"{prefix}shard"
+    k = F.col(f"`{key}`")
+    r, a, n = (free(f"{prefix}{x}", df.columns) for x in ("region", "rack", "shard"))
     df = df.withColumn(r, _least(k, "region", regions))
     df = df.withColumn(a, _inside(F.col(r), {x: _least(k, "rack", w) for x, w in racks.items()}))
     return df.withColumn(n, _inside(F.col(a), {x: _least(k, "shard", w) for x, w in shards.items()}))
@@ -82,7 +85,8 @@ def slots(df: DataFrame, shard: str, key: Sequence[str], buckets: int = 512) ->
 
     A shard's rows are numbered in the order of (hash bucket of the key columns, key columns). Only one
     bucket of a shard meets in a task, and bucket sizes are added up in a table of shards x buckets rows.
-    Rows that agree in all key columns take their places in any order.
+    Rows that agree in all key columns take their places in any order; nulls are values like others. A column `slot`
+    of df keeps its values: the added one gets an underscore before its name.
     """
     cut = df.withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int"))
     count = cut.groupBy(F.col(shard).alias("__s"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
@@ -90,8 +94,9 @@ def slots(df: DataFrame, shard: str, key: Sequence[str], buckets: int = 512) ->
     count = count.select("__s", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     own = Window.partitionBy(shard, "__bucket").orderBy(*key)
     ranked = cut.withColumn("__own", F.row_number().over(own) - 1)
-    out = ranked.join(count, (F.col(shard) == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    return out.withColumn("slot", (F.col("__before") + F.col("__own")).cast("long")).drop("__bucket", "__s", "__b", "__before", "__own")
+    # the table of counts has shards x buckets rows, whatever the input
+    out = ranked.join(F.broadcast(count), (F.col(shard) == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    return out.withColumn(free("slot", df.columns), (F.col("__before") + F.col("__own")).cast("long")).drop("__bucket", "__s", "__b", "__before", "__own")
 
 
 def op1_hash_tree(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-
 def _frugal() -> None:
     """Lets the allocator give large arrays back at once: else a worker keeps the most that it ever used, and several idle
     workers share a machine. Without glibc nothing changes."""
@@ -147,19 +146,34 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ... instead of its own, and each one's new name: what is added can't clash with them.
+    toDF(*df.columns) of the same columns brings the names back."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores before it as it takes to be none of those."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def map_text(df: DataFrame, text_col: str, keep: list[str], out: str, make: Callable[[], Callable], limit: int = RUN_BYTES, more: dict | None = None) -> DataFrame:
     """Adds columns that a function makes from whole texts, in Arrow batches.
 
     make() runs once in each task and returns a function from a record batch with column `body` (and one
     for each of `more`, name to Column) to arrays for the columns of the DDL string `out`, one row for
-    each row. The columns `keep` are carried along under private names, so theirs may be any. The
-    session's Arrow batches are held to BATCH_ROWS rows.
+    each row. The columns `keep` are carried along under private names, so theirs may be any; where one has the
+    name of an added column, the added one gets an underscore before it. The session's Arrow batches are held to
+    BATCH_ROWS rows.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     carried = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     inner = df.select(*carried, F.col(f"`{text_col}`").cast("string").alias("body"), *[c.alias(n) for n, c in (more or {}).items()])
     made = _parse_datatype_string(out)
-    kept = [f.name for f in inner.schema.fields[: len(keep)]]
+    kept = inner.columns[: len(keep)]
     schema = StructType([StructField(f.name, f.dataType, True) for f in [*inner.schema.fields[: len(keep)], *made.fields]])
 
     def run(batches):
@@ -169,4 +183,4 @@ def map_text(df: DataFrame, text_col: str, keep: list[str], out: str, make: Call
                 got = f(part)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *got], names=[*kept, *made.names])
 
-    return inner.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(n) for n in made.names])
+    return inner.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(n).alias(free(n, keep)) for n in made.names])

@@ -465,3 +465,43 @@ def test_language(spark, odd, empty):
     assert language.predict(empty, model, keep=["doc_id"]).count() == 0
     assert language.fit(empty) is None
     assert {r.lang_pred for r in language.predict(odd, None, keep=["doc_id"]).collect()} == {"und"}
+
+
+def test_contamination_in_many_passes(spark, odd):
+    """More blocks than one pass holds give the same rows, in any order."""
+    items = [(1, "Fox jumps over"), (2, None), (4, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem"), (5, "fox jumps over"), (6, "not in there at all"), (7, "lazy dog")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"], sorted((s["item"], s["item_start"], s["doc_start"], s["n_words"]) for s in r.spans)) for r in df.collect())
+    assert rows(decontamination.contamination(odd, bench, block_bytes=10, held=2)) == rows(decontamination.contamination(odd, bench))
+
+
+def test_longest_matches(spark, sf, docs, odd, empty):
+    """Each test suffix's longest match over all documents, against a search of every document."""
+    from pyspark.sql import functions as F
+
+    bench = spark.createDataFrame([(1, "zzz fox jumps over the lazy cat"), (2, None), (3, "word Lorem ipsum dolor"), (4, "fox jumps over the lazy cat")], "item_id long, text string")
+    texts = [(r.doc_id, ALNUM.findall(lower(r.text))) for r in odd.collect()]
+    want = {}
+    for item, text in bench.collect():
+        w = ALNUM.findall(lower(text))
+        for k in range(len(w)):
+            best = None
+            for i, t in texts:
+                for p in range(len(t)):
+                    n = 0
+                    while k + n < len(w) and p + n < len(t) and w[k + n] == t[p + n]:
+                        n += 1
+                    if n and (best is None or (-n, i is None, i, p) < best):
+                        best = (-n, i is None, i, p)
+            if best:
+                want[str(item), k] = (-best[0], best[2], best[3])
+    got = decontamination.longest_matches(odd, bench, block_bytes=20).collect()
+    assert {(r["item"], r.item_start): (r.n_words, r.doc_id, r.doc_start) for r in got} == want and len(got) == len(want)
+    assert decontamination.longest_matches(empty, bench).count() == 0 and decontamination.longest_matches(odd, bench.limit(0)).count() == 0
+    # on whole tables: what is contaminated has a match of a window's length, and such a match is in a contaminated document
+    d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    hit = decontamination.contamination(d, b).filter("n_hit > 0")
+    long = decontamination.longest_matches(d, b).filter("n_words >= 10")
+    assert long.join(hit, "doc_id", "left_anti").isEmpty() and hit.isEmpty() == long.isEmpty()
+    spans = hit.select("doc_id", F.explode("spans").alias("s")).agg(F.max("s.n_words")).first()[0]
+    assert spans == long.agg(F.max("n_words")).first()[0]
