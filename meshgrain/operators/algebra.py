@@ -6,12 +6,14 @@ splits skewed join keys. Entries that cancel stay as explicit zeros unless dropp
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import written
+
 
 def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
@@ -81,11 +83,39 @@ def constant(a: DataFrame, value: float) -> DataFrame:
     return a.select("i", "j", F.lit(float(value)).alias("v"))
 
 
-def outer(factor: float, x: DataFrame) -> DataFrame:
-    """factor x x^T of a small vector, in one task's memory at most: x is a local vector."""
-    row = x.agg(F.collect_list(F.struct("i", "v")).alias("x"))
-    pair = row.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q"))
-    return pair.select(F.col("p.i").alias("i"), F.col("q.i").alias("j"), (F.lit(factor) * F.col("p.v") * F.col("q.v")).alias("v"))
+def outer(factor: float, x: DataFrame, pattern: DataFrame) -> DataFrame:
+    """factor x x^T on the entries of a pattern (i, j)."""
+    u, w = x.select("i", F.col("v").alias("u")), x.select(F.col("i").alias("j"), F.col("v").alias("w"))
+    return pattern.select("i", "j").join(u, "i").join(w, "j").select("i", "j", (F.lit(float(factor)) * F.col("u") * F.col("w")).alias("v"))
+
+
+def pattern(a: DataFrame) -> DataFrame:
+    """(i, j): where a matrix has entries."""
+    return a.select("i", "j")
+
+
+def transposed_product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(A B)^T."""
+    return multiply(transpose(b), transpose(a))
+
+
+def pick_columns(a: DataFrame, columns: DataFrame) -> DataFrame:
+    """All rows of the columns (id, pos), renumbered to pos."""
+    return a.join(columns.select(F.col("id").alias("j"), F.col("pos").alias("to")), "j").select("i", F.col("to").alias("j"), "v")
+
+
+def block_vector(x: DataFrame, block: int) -> DataFrame:
+    """One block of a block vector (block, i, v)."""
+    return x.filter(F.col("block") == block).select("i", "v")
+
+
+def stacked(*blocks: DataFrame) -> DataFrame:
+    """(block, i, v): vectors as blocks, numbered from 0."""
+    out = None
+    for k, x in enumerate(blocks):
+        part = x.select(F.lit(k).alias("block"), "i", "v")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def add_block(a: DataFrame, block: DataFrame, rows: DataFrame, columns: DataFrame, factor: float = 1.0) -> DataFrame:
@@ -118,8 +148,11 @@ def block_of(a: DataFrame, part: DataFrame, inside: bool = True) -> DataFrame:
     return both.filter((F.col("part_i") == F.col("part_j")) == F.lit(inside)).select("i", "j", "v")
 
 
-def row(a: DataFrame, i: int) -> DataFrame:
-    return a.filter(F.col("i") == i).select("j", "v")
+def extract_parts(a: DataFrame, places: DataFrame) -> DataFrame:
+    """(g, i, j, v): of each group g the submatrix of its rows and columns, renumbered; places are (g, id, pos)."""
+    r = places.select("g", F.col("id").alias("i"), F.col("pos").alias("ri"))
+    c = places.select("g", F.col("id").alias("j"), F.col("pos").alias("cj"))
+    return a.join(r, "i").join(c, ["g", "j"]).select("g", F.col("ri").alias("i"), F.col("cj").alias("j"), "v")
 
 
 def rows_as_lists(a: DataFrame) -> DataFrame:
@@ -207,12 +240,24 @@ def divergence_error(d: DataFrame, x: DataFrame, fine: DataFrame) -> DataFrame:
     return relative_error(matvec(d, x), matvec(d, fine))
 
 
-def squared_distances(vectors: DataFrame, group: Column, id_col: str, array_col: str) -> DataFrame:
-    """(k, l, v), k > l: the squared distances of the vectors of each group."""
+def squared_distances(vectors: DataFrame, group: Column, id_col: str, array_col: str, weights: Sequence[float] | None = None, norms: bool = False) -> DataFrame:
+    """(k, l, v), k > l: the squared distances of the vectors of each group, in a weighted inner product if weights are
+    given; with `norms` also k = l, the squared norms."""
     a = vectors.select(group.alias("g"), F.col(id_col).alias("k"), F.col(array_col).alias("x"))
     b = vectors.select(group.alias("g"), F.col(id_col).alias("l"), F.col(array_col).alias("y"))
-    d = F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, t: s + t)
-    return a.join(b, "g").filter("k > l").select("k", "l", d.alias("v"))
+    add = lambda s, t: s + t
+
+    def total(squares: Column) -> Column:
+        if weights is not None:
+            squares = F.zip_with(squares, F.array(*[F.lit(float(w)) for w in weights]), lambda s, w: s * w)
+        return F.aggregate(squares, F.lit(0.0), add)
+
+    d = total(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))))
+    out = a.join(b, "g").filter("k > l").select("k", "l", d.alias("v"))
+    if norms:
+        own = total(F.transform("x", lambda p: p.cast("double") * p.cast("double")))
+        out = out.unionByName(a.select("k", F.col("k").alias("l"), own.alias("v")))
+    return out
 
 
 def power_iterate(a: Callable[[DataFrame], DataFrame] | DataFrame, x: DataFrame, steps: int = 1000, tolerance: float = 1e-8, cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[float, DataFrame]:
@@ -233,7 +278,31 @@ def power_iterate(a: Callable[[DataFrame], DataFrame] | DataFrame, x: DataFrame,
     return value, x
 
 
-def offsets(sizes: DataFrame, key: str, size: str) -> DataFrame:
-    """Exclusive prefix sums over a table of parts: (key, size, start)."""
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(key, size, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long").alias("start"))
+def _bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Adds __b, a number that rises with a numeric key: its place among quantiles, which are constants of the plan."""
+    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.5 / parts)))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    return df.withColumn("__b", place)
+
+
+def numbered(df: DataFrame, name: str, *order: str, parts: int = 32) -> DataFrame:
+    """Adds a number from 0 without gaps in the given order, whose first column is numeric and not null.
+
+    Rows are dealt by quantiles of the first column; only a table of `parts` counts meets in one task. Rows that agree in
+    all of the order's columns take their numbers in any order. The table is written first, as it is read more than once.
+    """
+    d = _bucketed(written(df, "numbering"), order[0], parts)
+    start = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    start = start.select(F.col("__b"), F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
+    return d.withColumn("__own", own).join(F.broadcast(start), "__b").withColumn(name, (F.col("__own") + F.col("__start")).cast("long")).drop("__b", "__own", "__start")
+
+
+def offsets(sizes: DataFrame, key: str, size: str, parts: int = 32) -> DataFrame:
+    """Exclusive prefix sums in the order of a numeric key, which occurs once each: (key, size, start). Dealt as numbered()."""
+    d = _bucketed(written(sizes.select(key, size), "numbering"), key, parts)
+    start = d.groupBy("__b").agg(F.sum(size).alias("__n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    start = start.select("__b", F.coalesce(F.sum("__n").over(before(Window.orderBy("__b"))), F.lit(0)).alias("__start"))
+    own = F.coalesce(F.sum(size).over(before(Window.partitionBy("__b").orderBy(key))), F.lit(0))
+    return d.withColumn("__own", own).join(F.broadcast(start), "__b").select(key, size, (F.col("__own") + F.col("__start")).cast("long").alias("start"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import algebra
+from .algebra import numbered, offsets
+
 
 def entity_dofs(sizes: DataFrame, entity: str = "id", count: str = "n") -> DataFrame:
-    """(id, dof): consecutive numbers, as many for each entity as its count; the window runs over coarse entities."""
-    w = Window.orderBy(entity).rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.select(F.col(entity).alias("id"), F.col(count).alias("n"), F.coalesce(F.sum(count).over(w), F.lit(0)).cast("long").alias("start"))
+    """(id, dof): consecutive numbers, as many for each entity (a number) as its count."""
+    start = offsets(sizes.select(F.col(entity).alias("id"), F.col(count).cast("long").alias("n")), "id", "n")
     return start.filter("n > 0").select("id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("dof"))
 
 
@@ -25,3 +27,43 @@ def vertex_edofs(targets: DataFrame, traces: DataFrame, face_aggs: DataFrame) ->
 def interior(relation: DataFrame) -> DataFrame:
     """(agg, edof): where the tags add up to 2, a bubble or an edge seen from both sides."""
     return relation.groupBy("agg", "edof").agg(F.sum("v").alias("s")).filter("s >= 1.5").select("agg", "edof")
+
+
+def true_entities(shares: DataFrame) -> DataFrame:
+    """(entity, true, owner): shares are (entity, shared), entities that stand for one shared thing; the least of them owns it
+    and gives it its number."""
+    return shares.select("entity", "shared", F.min("entity").over(Window.partitionBy("shared")).alias("owner"))
+
+
+def owned_numbers(owners: DataFrame) -> DataFrame:
+    """(edge, owner, number): edges numbered from 0 owner by owner, and by edge within one."""
+    return numbered(owners, "number", "owner", "edge").select("edge", "owner", "number")
+
+
+def essential(edof_attributes: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(i): the edofs (edof, attr) on an essential attribute (attr)."""
+    return edof_attributes.join(attributes.select("attr").distinct(), "attr", "left_semi").select(F.col("edof").alias("i")).distinct()
+
+
+def averages(x: DataFrame, partition: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(i, v): a vector's average on each aggregate, weighted by the vertices' sizes (i, v) if given."""
+    p = partition.select(F.col("vertex").alias("i"), "agg")
+    z = x.join(p, "i")
+    z = z.join(sizes.select("i", F.col("v").alias("w")), "i") if sizes is not None else z.withColumn("w", F.lit(1.0))
+    return z.groupBy(F.col("agg").alias("i")).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+
+
+def piecewise_constant(x: DataFrame, partition: DataFrame) -> DataFrame:
+    """(i, v): values of aggregates brought to their vertices."""
+    return partition.join(x.select(F.col("i").alias("agg"), "v"), "agg").select(F.col("vertex").alias("i"), "v")
+
+
+def block_apply(m: DataFrame, d: DataFrame, x: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+    """A block vector (block, i, v), 0 the fluxes and 1 the potentials, times [[M, D^T], [D, 0]]; rows of the fixed edofs (i)
+    give the vector's own value."""
+    s, u = algebra.block_vector(x, 0), algebra.block_vector(x, 1)
+    top = algebra.combine((1.0, algebra.matvec(m, s)), (1.0, algebra.matvec(d, u, transposed=True)))
+    if fixed is not None:
+        kept = fixed.select("i").distinct().join(s, "i")
+        top = top.join(fixed, "i", "left_anti").unionByName(kept.select("i", "v"))
+    return algebra.stacked(top, algebra.matvec(d, s))

@@ -170,6 +170,27 @@ def statistics(s: DataFrame, key: str = "level", value: str = "q") -> DataFrame:
     )
 
 
+def log_likelihoods(observations: DataFrame, data: DataFrame, sigma: float, key: str, place: str, value: str) -> DataFrame:
+    """(key, loglik, lik): for each sample `key`, -sum (value - v)^2 / sigma^2 over the places (place, v) with data, and its
+    exponential. A sample without an observation at such a place has no row for it, and 0 if it has none at all."""
+    z = observations.join(data.select(F.col(place), F.col("v").alias("__data")), place, "left")
+    d = F.col(value) - F.col("__data")
+    out = z.groupBy(key).agg((-F.coalesce(F.sum(d * d), F.lit(0.0)) / F.lit(sigma * sigma)).alias("loglik"))
+    return out.select(key, "loglik", F.exp("loglik").alias("lik"))
+
+
+def ratio(quantities: DataFrame, likelihoods: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: numerator, the mean of quantity times likelihood over samples; denominator, the mean likelihood; their ratio."""
+    z = quantities.join(likelihoods, key)
+    out = z.agg(F.avg(F.col(value) * F.col("lik")).alias("numerator"), F.avg("lik").alias("denominator"))
+    return out.withColumn("ratio", F.col("numerator") / F.col("denominator"))
+
+
+def floored(coefficient: DataFrame, least: float) -> DataFrame:
+    """A coefficient (i, v), none of it below a floor."""
+    return coefficient.select("i", F.greatest("v", F.lit(float(least))).alias("v"))
+
+
 def next_level(n: dict[int, int], variance: dict[int, float], cost: dict[int, float]) -> int:
     """From the coarsest on, the first level whose share of the samples is less than its share of sqrt(variance / cost)."""
     want = {k: math.sqrt(variance[k] / max(cost[k], 1e-12)) for k in n}

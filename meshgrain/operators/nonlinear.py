@@ -10,7 +10,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from . import algebra
 from .montecarlo import Level
 
 
@@ -34,6 +37,40 @@ class Conductivity:
         return self.beta * np.sign(p) * np.abs(p) ** (self.beta - 1) / (self.ks * self.alpha)
 
 
+def conductivity(k: Conductivity, u: Column) -> Column:
+    """k(u) as a column expression."""
+    if k.beta is None:
+        return F.exp(F.lit(k.alpha) * u)
+    return F.lit(k.ks * k.alpha) / (F.lit(k.alpha) + F.pow(F.abs(u - F.lit(k.z)), F.lit(k.beta)))
+
+
+def inverse_slope(k: Conductivity, u: Column) -> Column:
+    """d (1 / k) / du as a column expression; 0 at u = z."""
+    if k.beta is None:
+        return -F.lit(k.alpha) * F.exp(-F.lit(k.alpha) * u)
+    p = u - F.lit(k.z)
+    return F.lit(k.beta / (k.ks * k.alpha)) * F.signum(p) * F.pow(F.abs(p), F.lit(k.beta - 1))
+
+
+def residual(elements: DataFrame, d: DataFrame, k: Conductivity, x: DataFrame, right: DataFrame) -> DataFrame:
+    """right - [[M(k(u)), D^T], [D, 0]] x over tables: x and right are (block, i, v), 0 the fluxes, 1 the potentials; an
+    element (elem, i, j, v) is a vertex's, and divided by k at its potential."""
+    from .elements import apply
+
+    s, u = algebra.block_vector(x, 0), algebra.block_vector(x, 1)
+    coefficient = u.select("i", conductivity(k, F.col("v")).alias("v"))
+    top = algebra.combine((1.0, algebra.block_vector(right, 0)), (-1.0, apply(elements, s, coefficient)), (-1.0, algebra.matvec(d, u, transposed=True)))
+    low = algebra.combine((1.0, algebra.block_vector(right, 1)), (-1.0, algebra.matvec(d, s)))
+    return algebra.stacked(top, low)
+
+
+def limited(change: DataFrame, alpha: float, limit: float) -> DataFrame:
+    """A step (block, i, v), scaled down where the largest change of a potential times alpha is over log(limit)."""
+    most = change.filter("block = 1").agg(F.coalesce(F.max(F.abs("v")), F.lit(0.0)).alias("most"))
+    scale = 1 / F.greatest(F.lit(1.0), F.col("most") * alpha / math.log(limit))
+    return change.join(F.broadcast(most)).select("block", "i", (F.col("v") * scale).alias("v"))
+
+
 @dataclass
 class Result:
     flux: np.ndarray

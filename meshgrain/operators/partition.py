@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import written
+from .algebra import numbered
 
 
 def parts_for(n: int, coarsening: float) -> int:
@@ -19,16 +20,15 @@ def weight_bucket(w: Column, least: Column) -> Column:
 
 
 def without_gaps(partition: DataFrame) -> DataFrame:
-    """Part numbers from 0 without gaps, in order. The window runs over parts."""
-    used = partition.select("agg").distinct()
-    new = used.select("agg", (F.row_number().over(Window.orderBy("agg")) - 1).cast("long").alias("new"))
+    """Part numbers from 0 without gaps, in order."""
+    new = numbered(partition.select("agg").distinct(), "new", "agg")
     return partition.join(new, "agg").select("vertex", F.col("new").alias("agg"))
 
 
 def isolate(partition: DataFrame, vertices: DataFrame) -> DataFrame:
     """Each of the given vertices in a part of its own, numbered after all others in their order."""
     top = partition.agg((F.max("agg") + 1).alias("top"))
-    own = vertices.select("vertex").distinct().select("vertex", (F.row_number().over(Window.orderBy("vertex")) - 1).alias("k"))
+    own = numbered(vertices.select("vertex").distinct(), "k", "vertex")
     own = own.join(F.broadcast(top)).select("vertex", (F.col("top") + F.col("k")).cast("long").alias("alone"))
     return partition.join(own, "vertex", "left").select("vertex", F.coalesce("alone", "agg").alias("agg"))
 
@@ -68,7 +68,7 @@ def connected_parts(edges: DataFrame, partition: DataFrame) -> DataFrame:
 
     inside = edge_aggregates(edges, partition).filter("a = b")
     labels = component_labels(inside, partition.select("vertex")).join(partition, "vertex")
-    number = labels.select("agg", "label").distinct().select("agg", "label", (F.row_number().over(Window.orderBy("agg", "label")) - 1).cast("long").alias("new"))
+    number = numbered(labels.select("agg", "label").distinct(), "new", "agg", "label")
     return labels.join(number, ["agg", "label"]).select("vertex", F.col("new").alias("agg"))
 
 
@@ -79,46 +79,75 @@ def cartesian(cells: DataFrame, blocks: tuple[int, int, int], size: tuple[int, i
     return cells.select(F.col("cell").alias("vertex"), (x + n[0] * (y + n[1] * z)).alias("agg"))
 
 
-def grow(edges: DataFrame, vertices: DataFrame, parts: int, rounds: int = 8, seed: int = 1) -> DataFrame:
+def weighted_adjacency(edges: DataFrame) -> DataFrame:
+    """A diag(1 / M) A^T with A the unsigned incidence, M = 1 / w: what a partitioner with weights cuts."""
+    e = edges.select(F.explode(F.array(*[F.struct(F.col(a).alias("i"), F.col(b).alias("j")) for a in ("v0", "v1") for b in ("v0", "v1")])).alias("t"), "w")
+    return e.select("t.*", "w").filter("i is not null and j is not null").groupBy("i", "j").agg(F.sum("w").alias("v"))
+
+
+def without_vertices(edges: DataFrame, vertices: DataFrame, alone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges and vertices that are left for a partitioner when some vertices are isolated before."""
+    rest = vertices.select("vertex").distinct().join(alone.select("vertex"), "vertex", "left_anti")
+    return induced(edges, rest), rest
+
+
+def kept_alone(partition: DataFrame, vertices: DataFrame) -> DataFrame:
+    """A partition with vertices alone on their level; their parts are (agg) of the result for these, to be kept alone on the
+    next."""
+    return without_gaps(isolate(partition, vertices))
+
+
+def grow(edges: DataFrame, vertices: DataFrame, parts: int, rounds: int | None = None, seed: int = 1, balance: float = 2.0) -> DataFrame:
     """(vertex, agg): about `parts` parts by label propagation from hashed seeds; connected by construction.
 
     Seeds are the vertices of least hash. In each round a vertex without a part takes that of the neighbour with the
-    largest weight towards it. What no seed reaches is a part for each component.
+    largest weight towards it, and a part takes at most so many, the heaviest first, that it stays within `balance` times the
+    mean size; a vertex that is turned away goes on asking the others. It ends when nothing changes, or after `rounds`.
+    What is left, as it isn't reached or its neighbours' parts are full, makes a part for each connected component.
     """
-    order = Window.orderBy(F.xxhash64("vertex", F.lit(seed)))
-    seeds = vertices.select("vertex").distinct().orderBy(F.xxhash64("vertex", F.lit(seed))).limit(parts)
-    at = written(seeds.select("vertex", (F.row_number().over(order) - 1).cast("long").alias("agg")), "parts")
+    v = written(vertices.select("vertex").distinct(), "vertices")
+    most = max(1, int(balance * v.count() / max(1, parts)))
+    seeds = v.orderBy(F.xxhash64("vertex", F.lit(seed)), "vertex").limit(parts)
+    at = written(numbered(seeds, "agg", "vertex").select("vertex", "agg"), "parts")
     e = edges.filter("v1 is not null").select("v0", "v1", "w")
     both = written(e.unionByName(e.select(F.col("v1").alias("v0"), F.col("v0").alias("v1"), "w")), "neighbours")
-    for _ in range(rounds):
+    for _ in range(rounds if rounds is not None else 1000):
+        room = at.groupBy("agg").agg((F.lit(most) - F.count(F.lit(1))).alias("room")).filter("room > 0")
         pull = both.join(at.select(F.col("vertex").alias("v1"), "agg"), "v1").join(at.select(F.col("vertex").alias("v0")), "v0", "left_anti")
-        best = pull.groupBy("v0", "agg").agg(F.sum("w").alias("w")).groupBy("v0").agg(F.max(F.struct("w", -F.col("agg"))).alias("m"))
-        new = best.select(F.col("v0").alias("vertex"), (-F.col("m.col2")).cast("long").alias("agg"))
+        best = pull.groupBy("v0", "agg").agg(F.sum("w").alias("w")).join(room, "agg").groupBy("v0").agg(F.max(F.struct("w", -F.col("agg"), "room")).alias("m"))
+        new = best.select(F.col("v0").alias("vertex"), (-F.col("m.col2")).cast("long").alias("agg"), "m.w", "m.room")
+        rank = F.row_number().over(Window.partitionBy("agg").orderBy(F.desc("w"), "vertex"))
+        new = written(new.withColumn("rank", rank).filter("rank <= room").select("vertex", "agg"), "parts")
         if new.isEmpty():
             break
-        at = written(at.unionByName(new), "parts")
-    rest = vertices.select("vertex").distinct().join(at, "vertex", "left_anti")
+        at = at.unionByName(new)
+    at = written(at, "parts")
+    rest = v.join(at, "vertex", "left_anti")
     if rest.isEmpty():
         return at
     lost = component_labels(induced(edges, rest), rest)
-    number = lost.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1 + parts).cast("long").alias("agg"))
+    number = numbered(lost.select("label").distinct(), "k", "label").select("label", (F.col("k") + parts).alias("agg"))
     return at.unionByName(lost.join(number, "label").select("vertex", "agg"))
 
 
-def colours(adjacency: DataFrame) -> DataFrame:
-    """(vertex, colour) for a small graph of aggregates (i, j): greedy, in the order of the vertices, with different
-    colours for neighbours. The graph goes to one task: it's a coarse one."""
-    import pandas as pd
-
-    def paint(table: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for i, j in zip(table["i"], table["j"]):
-            near.setdefault(i, []).append(j)
-            near.setdefault(j, []).append(i)
-        out: dict[int, int] = {}
-        for v in sorted(near):
-            taken = {out[u] for u in near[v] if u in out and u != v}
-            out[v] = next(c for c in range(len(taken) + 1) if c not in taken)
-        return pd.DataFrame({"vertex": list(out), "colour": list(out.values())}, dtype="int64")
+def colours(adjacency: DataFrame, seed: int | None = None, rounds: int = 1000) -> DataFrame:
+    """(vertex, colour): different colours for the neighbours of a graph (i, j), each the least that is free.
 
-    return adjacency.select("i", "j").withColumn("g", F.lit(0)).groupBy("g").applyInPandas(paint, "vertex long, colour long")
+    In a round, each vertex without a colour whose uncoloured neighbours all come later takes the least colour that none of
+    its neighbours has: what a greedy pass gives in that order. The order is that of the vertices, or, with a seed, of
+    a hash, by which the rounds of a sparse graph are few. Vertices without neighbours aren't in the graph.
+    """
+    e = adjacency.filter("i <> j").select("i", "j")
+    both = written(e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "neighbours")
+    at = written(both.select(F.col("i").alias("vertex")).distinct().withColumn("colour", F.lit(None).cast("long")), "colours")
+    place = lambda c: F.col(c) if seed is None else F.struct(F.xxhash64(c, F.lit(seed)), F.col(c))
+    for _ in range(rounds):
+        if at.filter("colour is null").isEmpty():
+            return at
+        near = both.join(at.select(F.col("vertex").alias("j"), "colour"), "j").join(at.filter("colour is null").select(F.col("vertex").alias("i")), "i", "left_semi")
+        waits = F.max(F.col("colour").isNull() & (place("j") < place("i")))
+        told = near.groupBy("i").agg(waits.alias("waits"), F.collect_set("colour").alias("taken")).filter("not waits")
+        free = F.array_min(F.array_except(F.sequence(F.lit(0).cast("long"), F.size("taken").cast("long")), "taken"))
+        new = told.select(F.col("i").alias("vertex"), free.alias("new"))
+        at = written(at.join(new, "vertex", "left").select("vertex", F.coalesce("colour", "new").alias("colour")), "colours")
+    raise RuntimeError(f"vertices without a colour after {rounds} rounds")

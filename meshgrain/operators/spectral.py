@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import written
@@ -144,7 +144,7 @@ def face_traces(system: System, partition: DataFrame, targets: DataFrame, par: P
     the others carry none."""
     v, e = _placed(system, partition)
     face = e.filter("a <> b").select("a", "b").distinct()
-    face = written(face.select("a", "b", (F.row_number().over(Window.orderBy("a", "b")) - 1).cast("long").alias("g")), "faces")
+    face = algebra.numbered(face, "g", "a", "b")
     fe = e.filter("a <> b").join(face, ["a", "b"]).select("g", F.col("edof").alias("dof"))
     sides = face.select("g", F.explode(F.array("a", "b")).alias("agg"), "a")
     ve = sides.join(v, "agg").select("g", F.col("vdof").alias("dof"), F.when(F.col("agg") == F.col("a"), 0).otherwise(1).alias("side"))
@@ -154,7 +154,7 @@ def face_traces(system: System, partition: DataFrame, targets: DataFrame, par: P
     const = ve.join(system.constant.select(F.col("i").alias("dof"), "v"), "dof")
     parts = (
         _marks(fe, "f", "dof"), _marks(local, "e", "dof"), _marks(ve, "side", "dof", v="side"), _marks(const, "c", "dof", v="v"),
-        samples.withColumn("s", F.col("agg") * 64 + F.col("k")).transform(lambda t: _marks(t, "s", "i", "s", "v")),
+        samples.withColumn("s", F.col("agg") * max(par.max_vectors, par.max_traces) + F.col("k")).transform(lambda t: _marks(t, "s", "i", "s", "v")),
         _within(system.m, local, local, "m"), _within(system.d, ve.select("g", "dof"), local, "d"),
     )
     rows = parts[0]
@@ -196,13 +196,12 @@ def coarsen(system: System, partition: DataFrame, par: Parameters = Parameters()
     targets = vertex_targets(system, partition, par)
     traces = face_traces(system, partition, targets, par)
     u = targets.filter("kind = 'u'").select("agg", "k", "i", "v")
-    number = u.select("agg", "k").distinct().select("agg", "k", (F.row_number().over(Window.orderBy("agg", "k")) - 1).cast("long").alias("c"))
-    number = written(number, "vdofs")
+    number = written(algebra.numbered(u.select("agg", "k").distinct(), "c", "agg", "k"), "vdofs")
     pu = written(u.join(number, ["agg", "k"]).select("i", F.col("c").alias("j"), "v"), "pu")
-    tn = written(traces.select("a", "b", "k").distinct().select("a", "b", "k", (F.row_number().over(Window.orderBy("a", "b", "k")) - 1).cast("long").alias("c")), "edofs")
+    tn = written(algebra.numbered(traces.select("a", "b", "k").distinct(), "c", "a", "b", "k"), "edofs")
     n_traces = tn.count()
-    bn = number.filter("k > 0").select("agg", "k", (F.row_number().over(Window.orderBy("agg", "k")) - 1 + n_traces).cast("long").alias("c"))
-    bn = written(bn, "bubbles")
+    bn = algebra.numbered(number.filter("k > 0").select("agg", "k"), "p", "agg", "k")
+    bn = written(bn.select("agg", "k", (F.col("p") + n_traces).alias("c")), "bubbles")
     # extensions into aggregates
     v, e = _placed(system, partition)
     inner = e.filter("a = b").select(F.col("a").alias("g"), F.col("edof").alias("dof"))

@@ -5,9 +5,11 @@ A graph is a table of edges (edge, v0, v1, w), v0 < v1; v1 is null for a boundar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .algebra import numbered
+
 
 def incidence(edges: DataFrame) -> DataFrame:
     """(vertex, edge, ord): the vertices of each edge, in order."""
@@ -67,8 +69,8 @@ def faces(edges: DataFrame, partition: DataFrame) -> DataFrame:
 
 
 def numbered_faces(edges: DataFrame, partition: DataFrame) -> DataFrame:
-    """(face, agg0, agg1): faces from 0 in the order of their aggregates. The window runs over faces."""
-    return faces(edges, partition).select((F.row_number().over(Window.orderBy("agg0", "agg1")) - 1).cast("long").alias("face"), "agg0", "agg1")
+    """(face, agg0, agg1): faces from 0 in the order of their aggregates."""
+    return numbered(faces(edges, partition).select("agg0", "agg1"), "face", "agg0", "agg1").select("face", "agg0", "agg1")
 
 
 def face_edges(edges: DataFrame, partition: DataFrame) -> DataFrame:
@@ -89,8 +91,27 @@ def marked_edges(edge_attributes: DataFrame, essential: DataFrame) -> DataFrame:
 
 def coarse_graph(edges: DataFrame, partition: DataFrame) -> DataFrame:
     """The graph of aggregates: a face is an edge, with the sum of its edges' weights."""
-    n = numbered_faces(edges, partition)
-    return faces(edges, partition).join(n, ["agg0", "agg1"]).select(F.col("face").alias("edge"), F.col("agg0").alias("v0"), F.col("agg1").alias("v1"), "w")
+    return numbered(faces(edges, partition), "edge", "agg0", "agg1").select("edge", F.col("agg0").alias("v0"), F.col("agg1").alias("v1"), "w")
+
+
+def face_attributes(edge_attributes: DataFrame, edges: DataFrame, partition: DataFrame) -> DataFrame:
+    """(agg0, agg1, attr): the attributes (edge, attr) that a face's edges have."""
+    e = edge_aggregates(edges, partition).filter("a <> b").join(edge_attributes, "edge")
+    return e.select(F.least("a", "b").alias("agg0"), F.greatest("a", "b").alias("agg1"), "attr").distinct()
+
+
+def neighbours(edges: DataFrame, partition: DataFrame) -> DataFrame:
+    """(i, j): aggregates that share an edge, each pair in both orders, and each with itself if it has an edge."""
+    e = aggregate_edges(edges, partition)
+    return e.select(F.col("agg").alias("i"), "edge").join(e.select(F.col("agg").alias("j"), "edge"), "edge").select("i", "j").distinct()
+
+
+def sizes(partition: DataFrame, fine: DataFrame | None = None) -> DataFrame:
+    """(i, v): how many finest vertices each aggregate has; fine (i, v) are the vertices' own sizes, 1 without."""
+    if fine is None:
+        return partition.groupBy(F.col("agg").alias("i")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    x = fine.select(F.col("i").alias("vertex"), "v")
+    return partition.join(x, "vertex").groupBy(F.col("agg").alias("i")).agg(F.sum("v").alias("v"))
 
 
 def extended_aggregates(edges: DataFrame, partition: DataFrame) -> DataFrame:

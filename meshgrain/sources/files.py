@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import written
+
 
 def _numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, x): the whitespace-separated fields of one file, in order. The file is one row: a header counts its fields."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda s: s != "")).alias("pos", "x"))
+    """(pos, x): the whitespace-separated fields of one file, in order.
+
+    The file is read by blocks. Fields are counted by block, and a field's place is the sum over the blocks before, the
+    lines before in its block, and its place in the line. Only the table of blocks meets in one task.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    fields = lines.withColumn("f", F.filter(F.split("value", r"\s+"), lambda s: s != "")).select("file", "block", "line", "f")
+    fields = written(fields.filter(F.size("f") > 0), "lines")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = fields.groupBy("file", "block").agg(F.sum(F.size("f")).alias("n"))
+    start = blocks.select("file", "block", before(Window.orderBy("file", "block")).alias("start"))
+    own = fields.withColumn("n", F.size("f")).withColumn("own", before(Window.partitionBy("file", "block").orderBy("line")))
+    return own.join(F.broadcast(start), ["file", "block"]).select((F.col("start") + F.col("own")).alias("base"), F.posexplode("f").alias("k", "x")).select((F.col("base") + F.col("k")).alias("pos"), "x")
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
@@ -18,7 +31,8 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     head = fields.filter("pos < 2").agg(F.max(F.when(F.col("pos") == 0, F.col("x"))).cast("long").alias("nv"), F.max(F.when(F.col("pos") == 1, F.col("x"))).cast("long").alias("ne")).first()
     nv, ne = head.nv, head.ne
     starts = fields.filter(F.col("pos").between(2, 2 + nv)).select((F.col("pos") - 2).cast("long").alias("vertex"), F.col("x").cast("long").alias("start"))
-    spans = starts.withColumn("end", F.lead("start").over(Window.orderBy("vertex"))).filter("end is not null")
+    ends = starts.select((F.col("vertex") - 1).alias("vertex"), F.col("start").alias("end"))
+    spans = starts.join(ends, "vertex")
     spans = spans.select("vertex", F.explode(F.when(F.col("end") > F.col("start"), F.sequence(F.col("start"), F.col("end") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("k"))
     columns = fields.filter(F.col("pos") >= 3 + nv).select((F.col("pos") - 3 - nv).cast("long").alias("k"), F.col("x")).filter(F.col("k") < 2 * ne)
     rows = spans.join(columns, "k").select("vertex", F.col("x").cast("double").cast("long").alias("edge"))
@@ -72,6 +86,31 @@ def to_json(metrics: DataFrame) -> DataFrame:
 
 
 def last_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The last line of a text that is a JSON object, as columns."""
-    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\n"), lambda s: F.trim(s).startswith("{")).alias("x"))
-    return lines.select(F.from_json(F.element_at("x", -1), schema).alias("o")).select("o.*")
+    """The last line of a text that is a JSON object, as columns: (block, line) orders the lines."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    last = lines.filter(F.trim("value").startswith("{")).agg(F.max_by("value", F.struct("block", "line")).alias("x"))
+    return last.select(F.from_json("x", schema).alias("o")).select("o.*")
+
+
+def flattened(df: DataFrame, separator: str = "-") -> DataFrame:
+    """Nested structures as columns of their own, named by the path to them."""
+    from pyspark.sql.types import StructType
+
+    def leaves(fields, path):
+        for f in fields:
+            if isinstance(f.dataType, StructType):
+                yield from leaves(f.dataType.fields, [*path, f.name])
+            else:
+                yield [*path, f.name]
+
+    return df.select(*[F.col(".".join(f"`{p}`" for p in at)).alias(separator.join(at)) for at in leaves(df.schema.fields, [])])
+
+
+def write_levels(tables: dict[str, list[DataFrame]], path: str) -> None:
+    """Matrices or samples of each level as Parquet, a folder for each name, partitioned by level."""
+    for name, levels in tables.items():
+        out = None
+        for k, t in enumerate(levels):
+            part = t.withColumn("level", F.lit(k))
+            out = part if out is None else out.unionByName(part)
+        out.write.mode("overwrite").partitionBy("level").parquet(f"{path}/{name}")

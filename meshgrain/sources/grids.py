@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -100,6 +100,49 @@ def corner_wells(grid: DataFrame, size: tuple[int, int, int]) -> DataFrame:
     return grid.select(F.col("cell").alias("i"), F.when(F.col("cell") == 0, 1.0).when(F.col("cell") == last, -1.0).otherwise(0.0).alias("v"))
 
 
+def wedge(grid: DataFrame, nx: int, width: float = 1.0) -> DataFrame:
+    """(i, v): exp(-x / width) of the cells' x index, less its mean, so that nothing is left over."""
+    x = grid.select(F.col("cell").alias("i"), F.exp(-F.col("ix") / (nx * width)).alias("v"))
+    return x.join(F.broadcast(x.agg(F.avg("v").alias("mean")))).select("i", (F.col("v") - F.col("mean")).alias("v"))
+
+
+def inflow(faces: DataFrame, attribute: int, value: float = 1.0) -> DataFrame:
+    """(i, v): a flux through the boundary faces of an attribute, as a source in their cells; other cells have no row."""
+    return faces.filter(F.col("attr") == attribute).groupBy(F.col("cell0").alias("i")).agg((F.lit(float(value)) * F.count(F.lit(1))).alias("v"))
+
+
+def geometry(grid: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
+    """(cell, volume, z): volumes of the cells and the heights of their centres."""
+    hx, hy, hz = spacing
+    return grid.select("cell", F.lit(float(hx * hy * hz)).alias("volume"), ((F.col("iz") + 0.5) * hz).alias("z"))
+
+
+def lookup(points: DataFrame, field: DataFrame, spacing: tuple[float, float, float], plane: str = "none", at: int = 0) -> DataFrame:
+    """Points (id, x, y, z) with the coefficient (ix, iy, iz, kx, ky, kz) of the cell that they are in. In a slice, `plane` xy,
+    xz or yz, the points' first two coordinates are those of the plane and the third index is `at`. frobenius is the norm of
+    the diagonal tensor."""
+    index = {"none": "xyz", "xy": "xy", "xz": "xz", "yz": "yz"}[plane]
+    named = dict(zip(index, ("x", "y", "z")))
+    # a point on a cell's upper edge up to rounding belongs to the cell below it, as a division alone would have it
+    place = [F.floor(F.col(named[c]) / F.lit(h) / F.lit(1 + 3e-16)).cast("long") if c in named else F.lit(at).cast("long") for c, h in zip("xyz", spacing)]
+    cells_ = points.select("id", *[p.alias(n) for p, n in zip(place, ("ix", "iy", "iz"))])
+    k = cells_.join(field, ["ix", "iy", "iz"]).select("id", "kx", "ky", "kz")
+    return k.withColumn("frobenius", F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky") + F.col("kz") * F.col("kz")))
+
+
+def finite_volume_mass(faces: DataFrame, permeability: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
+    """(cell, face, v): h / (2 k area) of each face of each cell; their sums over a face's cells are the inverses of
+    two_point_weights."""
+    hx, hy, hz = spacing
+    axis = lambda *v: F.when(F.col("axis") == 0, v[0]).when(F.col("axis") == 1, v[1]).otherwise(v[2])
+    both = faces.select("face", "axis", F.explode(F.array("cell0", "cell1")).alias("cell")).filter("cell is not null")
+    k = axis(F.col("kx"), F.col("ky"), F.col("kz"))
+    return both.join(permeability, "cell").select("cell", "face", (axis(hx, hy, hz) / (2 * k * axis(hy * hz, hx * hz, hx * hy))).alias("v"))
+
+
 def numbered(edges: DataFrame) -> DataFrame:
-    """Edges renumbered from 0 without gaps in the order of (v0, v1); for coarse graphs, as the window is one."""
-    return edges.withColumn("edge", (F.row_number().over(Window.orderBy("v0", "v1", "edge")) - 1).cast("long"))
+    """Edges renumbered from 0 without gaps in the order of (v0, v1), by quantiles of v0."""
+    from ..operators import algebra
+
+    named = algebra.numbered(edges.withColumnRenamed("edge", "old"), "edge", "v0", "v1", "old")
+    return named.select("edge", *[c for c in edges.columns if c != "edge"])
