@@ -13,6 +13,10 @@
 4. Ranges of repeated windows go back to their texts by the text's digest, and what is left is hashed.
 
 Texts that occur more than once are one text in steps 1 to 3. Strings never cross documents.
+
+Beside it, shared_passages() finds the documents that share a passage of more than 50 words with another, whatever its bytes:
+of the 26-word strings in each 51 words the one of least hash is an anchor; anchors that several texts have are marked
+in a bitmap as above, and where they meet, the 51-word strings around them are compared.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import BATCH_ROWS, Rolling, flat
+from .textio import BATCH_ROWS, NOT_SPACE, Rolling, flat, mix, powers, runs, words
 
 _U = np.uint64
 GRAM = 64
@@ -159,23 +163,30 @@ def _stretches(data: np.ndarray, at: np.ndarray, width: int):
         yield part()
 
 
-def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(first window, end of windows, anchor, anchor's hash) of each segment, in order."""
-    roll = Rolling(data)
-    grams = roll.grams(GRAM)
-    span = width - GRAM + 1
-    key = (grams & ~_U(_PLACE)) | np.arange(len(grams), dtype=_U)
+def _least(hashes: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of each `span` consecutive hashes, by their upper 44 bits, the first of equals."""
+    n = len(hashes) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    key = (hashes & ~_U(_PLACE)) | np.arange(len(hashes), dtype=_U)
     rows = -(-len(key) // span)
     padded = np.full(rows * span, ~_U(0))
     padded[: len(key)] = key
     table = padded.reshape(rows, span)
     right = np.minimum.accumulate(table, axis=1).ravel()
     left = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(left[:n], right[span - 1 : span - 1 + n]) & _U(_PLACE)).astype(np.int64)
+
+
+def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(first window, end of windows, anchor, anchor's hash) of each segment, in order."""
+    roll = Rolling(data)
+    grams = roll.grams(GRAM)
+    least = _least(grams, width - GRAM + 1)
     n = len(data) - width + 1
-    least = np.minimum(left[:n], right[span - 1 : span - 1 + n])
     stop = np.repeat(at[1:], np.diff(at))[:n]
     i = np.flatnonzero(np.arange(n) + width <= stop)
-    anchor = (least[i] & _U(_PLACE)).astype(np.int64)
+    anchor = least[i]
     head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (i[1:] != i[:-1] + 1)]) if len(i) else np.zeros(0, np.int64)
     tail = np.append(head[1:], len(i)) - 1 if len(i) else head
     return i[head], i[tail] + 1, anchor[head], grams[anchor[head]]
@@ -197,7 +208,6 @@ def _emit(batches, width: int, marked, bins: int):
     """The segments with marked anchors; equal ones of a task are one, with their texts and places."""
     names = [x.split()[0] for x in _SEGMENT.split(", ")]
     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-    bitmap = np.frombuffer(marked.value, np.uint8)
     held: dict[tuple[bytes, int], tuple[int, dict]] = {}
     size = 0
 
@@ -211,8 +221,7 @@ def _emit(batches, width: int, marked, bins: int):
         digest = batch.column("digest").to_pylist()
         for part, cut, texts, offset in _stretches(data, at, width):
             first, end, anchor, f = segments(part, cut, width)
-            slot = f & _U((1 << MAP_BITS) - 1)
-            keep = (bitmap[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 > 0
+            keep = _is_marked(marked, f)
             first, end, anchor, f = first[keep], end[keep], anchor[keep], f[keep]
             own = np.searchsorted(cut, first, "right") - 1
             raw = part.tobytes()
@@ -297,14 +306,8 @@ def _repeated(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"digest": pa.array([x[0] for x in out], pa.binary()), "a": pa.array([x[1] for x in out], pa.int64()), "z": pa.array([x[2] for x in out], pa.int64())})
 
 
-def repeats(docs: DataFrame, *, text_col: str = "text", width: int = 400) -> DataFrame:
-    """(digest, a, z): byte ranges of distinct texts (by MD5) that are covered by strings which recur, in a different
-    text or in the same. Texts that occur several times aren't compared with themselves."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(text.alias("body"), F.unhex(F.md5(text)).alias("digest")).filter(F.octet_length("body") >= width)
-    anchors = rows.select("body").mapInArrow(lambda it: _count(it, width), "f long, c long").groupBy("f").agg(F.sum("c").alias("c")).filter("c > 1")
+def _marked(anchors: DataFrame):
+    """A broadcast bitmap of MAP_BITS bits, with those of the hashes f set."""
     slot = F.col("f").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
 
     def pack(key, table):
@@ -316,16 +319,130 @@ def repeats(docs: DataFrame, *, text_col: str = "text", width: int = 400) -> Dat
     bitmap = bytearray(1 << (MAP_BITS - 3))
     for r in pages.toLocalIterator():
         bitmap[r.page << 13 : (r.page + 1) << 13] = r.bits
-    marked = spark.sparkContext.broadcast(bytes(bitmap))
+    return anchors.sparkSession.sparkContext.broadcast(bytes(bitmap))
+
+
+def _is_marked(marked, f: np.ndarray) -> np.ndarray:
+    slot = f & _U((1 << MAP_BITS) - 1)
+    return (np.frombuffer(marked.value, np.uint8)[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 > 0
+
+
+def repeats(docs: DataFrame, *, text_col: str = "text", width: int = 400) -> DataFrame:
+    """(digest, a, z): byte ranges of distinct texts (by MD5) that are covered by strings which recur, in a different
+    text or in the same. Texts that occur several times aren't compared with themselves."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(text.alias("body"), F.unhex(F.md5(text)).alias("digest")).filter(F.octet_length("body") >= width)
+    anchors = rows.select("body").mapInArrow(lambda it: _count(it, width), "f long, c long").groupBy("f").agg(F.sum("c").alias("c")).filter("c > 1")
+    marked = _marked(anchors)
     volume = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     bins = max(12, math.ceil(volume / BIN_BYTES))
     found = rows.mapInArrow(lambda it: _emit(it, width, marked, bins), _SEGMENT)
     return found.groupBy("bin").applyInArrow(lambda t: _repeated(t, width), "digest binary, a long, z long")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 400) -> DataFrame:
-    """(id, n_bytes, n_removed, spans, kept): a row for each document; spans are the maximal removed runs (from, to), in
-    bytes, kept is what remains, as bytes.
+def _word_anchors(column: pa.Array, size: int):
+    """The anchors of all strings of `size` words: hash, text, and for each of the strings that can hold it, from the one that
+    ends with it on, 32 bits of the string's hash, or 0 where it would leave the text."""
+    data, at = flat(column)
+    start, end, first = words(data, at, NOT_SPACE)
+    h = Rolling(data).ranges(start, end)
+    gram = (size + 1) // 2
+    up, down = powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, _U)
+    np.cumsum(h * up[:-1], out=total[1:])
+    strings = lambda i, k: mix((total[i + k] - total[i]) * down[i])
+    stop = np.repeat(first[1:], np.diff(first))
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, _U), np.zeros(0, np.int64), lambda which: np.zeros((0, gram), np.uint32)
+    grams = strings(np.arange(len(h) - gram + 1), gram)
+    found = []
+    for a in range(0, n, STRETCH):  # places fit their bits
+        i = np.flatnonzero(np.arange(a, min(a + STRETCH, n)) + size <= stop[a : min(a + STRETCH, n)])
+        found.append(np.unique(_least(grams[a : a + STRETCH + size - gram], size - gram + 1)[i]) + a)
+    anchor = np.unique(np.concatenate(found))
+    text = np.searchsorted(first, anchor, "right") - 1
+
+    def around(which: np.ndarray) -> np.ndarray:
+        p = anchor[which]
+        out = np.zeros((len(p), size - gram + 1), np.uint32)
+        for k in range(size - gram + 1):
+            i = p - (size - gram) + k
+            ok = (i >= first[text[which]]) & (i + size <= stop[p])
+            out[ok, k] = np.maximum(strings(i[ok], size) >> _U(32), 1).astype(np.uint32)
+        return out
+
+    return grams[anchor], text, around
+
+
+_PLACE_ROW = "bin long, f long, digest binary, around binary"
+
+
+def _meet(table: pa.Table, strings: int) -> pa.Table:
+    """(digest, n): the texts of a bin with the number of their anchors around which another text has the same string."""
+    f = table.column("f").to_numpy().view(_U)
+    text, code = np.unique(np.array(table.column("digest").to_pylist(), object), return_inverse=True)
+    around = np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint32).reshape(-1, strings)
+    shared = np.zeros(len(f), bool)
+    for k in range(strings):
+        i = np.flatnonzero(around[:, k])
+        key = mix(f[i] ^ (around[i, k].astype(_U) << _U(8)))
+        order = np.lexsort((code[i], key))
+        key, who = key[order], code[i][order]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        last = np.append(head[1:], len(key)) - 1 if len(key) else head
+        several = np.repeat(who[head] != who[last], last - head + 1)
+        shared[i[order[several]]] = True
+    pairs = np.unique(np.stack([code[shared], f[shared].view(np.int64)]), axis=1)[0] if shared.any() else np.zeros(0, np.int64)
+    who, n = np.unique(pairs, return_counts=True)
+    return pa.table({"digest": pa.array([text[w] for w in who], pa.binary()), "n": pa.array(n.astype(np.int64))})
+
+
+def shared_passages(docs: DataFrame, *, text_col: str = "text", size: int = 51) -> DataFrame:
+    """(digest, n): the distinct texts (by MD5) that have a string of `size` words, [^\\x20\\x09-\\x0D]+ with any blanks between,
+    which another text has as well, and the number of places in them that show it. A string that recurs in one text alone, and
+    texts that occur several times, aren't found here. Null counts as empty."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(text.alias("body"), F.unhex(F.md5(text)).alias("digest")).filter(F.octet_length("body") >= 2 * size - 1)
+
+    def count(batches):
+        for batch in batches:
+            for part in runs(batch, "body"):
+                f, own, _ = _word_anchors(part.column("body"), size)
+                _, digests = np.unique(np.array(part.column("digest").to_pylist(), object), return_inverse=True)
+                pairs = np.unique(np.stack([f.view(np.int64), digests[own]]), axis=1)[0] if len(f) else f.view(np.int64)
+                f, c = np.unique(pairs, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c.astype(np.int64))], names=["f", "c"])
+
+    marked = _marked(rows.select("body", "digest").mapInArrow(count, "f long, c long").groupBy("f").agg(F.sum("c").alias("c")).filter("c > 1"))
+    volume = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    bins = max(12, math.ceil(volume / BIN_BYTES))
+
+    def emit(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in runs(batch, "body"):
+                f, own, around = _word_anchors(part.column("body"), size)
+                digest = part.column("digest").to_pylist()
+                fresh = np.array([d not in seen and not seen.add(d) for d in digest], bool)  # a text once in a task
+                keep = np.flatnonzero(_is_marked(marked, f) & fresh[own]) if len(f) else np.zeros(0, np.int64)
+                wide = np.ascontiguousarray(around(keep))
+                yield pa.RecordBatch.from_arrays([pa.array(((f[keep] >> _U(20)) % _U(bins)).astype(np.int64)), pa.array(f[keep].view(np.int64)), pa.array([digest[o] for o in own[keep].tolist()], pa.binary()), pa.array([r.tobytes() for r in wide], pa.binary())], names=["bin", "f", "digest", "around"])
+                if len(seen) > 1 << 20:
+                    seen.clear()
+
+    strings = size - (size + 1) // 2 + 1
+    return rows.mapInArrow(emit, _PLACE_ROW).groupBy("bin").applyInArrow(lambda t: _meet(t, strings), "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 400, passage: int = 51) -> DataFrame:
+    """(id, n_bytes, n_removed, spans, kept, n_shared): a row for each document; spans are the maximal removed runs (from,
+    to), in bytes, kept is what remains, as bytes. n_shared tells, apart from what is removed, of passages of `passage` words
+    that another document has as well: the number of places that show one, 0 without.
 
     A null text counts as empty; texts under `width` bytes keep all. Equal texts have equal results; a text of `width`
     bytes or more that occurs twice goes altogether, its first occurrence too. A cut may fall inside a character.
@@ -334,16 +451,20 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("body"), F.unhex(F.md5(text)).alias("digest"))
     copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.lit(True).alias("copied"))
     ranges = repeats(docs, text_col=text_col, width=width).groupBy("digest").agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
-    verdict = ranges.join(copies, "digest", "full")
-    joined = rows.join(verdict, "digest", "left").select("id", "body", "copied", F.col("ranges.a").alias("a"), F.col("ranges.z").alias("z"))
+    shared = shared_passages(docs, text_col=text_col, size=passage).withColumnRenamed("n", "shared")
+    verdict = ranges.join(copies, "digest", "full").join(shared, "digest", "full")
+    joined = rows.join(verdict, "digest", "left").select("id", "body", "copied", "shared", F.col("ranges.a").alias("a"), F.col("ranges.z").alias("z"))
 
     def cut(batches):
         for batch in batches:
             data, at = flat(batch.column("body"))
-            spans, kept = [], []
-            for i, (copied, a, z) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("copied", "a", "z")))):
+            spans, kept, shared = [], [], []
+            for i, (copied, places, a, z) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("copied", "shared", "a", "z")))):
                 own = data[at[i] : at[i + 1]]
                 n = len(own)
+                if copied and not places:
+                    places = int(len(words(own, np.array([0, n]), NOT_SPACE)[0]) >= passage)
+                shared.append(places or 0)
                 if copied and n >= width:
                     a, z = [0], [n]
                 depth = np.zeros(n + 1, np.int32)
@@ -354,11 +475,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
                 spans.append([{"a": int(x), "z": int(y)} for x, y in zip(edge[::2], edge[1::2])])
                 kept.append(own[stay].tobytes())
             kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(shared, pa.int64())], names=["id", "n_bytes", "spans", "kept", "n_shared"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, spans array<struct<a: long, z: long>>, kept binary")
-    return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), "spans", "kept")
+    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, spans array<struct<a: long, z: long>>, kept binary, n_shared long")
+    return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), "spans", "kept", "n_shared")
 
 
 def digest(kept: bytes) -> str:
@@ -366,6 +487,6 @@ def digest(kept: bytes) -> str:
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """All whole texts, strings of 400 bytes."""
+    """All whole texts, strings of 400 bytes; beside them, passages of 51 words that documents share."""
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")

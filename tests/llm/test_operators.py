@@ -505,3 +505,30 @@ def test_longest_matches(spark, sf, docs, odd, empty):
     assert long.join(hit, "doc_id", "left_anti").isEmpty() and hit.isEmpty() == long.isEmpty()
     spans = hit.select("doc_id", F.explode("spans").alias("s")).agg(F.max("s.n_words")).first()[0]
     assert spans == long.agg(F.max("n_words")).first()[0]
+
+
+def plain_shared(texts, size):
+    """Whether each text has a string of `size` words that a text elsewhere has as well."""
+    words_ = [SPACE.findall((t or "").encode()) for t in texts]
+    where = collections.defaultdict(set)
+    for k, w in enumerate(words_):
+        for p in range(len(w) - size + 1):
+            where[tuple(w[p : p + size])].add(k)
+    several = {s for s, who in where.items() if len(who) > 1}
+    return [any(tuple(w[p : p + size]) in several for p in range(len(w) - size + 1)) for w in words_]
+
+
+@pytest.mark.parametrize("size", [5, 12, 51])
+def test_shared_passages(spark, odd, empty, docs, size):
+    """Against all strings of all documents; short ones, edges of texts, strings within one text alone, copies."""
+    rng = np.random.default_rng(size)
+    say = lambda n: " ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    p, q = say(size), say(size - 1)
+    rows = [(1, f"{say(30)} {p} {say(40)}"), (2, f"{p}\t{say(9)}"), (3, f"{say(9)}\n{p}"), (4, f"{say(20)} {q} {say(20)}"), (5, f"{q} {say(30)}"), (6, f"{(r := say(size))} . {r}"), (7, say(200)), (8, say(200)), (9, None), (10, ""), (11, p)]
+    rows += [(20, s := say(size + 3)), (21, s)]
+    for d, key in ((spark.createDataFrame(rows, "doc_id long, text string"), None), (spark.createDataFrame(docs[["doc_id", "text"]]), None), (odd, None)):
+        t = d.select("doc_id", "text").toPandas()
+        t["doc_id"] = [-1 if pd.isna(i) else int(i) for i in t.doc_id]
+        got = collections.Counter((-1 if r.doc_id is None else r.doc_id, r.n_shared > 0) for r in suffix_dedup.dedup(d, passage=size).select("doc_id", "n_shared").collect())
+        assert got == collections.Counter(zip(t.doc_id, plain_shared([x if isinstance(x, str) else "" for x in t.text], size)))
+    assert suffix_dedup.shared_passages(empty, size=size).count() == 0
