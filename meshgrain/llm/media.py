@@ -132,6 +132,15 @@ def cut(pixels: np.ndarray, side: int = 256) -> list[dict]:
     return [{"top": y, "left": x, "npy": npy(t := pixels[y : y + side, x : x + side]), "dhash": dhash(t)} for y in range(0, h, side) for x in range(0, w, side)]
 
 
+def joined(tiles: list[dict], shape: tuple[int, ...]) -> np.ndarray:
+    """The picture of a list of tiles, read back from their NPY bytes."""
+    out = np.zeros(shape, np.uint8)
+    for t in tiles:
+        part = np.load(io.BytesIO(t["npy"]), allow_pickle=False)
+        out[t["top"] : t["top"] + len(part), t["left"] : t["left"] + part.shape[1]] = part
+    return out
+
+
 def payload(text: bytes) -> bytes:
     return text + b"\xff" * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
 
@@ -197,30 +206,36 @@ def tiles(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", si
     return _map_media(media, [id_col], media_col, "height int, width int, channels int, tiles array<struct<top: int, left: int, npy: binary, dhash: string>>", make)
 
 
-def features(media: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ("n_bytes",), media_col: str = "media") -> DataFrame:
-    """Reads stored pictures back: payload_bytes, payload_sha256, tail_crc32 (of the last 32 bytes),
-    media_bytes, media_sha256 and feature (height x width x channels, then the difference hash of the
-    whole picture). A null picture has null features."""
+def features(media: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ("n_bytes",), media_col: str = "media", side: int = 256) -> DataFrame:
+    """Decodes stored pictures, cuts them into NPY tiles and reads these back: payload_bytes, payload_sha256, tail_crc32 (of
+    the last 32 bytes), media_bytes, media_sha256, feature (height x width x channels, then the difference hash of the
+    whole picture), tiles (their number) and tile_hashes (of the tiles' difference hashes, one after the other, the SHA-256).
+
+    A null picture has null features; equal pictures have equal ones, repeated rows a row each; an empty table stays empty. A
+    broken or other format raises ValueError."""
 
     def make():
         def of(column):
             rows = []
             for x in column.to_pylist():
                 if x is None:
-                    rows.append((None,) * 6)
+                    rows.append((None,) * 8)
                     continue
-                pixels = decode(x)
-                back = np.ascontiguousarray(pixels).tobytes()
+                decoded = decode(x)
+                parts = cut(decoded, side)
+                pixels = joined(parts, decoded.shape)
+                back = pixels.tobytes()
+                hashes = hashlib.sha256("".join(t["dhash"] for t in parts).encode()).hexdigest()
                 h, w, c = (*pixels.shape, 1)[:3]
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(x), hashlib.sha256(x).hexdigest(), f"{h}x{w}x{c}:{dhash(pixels)}"))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(x), hashlib.sha256(x).hexdigest(), f"{h}x{w}x{c}:{dhash(pixels)}", len(parts), hashes))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
             return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
 
         return of
 
-    return _map_media(media, [id_col, *keep], media_col, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make)
+    return _map_media(media, [id_col, *keep], media_col, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles long, tile_hashes string", make)
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:
-    """All whole texts as pgm, ppm or bmp, read back."""
+    """All whole texts as pgm, ppm or bmp, read back through NPY tiles."""
     return features(pictures(spark.read.parquet(f"{sf_dir}/documents.parquet")))

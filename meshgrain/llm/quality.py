@@ -175,7 +175,10 @@ def train(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, rate: float = 0.15,
 
 
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x): the features of every whole text; null counts as empty."""
+    """(id, x): the features of every whole text; null counts as empty.
+
+    Repeated rows have a row each, equal texts equal features, whatever the other columns are; an empty table stays empty.
+    """
 
     def make():
         def of(part):
@@ -200,7 +203,8 @@ def fit(features: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label
 
 
 def score(features: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """(id, score) for every row of the feature table."""
+    """(id, score) for every row of the feature table: 0 to 1, equal for equal features, so ties stay ties. A model without
+    training rows scores all alike; repeated rows come out as often as they go in; an empty table stays empty."""
 
     def run(batches):
         for b in batches:

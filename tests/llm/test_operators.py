@@ -108,6 +108,7 @@ def test_resize_and_hash():
     assert np.allclose(media.resize(p, 4, 5).mean(), p.mean())
     assert media.dhash(np.tile(np.arange(90, 0, -1, dtype=np.uint8), (9, 1))) == "f" * 16
     tiles = media.cut(p, 4)
+    assert (media.joined(tiles, p.shape) == p).all()
     assert [(t["top"], t["left"]) for t in tiles] == [(0, 0), (0, 4), (4, 0), (4, 4)]
     import io
 

@@ -64,3 +64,24 @@ def test_equal_ids_and_rows(spark, sf):
     d = spark.createDataFrame([(1, text, "en", "a", 1), (1, text, "en", "a", 1), (1, "another text of this id with enough words", "en", "a", 1), (2, text + " x", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     out = rows(cp.distinct(spark, d, sf))
     assert sorted(r[1] for r in out) == sorted([text, "another text of this id with enough words"])
+
+
+def test_columns_of_any_names(spark, odd, sf):
+    """Every stage keeps the columns and values of documents whose names it uses itself, and null ids come last."""
+    from pyspark.sql import functions as F
+
+    names = ["n_hit", "n_words", "items", "spans", "score", "rejected", "lang_pred", "region", "rack", "shard", "row_key", "slot", "size", "whole", "part", "taken", "k", "c0", "component_id", "n_shingles"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in cp.STAGES:
+        out = written(stage(spark, docs, sf), name)
+        assert out.columns[: len(docs.columns)] == docs.columns and len(out.columns) == len(docs.columns) + (3 if name == "sharding" else 0)
+        assert out.count() and out.filter(" or ".join(f"not {n} <=> '{n} of ' || doc_id" for n in names)).isEmpty()
+    last = written(cp.shard(spark, docs, sf), "shards")
+    assert last.columns[-3:] == ["_region", "_rack", "_shard"] and last.filter("_shard is null").isEmpty()
+
+
+def test_null_ids_come_last(spark, sf):
+    text = " ".join(f"w{k}" for k in range(30))
+    d = spark.createDataFrame([(None, text, "en", "a", 1), (20, text, "en", "a", 1), (15, text + " x", "en", "a", 1), (-3, "y " + text, "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r[0] for r in rows(cp.distinct(spark, d, sf))] == [-3]
+    assert [r[0] for r in rows(cp.distinct(spark, d.filter("doc_id is null or doc_id > 0"), sf))] == [15]
