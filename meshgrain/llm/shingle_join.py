@@ -107,7 +107,7 @@ def _post(batches, width: int, buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def _share(table: pa.Table, buckets: int) -> pa.Table:
+def _share(table: pa.Table) -> pa.Table:
     """Of a bucket's postings, those whose shingle is in two sets or more."""
     if table.column("high")[0].as_py() is None:
         empty = pa.array([None] * len(table), pa.binary())
@@ -137,7 +137,7 @@ def _share(table: pa.Table, buckets: int) -> pa.Table:
         for b, n in zip(table.column("blob").to_pylist(), size):
             shared = np.flatnonzero(df[at : at + n] > 1) + at
             if len(shared):
-                out.append((b, who[shared].tobytes(), (value[shared] * _U(buckets) + _U(key)).tobytes(), df[shared].tobytes()))
+                out.append((b, who[shared].tobytes(), mix(mix(value[shared]) + _U(key)).tobytes(), df[shared].tobytes()))
             at += n
         none = [None] * len(out)
         cols = [pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3)), pa.array(none, pa.list_(pa.string())), pa.array(none, pa.list_(pa.int32())), pa.array(none, pa.binary())]
@@ -279,10 +279,10 @@ def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS * 8)
     volume = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(16, min(1 << 15, math.ceil(volume / PACK_BYTES)))
+    buckets = max(16, math.ceil(volume / PACK_BYTES))
     inner = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("body"))
     posted = inner.mapInArrow(lambda it: _post(it, width, buckets), _POSTING)
-    shared = posted.groupBy("key").applyInArrow(lambda t: _share(t, buckets), _SHARED)
+    shared = posted.groupBy("key").applyInArrow(_share, _SHARED)
     return written(shared.groupBy("blob").applyInArrow(lambda t: _gather(t, percent), _SETS), "sets")
 
 
