@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import algebra, kernels, partition, spectral, topology
+from . import algebra, dofs, kernels, partition, spectral, topology
 
 #: Levels of at most so many dofs are solved densely on the driver; beyond, over tables: by conjugate gradients where M is
 #: diagonal, by minimal residuals elsewhere.
@@ -55,9 +55,25 @@ class Hierarchy:
         n = self.nonzeros()
         return sum(n) / n[0]
 
-    def solve(self, level: int, f: DataFrame, g: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """sigma and u of the mixed system with right-hand side (g, f) on a level."""
-        return solve(self.systems[level], f, g)
+    def solve(self, level: int, f: DataFrame, g: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+        """sigma and u of the mixed system with right-hand side (g, f) on a level; options as of solve()."""
+        return solve(self.systems[level], f, g, **options)
+
+    def average(self, level: int, x: DataFrame, partition: DataFrame) -> DataFrame:
+        """Level to level + 1 by piecewise constants: the averages over aggregates, by the vertices' sizes."""
+        return dofs.averages(x, partition, self.sizes(level))
+
+    def sizes(self, level: int) -> DataFrame:
+        """(i, v): the number of finest vertices in each vertex of a level, as the square of the constant on it."""
+        s = self.systems[level]
+        c = s.vdofs.join(s.constant, F.col("vdof") == F.col("i"))
+        return c.groupBy(F.col("vertex").alias("i")).agg(F.sum(F.col("v") * F.col("v")).alias("v"))
+
+    def info(self) -> DataFrame:
+        """(level, vertices, vdofs, edofs, nonzeros, complexity): complexity is that of the levels up to this one."""
+        n = self.nonzeros()
+        rows = [(k, s.vdofs.select("vertex").distinct().count(), s.vdofs.count(), s.edofs.count(), n[k], sum(n[: k + 1]) / n[0]) for k, s in enumerate(self.systems)]
+        return self.systems[0].vdofs.sparkSession.createDataFrame(rows, "level int, vertices long, vdofs long, edofs long, nonzeros long, complexity double")
 
     def upscaled(self, level: int, f: DataFrame) -> tuple[DataFrame, DataFrame]:
         """A fine right-hand side solved on a level, the solution brought back to the finest."""
@@ -97,11 +113,19 @@ def _table(spark, ids: np.ndarray, v: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"i": ids, "v": v}), "i long, v double")
 
 
-def solve(system: spectral.System, f: DataFrame, g: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def solve(system: spectral.System, f: DataFrame, g: DataFrame | None = None, *, method: str = "auto", tolerance: float | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """sigma and u of [[M, D^T], [D, -W]] (sigma, u) = (g, f). method: dense (on the driver, up to LOCAL_DOFS), cg (over tables,
+    for a diagonal M), minres (over tables), or auto, the first of these that can. tolerance and most, the number of
+    iterations, are for the iterations over tables; these raise if they don't come down to it."""
     spark = f.sparkSession
-    nv, ne = system.vdofs.count(), system.edofs.count()
-    if nv + ne > LOCAL_DOFS:
-        return (conjugate_gradients if algebra.is_diagonal(system.m) else minimal_residuals)(system, f, g)
+    small = system.vdofs.count() + system.edofs.count() <= LOCAL_DOFS if method in ("auto", "dense") else False
+    if method == "dense" and not small:
+        raise ValueError(f"more than {LOCAL_DOFS} dofs for the driver")
+    if not small:
+        options = {k: v for k, v in (("tolerance", tolerance), ("most", most)) if v is not None}
+        if method == "auto":
+            method = "cg" if algebra.is_diagonal(system.m) else "minres"
+        return {"cg": conjugate_gradients, "minres": minimal_residuals}[method](system, f, g, **options)
     v = np.sort(system.vdofs.select("vdof").toPandas()["vdof"].to_numpy())
     e = np.sort(system.edofs.select("edof").toPandas()["edof"].to_numpy())
     w = _local(system.w, v, v) if system.w is not None else None
@@ -197,9 +221,24 @@ def minimal_residuals(system: spectral.System, f: DataFrame, g: DataFrame | None
     return s, algebra.minus_projection(u, system.constant) if system.w is None else u
 
 
-def fiedler(edges: DataFrame) -> DataFrame:
-    """(i, v): the second eigenvector of a small graph's Laplacian, of length one."""
-    a = topology.laplacian(edges)
-    ids = np.sort(a.select("i").distinct().toPandas()["i"].to_numpy())
-    _, vectors = kernels.smallest_pairs(_local(a, ids, ids), 2, 1.0)
-    return _table(edges.sparkSession, ids, vectors[:, 1])
+def fiedler(edges: DataFrame, steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
+    """(i, v): the second eigenvector of a connected graph's Laplacian, of length one. Up to LOCAL_DOFS vertices by a dense
+    eigenproblem on the driver; beyond, by inverse iteration over tables, a solve by conjugate gradients in each step."""
+    from ..sources.checkpoints import written
+
+    vertices = written(topology.incidence(edges).select("vertex").distinct(), "vertices")
+    if vertices.count() <= LOCAL_DOFS:
+        a = topology.laplacian(edges)
+        ids = np.sort(vertices.toPandas()["vertex"].to_numpy())
+        _, vectors = kernels.smallest_pairs(_local(a, ids, ids), 2, 1.0)
+        return _table(edges.sparkSession, ids, vectors[:, 1])
+    return inverse_iteration(spectral.fine_system(written(edges, "edges"), vertices), steps, tolerance)
+
+
+def inverse_iteration(system: spectral.System, steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
+    """(i, v): the eigenvector of D M^-1 D^T with the least eigenvalue but that of the constant, M diagonal, from hashed values."""
+    from ..sources.checkpoints import written
+
+    apply = lambda y: conjugate_gradients(system, algebra.minus_mean(y).select("i", (-F.col("v")).alias("v")))[1]
+    x = algebra.minus_mean(system.vdofs.select(F.col("vdof").alias("i"), (F.xxhash64("vdof") / F.lit(float(1 << 63))).alias("v")))
+    return algebra.power_iterate(apply, written(x, "start"), steps, tolerance, written)[1]

@@ -170,6 +170,27 @@ def statistics(s: DataFrame, key: str = "level", value: str = "q") -> DataFrame:
     )
 
 
+def white_noise(ids: DataFrame, seed: int) -> DataFrame:
+    """(i, v): a standard normal value for each i, from hashes of (i, seed): the same wherever the rows are."""
+    u = lambda k: (F.pmod(F.xxhash64("i", F.lit(seed), F.lit(k)), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
+    return ids.select("i", (F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))).alias("v"))
+
+
+def lognormal(system, volumes: DataFrame, correlation: float, dimension: int = 2, seed: int = 22, **options) -> DataFrame:
+    """(i, v): the exponential of a Matern field over a level's vertices, over tables: (kappa^2 - Laplacian) u = white noise,
+    with W = kappa^2 volume; options as of hierarchy.solve()."""
+    from .hierarchy import solve
+    from .spectral import System
+
+    kappa, nu = 1 / correlation, 1.0 if dimension == 2 else 0.5
+    g = (4 * math.pi) ** (dimension / 4) * kappa**nu * math.sqrt(math.gamma(nu + dimension / 2) / math.gamma(nu))
+    w = volumes.select("i", F.col("i").alias("j"), (F.lit(kappa**2) * F.col("v")).alias("v"))
+    noise = white_noise(volumes.select("i"), seed).withColumnRenamed("v", "xi").join(volumes, "i")
+    f = noise.select("i", (F.lit(-g) * F.sqrt("v") * F.col("xi")).alias("v"))
+    _, u = solve(System(system.vdofs, system.edofs, system.m, system.d, system.constant, w), f, **options)
+    return u.select("i", F.exp("v").alias("v"))
+
+
 def log_likelihoods(observations: DataFrame, data: DataFrame, sigma: float, key: str, place: str, value: str) -> DataFrame:
     """(key, loglik, lik): for each sample `key`, -sum (value - v)^2 / sigma^2 over the places (place, v) with data, and its
     exponential. A sample without an observation at such a place has no row for it, and 0 if it has none at all."""

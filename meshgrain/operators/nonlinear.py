@@ -71,6 +71,33 @@ def limited(change: DataFrame, alpha: float, limit: float) -> DataFrame:
     return change.join(F.broadcast(most)).select("block", "i", (F.col("v") * scale).alias("v"))
 
 
+def picard(system, elements: DataFrame, k: Conductivity, f: DataFrame, *, most: int = 50, relative: float = 1e-8, absolute: float = 1e-12) -> tuple[DataFrame, list[float]]:
+    """The potentials and fluxes (block, i, v) of the flow with conductivity k(u) on a level of elements (elem, i, j, v), by
+    Picard's iteration over tables, and the norms of the residual before each step.
+
+    A step solves the linear system with M divided by k at the last potentials, zero at first; it ends when the residual's norm
+    is below max(absolute, relative x that of f), and raises if that takes more than `most` steps.
+    """
+    from ..sources.checkpoints import written
+    from .elements import assemble
+    from .hierarchy import solve
+    from .spectral import System
+
+    zero = lambda t, c: t.select(F.col(c).alias("i"), F.lit(0.0).alias("v")).distinct()
+    right = written(algebra.stacked(zero(system.edofs, "edof"), f), "right")
+    x = written(algebra.stacked(zero(system.edofs, "edof"), zero(system.vdofs, "vdof")), "state")
+    norm = lambda y: y.agg(F.coalesce(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.lit(0.0))).first()[0]
+    history, goal = [], max(absolute, relative * norm(right))
+    for _ in range(most + 1):
+        history.append(norm(residual(elements, system.d, k, x, right)))
+        if history[-1] < goal:
+            return x, history
+        coefficient = algebra.block_vector(x, 1).select("i", conductivity(k, F.col("v")).alias("v"))
+        linear = System(system.vdofs, system.edofs, written(assemble(elements, coefficient), "mass"), system.d, system.constant, system.w)
+        x = written(algebra.stacked(*solve(linear, f)), "state")
+    raise RuntimeError(f"residual {history[-1]:.1e} after {most} steps, above {goal:.1e}")
+
+
 @dataclass
 class Result:
     flux: np.ndarray

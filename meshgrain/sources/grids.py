@@ -89,6 +89,20 @@ def two_point_weights(faces: DataFrame, permeability: DataFrame, spacing: tuple[
     return halves.groupBy("face", "cell0", "cell1", "attr").agg((1 / F.sum(1 / F.col("half"))).alias("w")).select(F.col("face").alias("edge"), F.col("cell0").alias("v0"), F.col("cell1").alias("v1"), "w", "attr")
 
 
+def reservoir(spark: SparkSession, permeability: DataFrame, size: tuple[int, int, int], spacing: tuple[float, float, float], plane: str = "none", at: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Edges (edge, v0, v1, w, attr) and cells (cell, ix, iy, iz) of a grid with permeability (ix, iy, iz, kx, ky, kz), or of its
+    slice: plane xy, xz or yz, the third index `at`. A slice is a grid of one layer whose axes are the plane's."""
+    axes = {"none": "xyz", "xy": "xyz", "xz": "xzy", "yz": "yzx"}[plane]
+    place = ["xyz".index(c) for c in axes]
+    size, spacing = [size[k] for k in place], [spacing[k] for k in place]
+    k = permeability.select(*[F.col(f"i{c}").alias(n) for c, n in zip(axes, ("ix", "iy", "iz"))], *[F.col(f"k{c}").alias(n) for c, n in zip(axes, ("kx", "ky", "kz"))])
+    if plane != "none":
+        k, size = k.filter(F.col("iz") == at).withColumn("iz", F.lit(0).cast("long")), [*size[:2], 1]
+    grid = cells(spark, tuple(size))
+    own = grid.join(k, ["ix", "iy", "iz"]).select("cell", "kx", "ky", "kz")
+    return two_point_weights(cell_faces(grid, tuple(size), 3 if plane == "none" else 2), own, tuple(spacing)), grid
+
+
 def half_domain(grid: DataFrame, nx: int, value: float = 1.0) -> DataFrame:
     """(i, v): -value on the low half in x, +value on the high one."""
     return grid.select(F.col("cell").alias("i"), F.when(F.col("ix") < nx / 2, -value).otherwise(value).alias("v"))

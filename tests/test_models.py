@@ -161,3 +161,110 @@ def test_preconditioners():
     assert np.linalg.norm(a @ two.x - b) < 1e-4 or two.iterations < plain.iterations
     unit = np.ones(3) / np.sqrt(3)
     assert np.allclose(unit @ kernels.deflate(np.eye(3), unit), 0) and kernels.beside(unit, np.eye(3)).shape == (3, 3)
+
+
+def test_solver_by_name(spark, grid):
+    """Dense, conjugate gradients and minimal residuals agree; what can't be done raises."""
+    _, _, h, _ = grid
+    f = spark.createDataFrame([(i, 1.0 if i < 32 else -1.0) for i in range(64)], "i long, v double")
+    dense = [r.v for r in h.solve(0, f, method="dense")[1].sort("i").collect()]
+    assert np.allclose(dense, [r.v for r in h.solve(0, f, method="cg", tolerance=1e-8, most=100)[1].sort("i").collect()], atol=1e-6)
+    with pytest.raises(RuntimeError):
+        h.solve(0, f, method="cg", most=2)
+    assert sorted(r.v for r in h.sizes(1).collect()) == pytest.approx([16.0] * 4) and h.info().collect()[1].vertices == 4
+
+
+def test_inverse_iteration(spark):
+    """The second eigenvector of a path, up to its sign, by solves over tables and by the dense eigenproblem."""
+    e = grids.path(spark, 12)
+    dense = np.array([r.v for r in hierarchy.fiedler(e).sort("i").collect()])
+    found = hierarchy.inverse_iteration(spectral.fine_system(e, spark.range(12).withColumnRenamed("id", "vertex")), 6, 1e-4)
+    found = np.array([r.v for r in found.sort("i").collect()])
+    assert np.allclose(dense, found * np.sign(found @ dense), atol=0.02)
+    k = np.arange(12)
+    exact = np.cos(np.pi * (k + 0.5) / 12)
+    assert np.allclose(abs(dense @ exact / np.linalg.norm(exact)), 1)
+
+
+def test_picard_over_tables(spark, grid):
+    """Potentials agree with those of the iteration on arrays."""
+    edges, _, h, el = grid
+    system = spectral.System(**{**h.systems[0].__dict__, "w": None})
+    f = spark.createDataFrame([(i, 0.2 if i < 32 else -0.2) for i in range(64)], "i long, v double")
+    x, history = nonlinear.picard(system, el[0], nonlinear.Conductivity(0.5), f, relative=1e-6)
+    assert len(history) > 2 and history[-1] < 1e-6 * history[0] * 2
+    ls = [montecarlo.Level(**{**level.__dict__, "w": None}) for level in montecarlo.levels(h, el)]
+    want = nonlinear.solve(ls[:1], nonlinear.Conductivity(0.5), np.where(np.arange(64) < 32, 0.2, -0.2), newton=False).potential
+    got = np.array([r.v for r in x.filter("block = 1").sort("i").collect()])
+    assert np.allclose(got - got.mean(), want - want.mean(), atol=1e-4)
+
+
+def test_white_noise_and_lognormal(spark, grid):
+    _, _, h, _ = grid
+    ids = spark.range(20000).withColumnRenamed("id", "i")
+    s = montecarlo.white_noise(ids, 3).agg(F.avg("v"), F.var_samp("v"), F.avg(F.col("v") ** 3)).first()
+    assert abs(s[0]) < 0.03 and abs(s[1] - 1) < 0.05 and abs(s[2]) < 0.1
+    assert montecarlo.white_noise(ids.repartition(7), 3).exceptAll(montecarlo.white_noise(ids, 3)).isEmpty()
+    volumes = spark.range(64).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
+    k = np.array([r.v for r in montecarlo.lognormal(h.systems[0], volumes, 5.0).sort("i").collect()])
+    assert len(k) == 64 and (k > 0).all() and np.log(k).std() > 0.05
+
+
+def test_slices_of_a_grid(spark):
+    size, spacing = (3, 4, 2), (1.0, 2.0, 5.0)
+    cells = grids.cells(spark, size)
+    k = cells.select("ix", "iy", "iz", *[(F.lit(s) * (1 + F.col("cell"))).alias(n) for s, n in ((1.0, "kx"), (2.0, "ky"), (3.0, "kz"))])
+    for plane, n, inner in (("none", 24, 2 * 8 + 3 * 3 * 2 + 12), ("xy", 12, 8 + 9), ("xz", 6, 4 + 3), ("yz", 8, 6 + 4)):
+        e, grid = grids.reservoir(spark, k, size, spacing, plane, 1 if plane == "xy" else 0)
+        assert grid.count() == n and e.filter("v1 is not null").count() == inner
+    # xy at iz = 1: cells 12 and 13 are neighbours in x; half weights k * 2 * (2 * 5) / 1
+    w = {(r.v0, r.v1): r.w for r in grids.reservoir(spark, k, size, spacing, "xy", 1)[0].filter("v1 is not null").collect()}
+    assert w[0, 1] == pytest.approx(1 / (1 / (13 * 20.0) + 1 / (14 * 20.0)))
+
+
+def test_files_of_levels(spark, grid, tmp_path):
+    from meshgrain.sources import files
+
+    _, _, h, _ = grid
+    files.write_levels({"pu": [h.steps[0].u], "m": [s.m for s in h.systems]}, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "m")).filter("level = 1").count() == h.systems[1].m.count()
+    nested = spark.createDataFrame([((1, (2.5, "x")), 3)], "a struct<b: int, c: struct<d: double, e: string>>, f int")
+    assert files.flattened(nested).columns == ["a-b", "a-c-d", "a-c-e", "f"] and tuple(files.flattened(nested).first()) == (1, 2.5, "x", 3)
+
+
+def test_text_read_by_blocks(spark, tmp_path):
+    """A vector of many lines, read in blocks of a few KB, comes in the order of the file."""
+    from meshgrain.sources import files
+
+    values = np.random.default_rng(0).random(30000).round(6)
+    (tmp_path / "v.txt").write_text("".join(f"{v}{' ' if k % 3 else chr(10)}" for k, v in enumerate(values)) + "\n\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        t = files.read_vector(spark, str(tmp_path / "v.txt")).sort("i").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.i for r in t] == list(range(30000)) and np.allclose([r.v for r in t], values)
+
+
+def test_parts_are_balanced(spark):
+    """A star grows no part beyond twice the mean; all vertices are placed once."""
+    e = spark.createDataFrame([(k, 0, k + 1, 1.0) for k in range(99)], "edge long, v0 long, v1 long, w double")
+    from meshgrain.operators import partition
+
+    p = partition.grow(e, spark.range(100).withColumnRenamed("id", "vertex"), 4).toPandas()
+    sizes = p.groupby("agg").size()
+    assert len(p) == 100 and p.vertex.is_unique and sizes.max() <= 50
+
+
+def test_eigenvalues(spark):
+    """Published least eigenvalues of the second difference matrix and of the stiffness and mass matrices of linear elements."""
+    from meshgrain.operators import kernels
+
+    a = 2 * np.eye(10) - np.eye(10, k=1) - np.eye(10, k=-1)
+    assert kernels.smallest_pairs(a, 1, 1.0)[0][0] == pytest.approx(0.08101405, abs=1e-6)
+    h = 1 / 11
+    mass = h / 6 * (4 * np.eye(10) + np.eye(10, k=1) + np.eye(10, k=-1))
+    values, vectors = kernels.smallest_pairs(a / h, 1, 1.0, mass)
+    assert values[0] == pytest.approx(9.93687142, abs=1e-6)
+    assert np.allclose(a / h @ vectors[:, 0], values[0] * mass @ vectors[:, 0])
