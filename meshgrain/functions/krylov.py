@@ -1,4 +1,5 @@
-"""Krylov solvers for operators given as functions of numpy vectors: small systems on the driver or in a task."""
+"""Krylov solvers: conjugate gradients over tables, and for operators given as functions of numpy vectors, for the small
+systems of a task."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Solution(NamedTuple):
@@ -84,3 +87,30 @@ def minres(a: Callable, b: np.ndarray, relative: float = 1e-9, absolute: float =
             return Solution(x, k, float(abs(eta)))
         v0, v1, w0, w1, c0, c1, s0, s1, b1 = v1, v2 / b2, w1, w2, c1, c2, s1, s2, b2
     return Solution(x, most, float(abs(eta)))
+
+
+def over_tables(a: DataFrame, b: DataFrame, tolerance: float = 1e-9, most: int = 500) -> DataFrame:
+    """x (i, v) of A x = b by conjugate gradients with A's diagonal, from zero. A (i, j, v) is symmetric and positive, or
+    semidefinite with b in its range; b has a row for each unknown. Each iteration's vectors are written to the shared folder;
+    RuntimeError if the residual isn't `tolerance` of the first after `most` iterations."""
+    from ..operators import algebra
+    from ..sources.checkpoints import written
+
+    diag = a.filter("i = j").select("i", F.col("v").alias("d"))
+    state = b.join(diag, "i").select("i", F.col("v").alias("r"), F.lit(0.0).alias("x"), (F.col("v") / F.col("d")).alias("p"), "d")
+    state = written(state, "cg")
+    total = lambda t, x: t.agg(F.sum(x)).first()[0] or 0.0
+    start = rz = total(state, F.col("r") * F.col("r") / F.col("d"))
+    for _ in range(most):
+        if rz <= tolerance**2 * start:
+            break
+        ap = algebra.matvec(a, state.select("i", F.col("p").alias("v"))).select("i", F.col("v").alias("ap"))
+        state = written(state.join(ap, "i"), "cg")
+        alpha = rz / total(state, F.col("p") * F.col("ap"))
+        state = state.select("i", (F.col("r") - alpha * F.col("ap")).alias("r"), (F.col("x") + alpha * F.col("p")).alias("x"), "p", "d")
+        now = total(state, F.col("r") * F.col("r") / F.col("d"))
+        state = state.select("i", "r", "x", (F.col("r") / F.col("d") + now / rz * F.col("p")).alias("p"), "d")
+        rz = now
+    if rz > tolerance**2 * start:
+        raise RuntimeError(f"conjugate gradients: residual {(rz / start) ** 0.5:.1e} of the first after {most} iterations, above {tolerance:.1e}")
+    return state.select("i", F.col("x").alias("v"))

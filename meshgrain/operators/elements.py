@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import krylov
+from ..sources.checkpoints import written
 from . import algebra, topology
 from .spectral import System
 
@@ -59,7 +61,8 @@ def hybrid_solve(system: System, elements: DataFrame, f: DataFrame, coefficient:
 
     Each element condenses its fluxes and potentials; the condensed matrices are added up over multipliers; with these
     solved, each element finds its own fluxes and potentials. A shared flux is the mean of its two copies. Elements are
-    the vertices of the system's level. The system of multipliers is solved on the driver if it is small.
+    the vertices of the system's level. The system of multipliers is solved on the driver up to LOCAL_DOFS of them, beyond by
+    conjugate gradients over tables.
     """
     from .hierarchy import _local, _table, LOCAL_DOFS
 
@@ -100,13 +103,15 @@ def hybrid_solve(system: System, elements: DataFrame, f: DataFrame, coefficient:
         i, j = np.meshgrid(cs, cs, indexing="ij")
         return pd.DataFrame({"i": np.r_[i.ravel(), cs], "j": np.r_[j.ravel(), np.full(len(cs), -1)], "v": np.r_[h.ravel(), b]})
 
-    made = rows.groupBy("g").applyInPandas(condense, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    ids = np.sort(made.select("i").distinct().toPandas()["i"].to_numpy())
-    if len(ids) > LOCAL_DOFS:
-        raise ValueError("too many multipliers for the driver: coarsen first, or use conjugate gradients")
-    b = made.filter("j = -1").toPandas().set_index("i")["v"].reindex(ids).to_numpy() if len(ids) else np.zeros(0)
-    mu = np.linalg.lstsq(_local(made.filter("j >= 0"), ids, ids), b, rcond=1e-12)[0] if len(ids) else b
-    back = _table(spark, ids, mu) if len(ids) else spark.createDataFrame([], "i long, v double")
+    made = written(rows.groupBy("g").applyInPandas(condense, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")), "multipliers")
+    right = made.filter("j = -1").select("i", "v")
+    if right.count() > LOCAL_DOFS:
+        back = krylov.over_tables(made.filter("j >= 0"), right, 1e-10, 2000)
+    else:
+        t = right.toPandas().sort_values("i")
+        ids, b = t["i"].to_numpy(), t["v"].to_numpy()
+        mu = np.linalg.lstsq(_local(made.filter("j >= 0"), ids, ids), b, rcond=1e-12)[0] if len(ids) else b
+        back = _table(spark, ids, mu) if len(ids) else spark.createDataFrame([], "i long, v double")
     of = sign.select("g", "i").join(back, "i").select("g", F.lit("x").alias("kind"), "i", F.lit(0).cast("long").alias("j"), "v")
 
     def recover(table: pd.DataFrame) -> pd.DataFrame:

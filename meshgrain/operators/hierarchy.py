@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import krylov
 from . import algebra, dofs, kernels, partition, spectral, topology
 
 #: Levels of at most so many dofs are solved densely on the driver; beyond, over tables: by conjugate gradients where M is
@@ -147,29 +148,11 @@ def conjugate_gradients(system: spectral.System, f: DataFrame, g: DataFrame | No
     minv = system.m.select("i", (1 / F.col("v")).alias("v"))
     a = algebra.congruence(algebra.transpose(system.d), minv)
     a = written(algebra.combine((1.0, a), (1.0, system.w)) if system.w is not None else a, "schur")
-    diag = a.filter("i = j").select("i", F.col("v").alias("d"))
     b = system.constant.select("i", "v") if system.w is None else None
     own = algebra.rescale(g.select("i", "v"), minv) if g is not None else None
     parts = [(1.0, _zeros(system.vdofs, "vdof")), (-1.0, f.select("i", "v"))]
     r = algebra.combine(*parts, *([(1.0, algebra.matvec(system.d, own))] if own is not None else []))
-    r = algebra.minus_projection(r, b) if b is not None else r
-    state = r.join(diag, "i").select("i", F.col("v").alias("r"), F.lit(0.0).alias("x"), (F.col("v") / F.col("d")).alias("p"), "d")
-    state = written(state, "cg")
-    rz = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
-    start = rz
-    for _ in range(most):
-        if rz <= tolerance**2 * start:
-            break
-        ap = algebra.matvec(a, state.select("i", F.col("p").alias("v"))).select("i", F.col("v").alias("ap"))
-        state = written(state.join(ap, "i"), "cg")
-        alpha = rz / state.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-        state = state.select("i", (F.col("r") - alpha * F.col("ap")).alias("r"), (F.col("x") + alpha * F.col("p")).alias("x"), "p", "d")
-        now = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
-        state = state.select("i", "r", "x", (F.col("r") / F.col("d") + now / rz * F.col("p")).alias("p"), "d")
-        rz = now
-    if rz > tolerance**2 * start:
-        raise RuntimeError(f"conjugate gradients: residual {(rz / start) ** 0.5:.1e} of the first after {most} iterations, above {tolerance:.1e}")
-    u = state.select("i", F.col("x").alias("v"))
+    u = krylov.over_tables(a, algebra.minus_projection(r, b) if b is not None else r, tolerance, most)
     u = written(algebra.minus_projection(u, b) if b is not None else u, "u")
     parts = [(1.0, _zeros(system.edofs, "edof")), (-1.0, algebra.rescale(algebra.matvec(system.d, u, transposed=True), minv))]
     return algebra.combine(*parts, *([(1.0, own)] if own is not None else [])), u

@@ -49,10 +49,10 @@ def levels(h: Hierarchy, elements: list[DataFrame]) -> list[Level]:
     """The hierarchy in arrays; elements are each level's (elem, i, j, v). All levels are to be small."""
     out = []
     for k, (s, el) in enumerate(zip(h.systems, elements)):
+        if s.vdofs.count() + s.edofs.count() > LOCAL_DOFS:
+            raise ValueError("a level is too large for arrays")
         vd = s.vdofs.toPandas().sort_values("vdof")
         v, e = vd["vdof"].to_numpy(), np.sort(s.edofs.select("edof").toPandas()["edof"].to_numpy())
-        if len(v) + len(e) > LOCAL_DOFS:
-            raise ValueError("a level is too large for arrays")
         t = el.toPandas()
         names = np.unique(vd["vertex"].to_numpy())
         nxt = h.systems[k + 1] if k + 1 < len(h.systems) else None

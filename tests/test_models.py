@@ -268,3 +268,15 @@ def test_eigenvalues(spark):
     values, vectors = kernels.smallest_pairs(a / h, 1, 1.0, mass)
     assert values[0] == pytest.approx(9.93687142, abs=1e-6)
     assert np.allclose(a / h @ vectors[:, 0], values[0] * mass @ vectors[:, 0])
+
+
+def test_hybrid_over_tables(spark, grid, monkeypatch):
+    """The system of multipliers by conjugate gradients over tables gives the driver's solution."""
+    _, _, h, el = grid
+    f = spark.createDataFrame([(i, 1.0 if i < 32 else -1.0) for i in range(64)], "i long, v double")
+    f = h.restrict(0, f)
+    s, u = elements.hybrid_solve(h.systems[1], el[1], f)
+    monkeypatch.setattr(hierarchy, "LOCAL_DOFS", 3)
+    ts, tu = elements.hybrid_solve(h.systems[1], el[1], f)
+    for a, b in ((s, ts), (u, tu)):
+        assert np.allclose([r.v for r in a.sort("i").collect()], [r.v for r in b.sort("i").collect()], atol=1e-6)
