@@ -381,11 +381,15 @@ _PLACE_ROW = "bin long, f long, digest binary, around binary"
 
 
 def _meet(table: pa.Table, strings: int) -> pa.Table:
-    """(digest, n): the texts of a bin with the number of their anchors around which another text has the same string."""
-    f = table.column("f").to_numpy().view(_U)
-    text, code = np.unique(np.array(table.column("digest").to_pylist(), object), return_inverse=True)
-    around = np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint32).reshape(-1, strings)
-    shared = np.zeros(len(f), bool)
+    """(digest): the texts of a bin with an anchor around which another text has the same string; texts that come without
+    strings are such already."""
+    around = table.column("around").to_pylist()
+    digest = np.array(table.column("digest").to_pylist(), object)
+    known = np.array([a is None for a in around], bool)
+    f = table.column("f").to_numpy().view(_U)[~known]
+    text, code = np.unique(digest[~known], return_inverse=True)
+    around = np.frombuffer(b"".join(a for a in around if a is not None), np.uint32).reshape(-1, strings)
+    shared = np.zeros(len(text), bool)
     for k in range(strings):
         i = np.flatnonzero(around[:, k])
         key = mix(f[i] ^ (around[i, k].astype(_U) << _U(8)))
@@ -393,17 +397,18 @@ def _meet(table: pa.Table, strings: int) -> pa.Table:
         key, who = key[order], code[i][order]
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         last = np.append(head[1:], len(key)) - 1 if len(key) else head
-        several = np.repeat(who[head] != who[last], last - head + 1)
-        shared[i[order[several]]] = True
-    pairs = np.unique(np.stack([code[shared], f[shared].view(np.int64)]), axis=1)[0] if shared.any() else np.zeros(0, np.int64)
-    who, n = np.unique(pairs, return_counts=True)
-    return pa.table({"digest": pa.array([text[w] for w in who], pa.binary()), "n": pa.array(n.astype(np.int64))})
+        shared[who[np.repeat(who[head] != who[last], last - head + 1)]] = True
+    return pa.table({"digest": pa.array([*text[shared], *set(digest[known])], pa.binary())})
 
 
 def shared_passages(docs: DataFrame, *, text_col: str = "text", size: int = 51) -> DataFrame:
-    """(digest, n): the distinct texts (by MD5) that have a string of `size` words, [^\\x20\\x09-\\x0D]+ with any blanks between,
-    which another text has as well, and the number of places in them that show it. A string that recurs in one text alone, and
-    texts that occur several times, aren't found here. Null counts as empty."""
+    """(digest): the distinct texts (by MD5) that have a string of `size` words, [^\\x20\\x09-\\x0D]+ with any blanks between,
+    which another text has as well. A string that recurs in one text alone, and texts that occur several times, aren't found
+    here. Null counts as empty.
+
+    A task sends an anchor with the same surroundings once, with its first text; the others that have it are known to share a
+    string, and so is the first, so that a passage in very many texts doesn't come once for each of them.
+    """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -424,25 +429,37 @@ def shared_passages(docs: DataFrame, *, text_col: str = "text", size: int = 51)
 
     def emit(batches):
         seen: set[bytes] = set()
+        held: dict[tuple[int, bytes], bytes] = {}
+        told: set[bytes] = set()
         for batch in batches:
             for part in runs(batch, "body"):
                 f, own, around = _word_anchors(part.column("body"), size)
                 digest = part.column("digest").to_pylist()
                 fresh = np.array([d not in seen and not seen.add(d) for d in digest], bool)  # a text once in a task
                 keep = np.flatnonzero(_is_marked(marked, f) & fresh[own]) if len(f) else np.zeros(0, np.int64)
-                wide = np.ascontiguousarray(around(keep))
-                yield pa.RecordBatch.from_arrays([pa.array(((f[keep] >> _U(20)) % _U(bins)).astype(np.int64)), pa.array(f[keep].view(np.int64)), pa.array([digest[o] for o in own[keep].tolist()], pa.binary()), pa.array([r.tobytes() for r in wide], pa.binary())], names=["bin", "f", "digest", "around"])
-                if len(seen) > 1 << 20:
-                    seen.clear()
+                rows = []
+                for g, o, w in zip(f[keep].tolist(), own[keep].tolist(), np.ascontiguousarray(around(keep))):
+                    w, d = w.tobytes(), digest[o]
+                    first = held.setdefault((g, w), d)
+                    if first is d:
+                        rows.append(((g >> 20) % bins, g - (g >> 63 << 64), d, w))
+                    elif first != d:
+                        for x in (first, d):
+                            if x not in told:
+                                told.add(x)
+                                rows.append((x[0] % bins, 0, x, None))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bin", "f", "digest", "around"])
+                if len(seen) + len(held) > 1 << 20:
+                    seen.clear(), held.clear(), told.clear()
 
     strings = size - (size + 1) // 2 + 1
-    return rows.mapInArrow(emit, _PLACE_ROW).groupBy("bin").applyInArrow(lambda t: _meet(t, strings), "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(emit, _PLACE_ROW).groupBy("bin").applyInArrow(lambda t: _meet(t, strings), "digest binary").distinct()
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 400, passage: int = 51) -> DataFrame:
-    """(id, n_bytes, n_removed, spans, kept, n_shared): a row for each document; spans are the maximal removed runs (from,
-    to), in bytes, kept is what remains, as bytes. n_shared tells, apart from what is removed, of passages of `passage` words
-    that another document has as well: the number of places that show one, 0 without.
+    """(id, n_bytes, n_removed, spans, kept, shares_passage): a row for each document; spans are the maximal removed runs
+    (from, to), in bytes, kept is what remains, as bytes. shares_passage, apart from what is removed, is 1 if another document
+    has a passage of `passage` words of this one, else 0.
 
     A null text counts as empty; texts under `width` bytes keep all. Equal texts have equal results; a text of `width`
     bytes or more that occurs twice goes altogether, its first occurrence too. A cut may fall inside a character.
@@ -451,7 +468,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("body"), F.unhex(F.md5(text)).alias("digest"))
     copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.lit(True).alias("copied"))
     ranges = repeats(docs, text_col=text_col, width=width).groupBy("digest").agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
-    shared = shared_passages(docs, text_col=text_col, size=passage).withColumnRenamed("n", "shared")
+    shared = shared_passages(docs, text_col=text_col, size=passage).withColumn("shared", F.lit(1).cast("long"))
     verdict = ranges.join(copies, "digest", "full").join(shared, "digest", "full")
     joined = rows.join(verdict, "digest", "left").select("id", "body", "copied", "shared", F.col("ranges.a").alias("a"), F.col("ranges.z").alias("z"))
 
@@ -475,11 +492,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
                 spans.append([{"a": int(x), "z": int(y)} for x, y in zip(edge[::2], edge[1::2])])
                 kept.append(own[stay].tobytes())
             kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(shared, pa.int64())], names=["id", "n_bytes", "spans", "kept", "n_shared"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(shared, pa.int64())], names=["id", "n_bytes", "spans", "kept", "shares_passage"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, spans array<struct<a: long, z: long>>, kept binary, n_shared long")
-    return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), "spans", "kept", "n_shared")
+    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, spans array<struct<a: long, z: long>>, kept binary, shares_passage long")
+    return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), "spans", "kept", "shares_passage")
 
 
 def digest(kept: bytes) -> str:
@@ -489,4 +506,4 @@ def digest(kept: bytes) -> str:
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """All whole texts, strings of 400 bytes; beside them, passages of 51 words that documents share."""
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
