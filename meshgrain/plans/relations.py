@@ -360,7 +360,7 @@ def _permeability(grid):
     return grid.select("cell", k.alias("kx"), (2 * k).alias("ky"), (3 * k).alias("kz"))
 
 
-@query(_GRID + ", e as (select exp(-ix / 10.0) e, c from g) select g.c i, round(case when ix < 5 then -1.0 else 1.0 end, 6) half, (case when g.c = 0 then 1.0 when g.c = (select max(c) from g) then -1.0 else 0.0 end)::double wells, round(e.e - (select avg(e) from e), 6) wedge, coalesce(case when iy = 0 then 2.5 end, 0.0) inflow from g join e on e.c = g.c")
+@query(_GRID + ", e as (select exp(-ix / 10.0) e, c from g) select g.c i, (case when ix < 5 then -1.0 else 1.0 end)::double half, (case when g.c = 0 then 1.0 when g.c = (select max(c) from g) then -1.0 else 0.0 end)::double wells, round(e.e - (select avg(e) from e), 6) wedge, coalesce(case when iy = 0 then 2.5 end, 0.0)::double inflow from g join e on e.c = g.c")
 def grid_sources(spark, d):
     """Right-hand sides: half domains, corner wells, a wedge, and a flux through the low y boundary."""
     grid, size = _cells(spark, d)
