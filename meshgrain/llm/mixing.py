@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: White space as in [^\x20\x09-\x0D]+.
 GAPS = r"[\x20\x09-\x0D]+"
 
@@ -65,6 +67,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
     d = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__src"), word_count(text).alias("size"), key.alias("__key"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)])
     d = d.withColumn("__bucket", F.substring("__key", 1, 2))
+    if not carry:  # words are counted and texts hashed once; with columns to carry, reading them twice is the less
+        d = written(d, "sizes")
     by_bucket = d.groupBy("__src", "__bucket").agg(F.sum("size").alias("n"))
     sizes = by_bucket.groupBy(F.col("__src").alias("source")).agg(F.sum("n").alias("source_size"))
     goal = targets(sizes, weights, share, epochs)
