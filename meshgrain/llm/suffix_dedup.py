@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .textio import BATCH_ROWS, NOT_SPACE, Rolling, flat, mix, powers, runs, words
 
 _U = np.uint64
@@ -41,6 +42,8 @@ _PLACE = (1 << 20) - 1
 MAP_BITS = 26
 #: Text bytes for each bin of anchors.
 BIN_BYTES = 4 << 20
+#: Occurrences of a word anchor beyond which each string around it is dealt by itself.
+OFTEN = 1000
 
 
 def lyndon_groups(t: list[int]) -> tuple[list[int], list[int]]:
@@ -381,23 +384,32 @@ _PLACE_ROW = "bin long, f long, digest binary, around binary"
 
 
 def _meet(table: pa.Table, strings: int) -> pa.Table:
-    """(digest): the texts of a bin with an anchor around which another text has the same string; texts that come without
-    strings are such already."""
+    """(digest): the texts of a bin with an anchor around which another text has the same string. Texts without strings (null)
+    are such already; where they're empty, f stands for a single string."""
     around = table.column("around").to_pylist()
     digest = np.array(table.column("digest").to_pylist(), object)
     known = np.array([a is None for a in around], bool)
-    f = table.column("f").to_numpy().view(_U)[~known]
+    single = np.array([a == b"" for a in around], bool)
+    f = table.column("f").to_numpy().view(_U)
     text, code = np.unique(digest[~known], return_inverse=True)
-    around = np.frombuffer(b"".join(a for a in around if a is not None), np.uint32).reshape(-1, strings)
     shared = np.zeros(len(text), bool)
-    for k in range(strings):
-        i = np.flatnonzero(around[:, k])
-        key = mix(f[i] ^ (around[i, k].astype(_U) << _U(8)))
-        order = np.lexsort((code[i], key))
-        key, who = key[order], code[i][order]
+    code_of = np.zeros(len(f), np.int64)
+    code_of[~known] = code
+
+    def compare(key, who):
+        order = np.lexsort((who, key))
+        key, who = key[order], who[order]
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         last = np.append(head[1:], len(key)) - 1 if len(key) else head
         shared[who[np.repeat(who[head] != who[last], last - head + 1)]] = True
+
+    compare(f[single], code_of[single])
+    rest = ~known & ~single
+    f, code = f[rest], code_of[rest]
+    around = np.frombuffer(b"".join(a for a in around if a), np.uint32).reshape(-1, strings)
+    for k in range(strings):
+        i = np.flatnonzero(around[:, k])
+        compare(mix(f[i] ^ (around[i, k].astype(_U) << _U(8))), code[i])
     return pa.table({"digest": pa.array([*text[shared], *set(digest[known])], pa.binary())})
 
 
@@ -407,7 +419,8 @@ def shared_passages(docs: DataFrame, *, text_col: str = "text", size: int = 51)
     here. Null counts as empty.
 
     A task sends an anchor with the same surroundings once, with its first text; the others that have it are known to share a
-    string, and so is the first, so that a passage in very many texts doesn't come once for each of them.
+    string, and so is the first, so that a passage in very many texts doesn't come once for each of them. Of an anchor that
+    many texts have, each string around it goes to a bin by itself.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -423,10 +436,15 @@ def shared_passages(docs: DataFrame, *, text_col: str = "text", size: int = 51)
                 f, c = np.unique(pairs, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c.astype(np.int64))], names=["f", "c"])
 
-    marked = _marked(rows.select("body", "digest").mapInArrow(count, "f long, c long").groupBy("f").agg(F.sum("c").alias("c")).filter("c > 1"))
+    anchors = written(rows.select("body", "digest").mapInArrow(count, "f long, c long").groupBy("f").agg(F.sum("c").alias("c")).filter("c > 1"), "word-anchors")
+    marked, often = _marked(anchors), _marked(anchors.filter(F.col("c") > OFTEN))
     volume = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     bins = max(12, math.ceil(volume / BIN_BYTES))
 
+    def strings_of(g: int, around: np.ndarray) -> list[tuple[int, bytes]]:
+        k = np.flatnonzero(around).astype(_U)
+        return [(x, b"") for x in mix(_U(g) ^ mix(around[k].astype(_U) << _U(8) | k)).tolist()]
+
     def emit(batches):
         seen: set[bytes] = set()
         held: dict[tuple[int, bytes], bytes] = {}
@@ -438,8 +456,9 @@ def shared_passages(docs: DataFrame, *, text_col: str = "text", size: int = 51)
                 fresh = np.array([d not in seen and not seen.add(d) for d in digest], bool)  # a text once in a task
                 keep = np.flatnonzero(_is_marked(marked, f) & fresh[own]) if len(f) else np.zeros(0, np.int64)
                 rows = []
-                for g, o, w in zip(f[keep].tolist(), own[keep].tolist(), np.ascontiguousarray(around(keep))):
-                    w, d = w.tobytes(), digest[o]
+                found = zip(f[keep].tolist(), own[keep].tolist(), np.ascontiguousarray(around(keep)), _is_marked(often, f[keep]).tolist())
+                for g, o, w in ((g, o, w) for g, o, w, hot in found for g, w in (strings_of(g, w) if hot else ((g, w.tobytes()),))):
+                    d = digest[o]
                     first = held.setdefault((g, w), d)
                     if first is d:
                         rows.append(((g >> 20) % bins, g - (g >> 63 << 64), d, w))

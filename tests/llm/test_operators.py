@@ -533,3 +533,12 @@ def test_shared_passages(spark, odd, empty, docs, size):
         got = collections.Counter((-1 if r.doc_id is None else r.doc_id, r.shares_passage == 1) for r in suffix_dedup.dedup(d, passage=size).select("doc_id", "shares_passage").collect())
         assert got == collections.Counter(zip(t.doc_id, plain_shared([x if isinstance(x, str) else "" for x in t.text], size)))
     assert suffix_dedup.shared_passages(empty, size=size).count() == 0
+
+
+def test_shared_passages_of_common_anchors(spark, docs, monkeypatch):
+    """Anchors that many texts have, taken string by string, give the same texts."""
+    d = spark.createDataFrame(docs[["doc_id", "text"]])
+    found = lambda: sorted(bytes(r.digest) for r in suffix_dedup.shared_passages(d, size=12).collect())
+    once = found()
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 1)
+    assert found() == once and once
