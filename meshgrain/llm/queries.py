@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import decontamination, language, line_dedup, lm_scoring, media, mixing, quality, sharding, shingle_join, suffix_dedup
+from . import clustering, decontamination, language, line_dedup, lm_scoring, media, mixing, quality, resampling, secrets, sharding, shingle_join, suffix_dedup
 
 QUERIES = {
     "op1_hash_tree": sharding.op1_hash_tree,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": language.op10_language_id,
+    "op11_importance_sample": resampling.op11_importance_sample,
+    "op12_secret_scan": secrets.op12_secret_scan,
+    "op13_centroid_clusters": clustering.op13_centroid_clusters,
 }
 
 ORACLE_SQL = {
@@ -73,4 +76,47 @@ late as (select distinct case when fx < fy then y else x end id from pair),
 g as (select s.doc_id, s.k, c.id is not null and (late.id is not null or c.f <> {'d': s.doc_id, 'k': s.k}) gone from s left join c on c.w = s.w left join late on late.id = c.id),
 o as (select doc_id, count(*)::bigint n_lines, count(*) filter (gone)::bigint n_removed, coalesce(string_agg(k::varchar, ',' order by k) filter (gone), '') removed from g group by doc_id)
 select d.doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_removed, 0)::bigint n_removed, coalesce(removed, '') removed from documents d left join o using (doc_id)""",
+    "op11_importance_sample": r"""
+with recursive step as (select range::bigint b, range::bigint v, 0 k from range(256)
+  union all select b, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from step where k < 8),
+one as (select b, v from step where k = 8),
+d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+t as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+k as (select unnest([1, 2, 3]) k),
+fd as (select r, f, count(*) n from (select r, array_to_string(w[p:p + k - 1], ' ') f from (select r, w, k, unnest(range(1, len(w) - k + 2)) p from d, k where len(w) >= k)) group by r, f),
+ft as (select f, count(*) n from (select array_to_string(w[p:p + k - 1], ' ') f from (select w, k, unnest(range(1, len(w) - k + 2)) p from t, k where len(w) >= k)) group by f),
+fs as (select row_number() over () i, f, octet_length(encode(f)) n, hex(encode(f)) h from (select f from fd union select f from ft)),
+far as (select b, v, 0 q from one union all select far.b, xor(far.v // 256, o.v), q + 1 from far join one o on o.b = far.v % 256 where q < (select max(n) from fs)),
+zero as (select 4294967295::bigint v, 0 q union all select xor(zero.v // 256, o.v), q + 1 from zero join one o on o.b = zero.v % 256 where q < (select max(n) from fs)),
+linear as (select i, n, bit_xor(far.v) v from (select i, n, p, ('0x' || h[2 * p + 1:2 * p + 2])::bigint b from (select i, n, h, unnest(range(n)) p from fs)) x join far on far.b = x.b and far.q = x.n - 1 - p group by i, n),
+hashed as (select f, xor(xor(l.v, zero.v), 4294967295) % 10000 as bucket from fs join linear l using (i) join zero on zero.q = l.n),
+sb as (select bucket, sum(n)::double s from fd join hashed using (f) group by bucket),
+tb as (select bucket, sum(n)::double t from ft join hashed using (f) group by bucket),
+total as (select (select coalesce(sum(s), 0) from sb) s_all, (select coalesce(sum(t), 0) from tb) t_all),
+gain as (select f, floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint g from hashed join sb using (bucket) left join tb using (bucket), total),
+weigh as (select r, sum(n * g)::bigint weight, sum(n)::bigint n from fd join gain using (f) group by r),
+scored as (select r, doc_id, len(w) n_words, coalesce(n, 0) n_features, coalesce(weight, 0) weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::varchar, ''))[1:8])::bigint + 0.5) / 4294967296)))::bigint score from d left join weigh using (r)),
+ranked as (select r, row_number() over (order by score desc, doc_id nulls last, r) k, count(*) over () n from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when k <= 5 * n // 100 then k end as rank from scored left join ranked using (r)""",
+    "op13_centroid_clusters": """
+with x as (select row_number() over () v, vec_id, list_transform(embedding, lambda e: floor(64 * e::double)::bigint) x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64),
+m0 as (select row_number() over (order by h, x) - 1 as c, x from (select x, sha256('1:' || coalesce(vec_id::varchar, '')) h from x order by h, x limit 16)),
+a0 as (select v, c, d from (select v, c, d, row_number() over (partition by v order by d, c) k from
+  (select x.v, m.c, list_sum(list_transform(range(1, 65), lambda i: (x.x[i] - m.x[i]) * (x.x[i] - m.x[i])))::bigint d from x, m0 m)) where k = 1),
+s0 as (select c, p, sum(u) s, count(*) n from (select a.c, unnest(range(1, 65)) p, unnest(x.x) u from a0 a join x using (v)) group by c, p),
+m1 as (select c, coalesce(n.x, m.x) x from m0 m left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by p) x from s0 group by c) n using (c)),
+a1 as (select v, c, d from (select v, c, d, row_number() over (partition by v order by d, c) k from
+  (select x.v, m.c, list_sum(list_transform(range(1, 65), lambda i: (x.x[i] - m.x[i]) * (x.x[i] - m.x[i])))::bigint d from x, m1 m)) where k = 1),
+s1 as (select c, p, sum(u) s, count(*) n from (select a.c, unnest(range(1, 65)) p, unnest(x.x) u from a1 a join x using (v)) group by c, p),
+m2 as (select c, coalesce(n.x, m.x) x from m1 m left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by p) x from s1 group by c) n using (c)),
+a2 as (select v, c, d from (select v, c, d, row_number() over (partition by v order by d, c) k from
+  (select x.v, m.c, list_sum(list_transform(range(1, 65), lambda i: (x.x[i] - m.x[i]) * (x.x[i] - m.x[i])))::bigint d from x, m2 m)) where k = 1),
+s2 as (select c, p, sum(u) s, count(*) n from (select a.c, unnest(range(1, 65)) p, unnest(x.x) u from a2 a join x using (v)) group by c, p),
+m3 as (select c, coalesce(n.x, m.x) x from m2 m left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by p) x from s2 group by c) n using (c)),
+a3 as (select v, c, d from (select v, c, d, row_number() over (partition by v order by d, c) k from
+  (select x.v, m.c, list_sum(list_transform(range(1, 65), lambda i: (x.x[i] - m.x[i]) * (x.x[i] - m.x[i])))::bigint d from x, m3 m)) where k = 1)
+select vec_id, c::int as "cluster", d as distance, sum(d) over (partition by c)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia, sha256(array_to_string(m3.x, ',')) as centroid_sha256
+from a3 join x using (v) join m3 using (c)""",
 }
