@@ -14,7 +14,7 @@
 
 Texts that occur more than once are one text in steps 1 to 3. Strings never cross documents.
 
-Beside it, shared_passages() finds the documents that share a passage of more than 50 words with another, whatever its bytes:
+Apart from it, and no part of the removal, sharing() finds the documents that share a passage of words with another, whatever its bytes:
 of the 26-word strings in each 51 words the one of least hash is an anchor; anchors that several texts have are marked
 in a bitmap as above, and where they meet, the 51-word strings around them are compared.
 """
@@ -475,10 +475,20 @@ def shared_passages(docs: DataFrame, *, text_col: str = "text", size: int = 51)
     return rows.mapInArrow(emit, _PLACE_ROW).groupBy("bin").applyInArrow(lambda t: _meet(t, strings), "digest binary").distinct()
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 400, passage: int = 51) -> DataFrame:
-    """(id, n_bytes, n_removed, spans, kept, shares_passage): a row for each document; spans are the maximal removed runs
-    (from, to), in bytes, kept is what remains, as bytes. shares_passage, apart from what is removed, is 1 if another document
-    has a passage of `passage` words of this one, else 0.
+def sharing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 51) -> DataFrame:
+    """(id, shares): for each document whether another has a string of `size` words of it; copies of a text that is long enough share
+    theirs. Null counts as empty."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    long = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")) >= size
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), long.alias("long"), F.unhex(F.md5(text)).alias("digest"))
+    copies = rows.filter("long").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    found = copies.unionByName(shared_passages(docs, text_col=text_col, size=size)).distinct().withColumn("shares", F.lit(True))
+    return rows.join(found, "digest", "left").select(F.col("id").alias(id_col), F.coalesce("shares", F.lit(False)).alias("shares"))
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 400) -> DataFrame:
+    """(id, n_bytes, n_removed, spans, kept): a row for each document; spans are the maximal removed runs
+    (from, to), in bytes, kept is what remains, as bytes.
 
     A null text counts as empty; texts under `width` bytes keep all. Equal texts have equal results; a text of `width`
     bytes or more that occurs twice goes altogether, its first occurrence too. A cut may fall inside a character.
@@ -487,20 +497,15 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("body"), F.unhex(F.md5(text)).alias("digest"))
     copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.lit(True).alias("copied"))
     ranges = repeats(docs, text_col=text_col, width=width).groupBy("digest").agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
-    shared = shared_passages(docs, text_col=text_col, size=passage).withColumn("shared", F.lit(1).cast("long"))
-    verdict = ranges.join(copies, "digest", "full").join(shared, "digest", "full")
-    joined = rows.join(verdict, "digest", "left").select("id", "body", "copied", "shared", F.col("ranges.a").alias("a"), F.col("ranges.z").alias("z"))
+    joined = rows.join(ranges.join(copies, "digest", "full"), "digest", "left").select("id", "body", "copied", F.col("ranges.a").alias("a"), F.col("ranges.z").alias("z"))
 
     def cut(batches):
         for batch in batches:
             data, at = flat(batch.column("body"))
-            spans, kept, shared = [], [], []
-            for i, (copied, places, a, z) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("copied", "shared", "a", "z")))):
+            spans, kept = [], []
+            for i, (copied, a, z) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("copied", "a", "z")))):
                 own = data[at[i] : at[i + 1]]
                 n = len(own)
-                if copied and not places:
-                    places = int(len(words(own, np.array([0, n]), NOT_SPACE)[0]) >= passage)
-                shared.append(places or 0)
                 if copied and n >= width:
                     a, z = [0], [n]
                 depth = np.zeros(n + 1, np.int32)
@@ -511,11 +516,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
                 spans.append([{"a": int(x), "z": int(y)} for x, y in zip(edge[::2], edge[1::2])])
                 kept.append(own[stay].tobytes())
             kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(shared, pa.int64())], names=["id", "n_bytes", "spans", "kept", "shares_passage"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, spans array<struct<a: long, z: long>>, kept binary, shares_passage long")
-    return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), "spans", "kept", "shares_passage")
+    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, spans array<struct<a: long, z: long>>, kept binary")
+    return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), "spans", "kept")
 
 
 def digest(kept: bytes) -> str:
@@ -523,6 +528,6 @@ def digest(kept: bytes) -> str:
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """All whole texts, strings of 400 bytes; beside them, passages of 51 words that documents share."""
+    """All whole texts, strings of 400 bytes."""
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -30,8 +31,10 @@ LOWER[0x41:0x5B] += 32
 
 
 def _frugal() -> None:
-    """Lets the allocator give large arrays back at once: else a worker keeps the most that it ever used, and several idle
-    workers share a machine. Without glibc nothing changes."""
+    """Lets a Spark worker's allocator give large arrays back at once: else it keeps the most that it ever used, and several idle
+    workers share a machine. Nothing changes in any other process, or without glibc."""
+    if TaskContext.get() is None:
+        return
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 4 << 20)  # arrays from 4 MB on are mapped, and unmapped when they go

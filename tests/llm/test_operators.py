@@ -530,7 +530,7 @@ def test_shared_passages(spark, odd, empty, docs, size):
     for d, key in ((spark.createDataFrame(rows, "doc_id long, text string"), None), (spark.createDataFrame(docs[["doc_id", "text"]]), None), (odd, None)):
         t = d.select("doc_id", "text").toPandas()
         t["doc_id"] = [-1 if pd.isna(i) else int(i) for i in t.doc_id]
-        got = collections.Counter((-1 if r.doc_id is None else r.doc_id, r.shares_passage == 1) for r in suffix_dedup.dedup(d, passage=size).select("doc_id", "shares_passage").collect())
+        got = collections.Counter((-1 if r.doc_id is None else r.doc_id, r.shares) for r in suffix_dedup.sharing(d, size=size).collect())
         assert got == collections.Counter(zip(t.doc_id, plain_shared([x if isinstance(x, str) else "" for x in t.text], size)))
     assert suffix_dedup.shared_passages(empty, size=size).count() == 0
 
