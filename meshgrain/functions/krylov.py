@@ -94,18 +94,19 @@ def over_tables(a: DataFrame, b: DataFrame, tolerance: float = 1e-9, most: int =
     semidefinite with b in its range; b has a row for each unknown. Each iteration's vectors are written to the shared folder;
     RuntimeError if the residual isn't `tolerance` of the first after `most` iterations."""
     from ..operators import algebra
-    from ..sources.checkpoints import written
+    from ..sources.checkpoints import Rounds
 
+    table = Rounds("cg")
     diag = a.filter("i = j").select("i", F.col("v").alias("d"))
     state = b.join(diag, "i").select("i", F.col("v").alias("r"), F.lit(0.0).alias("x"), (F.col("v") / F.col("d")).alias("p"), "d")
-    state = written(state, "cg")
+    state = table(state)
     total = lambda t, x: t.agg(F.sum(x)).first()[0] or 0.0
     start = rz = total(state, F.col("r") * F.col("r") / F.col("d"))
     for _ in range(most):
         if rz <= tolerance**2 * start:
             break
         ap = algebra.matvec(a, state.select("i", F.col("p").alias("v"))).select("i", F.col("v").alias("ap"))
-        state = written(state.join(ap, "i"), "cg")
+        state = table(state.join(ap, "i"))
         alpha = rz / total(state, F.col("p") * F.col("ap"))
         state = state.select("i", (F.col("r") - alpha * F.col("ap")).alias("r"), (F.col("x") + alpha * F.col("p")).alias("x"), "p", "d")
         now = total(state, F.col("r") * F.col("r") / F.col("d"))

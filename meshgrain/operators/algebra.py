@@ -262,7 +262,8 @@ def squared_distances(vectors: DataFrame, group: Column, id_col: str, array_col:
 
 def power_iterate(a: Callable[[DataFrame], DataFrame] | DataFrame, x: DataFrame, steps: int = 1000, tolerance: float = 1e-8, cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[float, DataFrame]:
     """The dominant eigenvalue and vector: each step turns the sign, applies, and stops where the Rayleigh quotient's
-    relative change is small. `cut` cuts the lineage of a step's vector."""
+    relative change is below the tolerance; RuntimeError if it isn't after all steps. A tolerance of 0 asks for exactly `steps` steps.
+    `cut` cuts the lineage of a step's vector."""
     apply = (lambda y: matvec(a, y)) if isinstance(a, DataFrame) else a
     norm = np.sqrt(inner(x, x).first().dot)
     x, last = x.select("i", (F.col("v") / F.lit(float(norm))).alias("v")), None
@@ -273,36 +274,41 @@ def power_iterate(a: Callable[[DataFrame], DataFrame] | DataFrame, x: DataFrame,
         norm = np.sqrt(inner(y, y).first().dot)
         x = y.select("i", (F.col("v") / F.lit(float(norm))).alias("v"))
         if last is not None and abs(value - last) < tolerance * abs(value):
-            break
+            return value, x
         last = value
+    if tolerance > 0:
+        raise RuntimeError(f"the quotient still changes by {tolerance:.1e} or more after {steps} steps")
     return value, x
 
 
-def _bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """Adds __b, a number that rises with a numeric key: its place among quantiles, which are constants of the plan."""
-    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.5 / parts)))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    return df.withColumn("__b", place)
+def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df with __p, a part that rises with the whole key, and __own, a row's place in its part; written. Spark samples the
+    keys and cuts at as many places as the session's shuffle has partitions, which adaptive execution makes fewer for small tables."""
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    return written(ranged.select("*", F.spark_partition_id().alias("__p"), own.alias("__own")), "numbering")
 
 
-def numbered(df: DataFrame, name: str, *order: str, parts: int = 32) -> DataFrame:
-    """Adds a number from 0 without gaps in the given order, whose first column is numeric and not null.
+def _starts(d: DataFrame, amount: Column) -> DataFrame:
+    """What all parts before each have in sum: a row for each part, however long the table."""
+    each = d.groupBy("__p").agg(amount.alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(each.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
 
-    Rows are dealt by quantiles of the first column; only a table of `parts` counts meets in one task. Rows that agree in
-    all of the order's columns take their numbers in any order. The table is written first, as it is read more than once.
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Adds a number from 0 without gaps in the given order of orderable columns, nulls first.
+
+    Rows are dealt by ranges of the whole key, so that a first column of few values doesn't matter; only a table of a count for each part
+    meets in one task. Rows that agree in all of the order's columns take their numbers in any order. The table is written, as numbers
+    are places in its parts.
     """
-    d = _bucketed(written(df, "numbering"), order[0], parts)
-    start = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    start = start.select(F.col("__b"), F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    own = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
-    return d.withColumn("__own", own).join(F.broadcast(start), "__b").withColumn(name, (F.col("__own") + F.col("__start")).cast("long")).drop("__b", "__own", "__start")
-
-
-def offsets(sizes: DataFrame, key: str, size: str, parts: int = 32) -> DataFrame:
-    """Exclusive prefix sums in the order of a numeric key, which occurs once each: (key, size, start). Dealt as numbered()."""
-    d = _bucketed(written(sizes.select(key, size), "numbering"), key, parts)
-    start = d.groupBy("__b").agg(F.sum(size).alias("__n"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    start = start.select("__b", F.coalesce(F.sum("__n").over(before(Window.orderBy("__b"))), F.lit(0)).alias("__start"))
-    own = F.coalesce(F.sum(size).over(before(Window.partitionBy("__b").orderBy(key))), F.lit(0))
-    return d.withColumn("__own", own).join(F.broadcast(start), "__b").select(key, size, (F.col("__own") + F.col("__start")).cast("long").alias("start"))
+    d = _ranged(df, order)
+    return d.join(_starts(d, F.count(F.lit(1))), "__p").withColumn(name, (F.col("__own") + F.col("__start")).cast("long")).drop("__p", "__own", "__start")
+
+
+def offsets(sizes: DataFrame, key: str, size: str) -> DataFrame:
+    """Exclusive prefix sums in the order of a key, which occurs once each: (key, size, start). Dealt as numbered()."""
+    d = _ranged(sizes.select(key, size), [key])
+    own = F.coalesce(F.sum(size).over(Window.partitionBy("__p").orderBy("__own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumn("__sum", own).join(_starts(d, F.sum(size)), "__p").select(key, size, (F.col("__sum") + F.col("__start")).cast("long").alias("start"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -10,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import krylov
-from . import algebra, dofs, kernels, partition, spectral, topology
+from ..sources.checkpoints import Rounds, written
+from . import algebra, dofs, kernels, multilevel, partition, spectral, topology
+from .elements import assemble, coarse_elements
 
 #: Levels of at most so many dofs are solved densely on the driver; beyond, over tables: by conjugate gradients where M is
 #: diagonal, by minimal residuals elsewhere.
@@ -21,21 +25,56 @@ LOCAL_DOFS = 6000
 class Hierarchy:
     systems: list[spectral.System]
     steps: list[spectral.Coarsening] = field(default_factory=list)
+    #: Of each coarsening: its partition, the vertices that it left alone (None: none), and seconds.
+    partitions: list[DataFrame] = field(default_factory=list)
+    alone: list[DataFrame | None] = field(default_factory=list)
+    seconds: list[float] = field(default_factory=list)
+    #: M by elements, of the levels for which they are known.
+    elements: list[DataFrame] = field(default_factory=list)
 
     @staticmethod
-    def build(system: spectral.System, partitions: Sequence[DataFrame | None], par: spectral.Parameters = spectral.Parameters()) -> Hierarchy:
-        """One coarsening for each partition (vertex, agg); None grows one by the coarsening factor."""
+    def build(
+        system: spectral.System, partitions: Sequence[DataFrame | None], par: spectral.Parameters = spectral.Parameters(), *, alone: DataFrame | None = None, elements: DataFrame | None = None
+    ) -> Hierarchy:
+        """One coarsening for each partition (vertex, agg); None makes one with a small cut, by the coarsening factor.
+
+        The vertices `alone` (vertex) are aggregates by themselves on every level: they are taken out before a partition is made, and
+        out of a given one. With `elements` (elements.fine_elements), those of all levels are kept, for rescaled().
+        """
         h = Hierarchy([system])
+        if elements is not None:
+            h.elements.append(elements)
         for p in partitions:
+            start = time.time()
             s = h.systems[-1]
             if p is None:
                 edges = s.edofs.filter("v0 <> v1").groupBy("v0", "v1").agg(F.min("edof").alias("edge"), F.lit(1.0).alias("w"))
                 vertices = s.vdofs.select("vertex").distinct()
-                p = partition.connected_parts(edges.select("edge", "v0", "v1", "w"), partition.grow(edges.select("edge", "v0", "v1", "w"), vertices, partition.parts_for(vertices.count(), par.coarsening)))
+                if alone is not None:
+                    edges, vertices = partition.without_vertices(edges, vertices, alone)
+                p = multilevel.cut_parts(edges, vertices, partition.parts_for(vertices.count(), par.coarsening))
+                if alone is not None:
+                    p = p.unionByName(alone.select("vertex", F.lit(-1).cast("long").alias("agg")))
+            if alone is not None:
+                p = written(partition.kept_alone(p, alone), "partition")
             h.steps.append(spectral.coarsen(s, p, par))
             h.systems.append(h.steps[-1].coarse)
+            h.partitions.append(p)
+            h.alone.append(alone)
+            if alone is not None:
+                alone = p.join(alone.select("vertex"), "vertex", "left_semi").select(F.col("agg").alias("vertex"))
+            if elements is not None:
+                h.elements.append(written(coarse_elements(h.elements[-1], p, h.steps[-1].s), "elements"))
+            h.seconds.append(time.time() - start)
         return h
 
+    def rescaled(self, level: int, coefficient: DataFrame) -> spectral.System:
+        """A level's system for another coefficient (i, v), one of each vertex of the level: its elements, divided by theirs and added
+        up again. Nothing else is made anew, on this level or on others. Needs a hierarchy that was built with elements."""
+        if level >= len(self.elements):
+            raise ValueError("build the hierarchy with elements to rescale its levels")
+        return dataclasses.replace(self.systems[level], m=written(assemble(self.elements[level], coefficient), "mass"))
+
     def restrict(self, level: int, x: DataFrame, flux: bool = False) -> DataFrame:
         """Level to level + 1, by the transposed transfer."""
         return algebra.matvec(self.steps[level].s if flux else self.steps[level].u, x, transposed=True)
@@ -71,10 +110,12 @@ class Hierarchy:
         return c.groupBy(F.col("vertex").alias("i")).agg(F.sum(F.col("v") * F.col("v")).alias("v"))
 
     def info(self) -> DataFrame:
-        """(level, vertices, vdofs, edofs, nonzeros, complexity): complexity is that of the levels up to this one."""
+        """(level, vertices, vdofs, edofs, nonzeros, complexity, seconds): complexity is that of the levels up to this one, seconds
+        are those that making the level took, 0 for the given one."""
         n = self.nonzeros()
-        rows = [(k, s.vdofs.select("vertex").distinct().count(), s.vdofs.count(), s.edofs.count(), n[k], sum(n[: k + 1]) / n[0]) for k, s in enumerate(self.systems)]
-        return self.systems[0].vdofs.sparkSession.createDataFrame(rows, "level int, vertices long, vdofs long, edofs long, nonzeros long, complexity double")
+        took = [0.0, *self.seconds]
+        rows = [(k, s.vdofs.select("vertex").distinct().count(), s.vdofs.count(), s.edofs.count(), n[k], sum(n[: k + 1]) / n[0], took[k]) for k, s in enumerate(self.systems)]
+        return self.systems[0].vdofs.sparkSession.createDataFrame(rows, "level int, vertices long, vdofs long, edofs long, nonzeros long, complexity double, seconds double")
 
     def upscaled(self, level: int, f: DataFrame) -> tuple[DataFrame, DataFrame]:
         """A fine right-hand side solved on a level, the solution brought back to the finest."""
@@ -141,8 +182,6 @@ def _zeros(dofs: DataFrame, dof: str) -> DataFrame:
 def conjugate_gradients(system: spectral.System, f: DataFrame, g: DataFrame | None = None, tolerance: float = 1e-9, most: int = 500) -> tuple[DataFrame, DataFrame]:
     """The same over tables, for a diagonal M: (D M^-1 D^T + W) u = D M^-1 g - f with a diagonal preconditioner, and
     sigma = M^-1 (g - D^T u). Each iteration's vectors are written to the shared folder."""
-    from ..sources.checkpoints import written
-
     if not algebra.is_diagonal(system.m):
         raise ValueError("conjugate gradients need a diagonal M; minimal_residuals takes others")
     minv = system.m.select("i", (1 / F.col("v")).alias("v"))
@@ -161,8 +200,6 @@ def conjugate_gradients(system: spectral.System, f: DataFrame, g: DataFrame | No
 def minimal_residuals(system: spectral.System, f: DataFrame, g: DataFrame | None = None, tolerance: float = 1e-10, most: int = 2000) -> tuple[DataFrame, DataFrame]:
     """The same over tables, for any M: both equations as one symmetric system, preconditioned by the diagonals of M and of
     D diag(M)^-1 D^T + W. Edofs are numbered 2 i + 1 and vdofs 2 i in it."""
-    from ..sources.checkpoints import written
-
     edge, vertex = (lambda c: F.col(c) * 2 + 1), (lambda c: F.col(c) * 2)
     block = lambda m, i, j, sign=1.0: m.select(i("i").alias("i"), j("j").alias("j"), (sign * F.col("v")).alias("v"))
     stacked = lambda x, i, sign=1.0: x.select(i("i").alias("i"), (sign * F.col("v")).alias("v"))
@@ -176,7 +213,8 @@ def minimal_residuals(system: spectral.System, f: DataFrame, g: DataFrame | None
     right = algebra.minus_projection(right, system.constant) if system.w is None else right
     left = algebra.combine((1.0, _zeros(system.edofs, "edof")), *([(1.0, g.select("i", "v"))] if g is not None else []))
     v = stacked(left, edge).unionByName(stacked(right, vertex)).join(scale, "i")
-    state = written(v.select("i", "d", "v", *(F.lit(0.0).alias(c) for c in ("v0", "w", "w0", "x"))), "minres")
+    rounds = Rounds("minres")
+    state = rounds(v.select("i", "d", "v", *(F.lit(0.0).alias(c) for c in ("v0", "w", "w0", "x"))))
     norm = lambda t: (t.agg(F.sum(F.col("v") * F.col("v") / F.col("d"))).first()[0] or 0.0) ** 0.5
     old, now = 1.0, norm(state)
     eta, start = now, now
@@ -186,7 +224,7 @@ def minimal_residuals(system: spectral.System, f: DataFrame, g: DataFrame | None
             break
         state = state.withColumn("z", F.col("v") / F.col("d") / now)
         az = algebra.matvec(a, state.select("i", F.col("z").alias("v"))).select("i", F.col("v").alias("az"))
-        state = written(state.join(az, "i"), "minres")
+        state = rounds(state.join(az, "i"))
         delta = state.agg(F.sum(F.col("az") * F.col("z"))).first()[0]
         state = state.withColumns({"v": F.col("az") - delta / now * F.col("v") - now / old * F.col("v0"), "v0": F.col("v")}).drop("az")
         new = norm(state)
@@ -207,8 +245,6 @@ def minimal_residuals(system: spectral.System, f: DataFrame, g: DataFrame | None
 def fiedler(edges: DataFrame, steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
     """(i, v): the second eigenvector of a connected graph's Laplacian, of length one. Up to LOCAL_DOFS vertices by a dense
     eigenproblem on the driver; beyond, by inverse iteration over tables, a solve by conjugate gradients in each step."""
-    from ..sources.checkpoints import written
-
     vertices = written(topology.incidence(edges).select("vertex").distinct(), "vertices")
     if vertices.count() <= LOCAL_DOFS:
         a = topology.laplacian(edges)
@@ -220,8 +256,6 @@ def fiedler(edges: DataFrame, steps: int = 60, tolerance: float = 1e-6) -> DataF
 
 def inverse_iteration(system: spectral.System, steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
     """(i, v): the eigenvector of D M^-1 D^T with the least eigenvalue but that of the constant, M diagonal, from hashed values."""
-    from ..sources.checkpoints import written
-
     apply = lambda y: conjugate_gradients(system, algebra.minus_mean(y).select("i", (-F.col("v")).alias("v")))[1]
     x = algebra.minus_mean(system.vdofs.select(F.col("vdof").alias("i"), (F.xxhash64("vdof") / F.lit(float(1 << 63))).alias("v")))
     return algebra.power_iterate(apply, written(x, "start"), steps, tolerance, written)[1]

@@ -52,15 +52,15 @@ def inverse_slope(k: Conductivity, u: Column) -> Column:
     return F.lit(k.beta / (k.ks * k.alpha)) * F.signum(p) * F.pow(F.abs(p), F.lit(k.beta - 1))
 
 
-def residual(elements: DataFrame, d: DataFrame, k: Conductivity, x: DataFrame, right: DataFrame) -> DataFrame:
-    """right - [[M(k(u)), D^T], [D, 0]] x over tables: x and right are (block, i, v), 0 the fluxes, 1 the potentials; an
+def residual(elements: DataFrame, d: DataFrame, k: Conductivity, x: DataFrame, right: DataFrame, w: DataFrame | None = None) -> DataFrame:
+    """right - [[M(k(u)), D^T], [D, -W]] x over tables: x and right are (block, i, v), 0 the fluxes, 1 the potentials; an
     element (elem, i, j, v) is a vertex's, and divided by k at its potential."""
     from .elements import apply
 
     s, u = algebra.block_vector(x, 0), algebra.block_vector(x, 1)
     coefficient = u.select("i", conductivity(k, F.col("v")).alias("v"))
     top = algebra.combine((1.0, algebra.block_vector(right, 0)), (-1.0, apply(elements, s, coefficient)), (-1.0, algebra.matvec(d, u, transposed=True)))
-    low = algebra.combine((1.0, algebra.block_vector(right, 1)), (-1.0, algebra.matvec(d, s)))
+    low = algebra.combine((1.0, algebra.block_vector(right, 1)), (-1.0, algebra.matvec(d, s)), *([(1.0, algebra.matvec(w, u))] if w is not None else []))
     return algebra.stacked(top, low)
 
 
@@ -78,23 +78,24 @@ def picard(system, elements: DataFrame, k: Conductivity, f: DataFrame, *, most:
     A step solves the linear system with M divided by k at the last potentials, zero at first; it ends when the residual's norm
     is below max(absolute, relative x that of f), and raises if that takes more than `most` steps.
     """
-    from ..sources.checkpoints import written
+    from ..sources.checkpoints import Rounds, written
     from .elements import assemble
     from .hierarchy import solve
     from .spectral import System
 
     zero = lambda t, c: t.select(F.col(c).alias("i"), F.lit(0.0).alias("v")).distinct()
     right = written(algebra.stacked(zero(system.edofs, "edof"), f), "right")
-    x = written(algebra.stacked(zero(system.edofs, "edof"), zero(system.vdofs, "vdof")), "state")
+    state, mass = Rounds("state"), Rounds("mass")
+    x = state(algebra.stacked(zero(system.edofs, "edof"), zero(system.vdofs, "vdof")))
     norm = lambda y: y.agg(F.coalesce(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.lit(0.0))).first()[0]
     history, goal = [], max(absolute, relative * norm(right))
     for _ in range(most + 1):
-        history.append(norm(residual(elements, system.d, k, x, right)))
+        history.append(norm(residual(elements, system.d, k, x, right, system.w)))
         if history[-1] < goal:
             return x, history
         coefficient = algebra.block_vector(x, 1).select("i", conductivity(k, F.col("v")).alias("v"))
-        linear = System(system.vdofs, system.edofs, written(assemble(elements, coefficient), "mass"), system.d, system.constant, system.w)
-        x = written(algebra.stacked(*solve(linear, f)), "state")
+        linear = System(system.vdofs, system.edofs, mass(assemble(elements, coefficient)), system.d, system.constant, system.w)
+        x = state(algebra.stacked(*solve(linear, f)))
     raise RuntimeError(f"residual {history[-1]:.1e} after {most} steps, above {goal:.1e}")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.checkpoints import written
+from ..sources.checkpoints import Rounds, written
 from .algebra import numbered
 
 
@@ -47,7 +47,8 @@ def component_labels(edges: DataFrame, vertices: DataFrame, rounds: int = 60) ->
     """
     e = edges.filter("v1 is not null").select("v0", "v1")
     both = written(e.unionByName(e.select(F.col("v1").alias("v0"), F.col("v0").alias("v1"))).distinct(), "neighbours")
-    at = written(vertices.select("vertex", F.col("vertex").alias("label")).distinct(), "labels")
+    table = Rounds("labels")
+    at = table(vertices.select("vertex", F.col("vertex").alias("label")).distinct())
     for _ in range(rounds):
         near = both.join(at.select(F.col("vertex").alias("v1"), "label"), "v1").groupBy(F.col("v0").alias("vertex")).agg(F.min("label").alias("near"))
         step = at.join(near, "vertex", "left").select("vertex", "label", F.least("label", "near").alias("new"))
@@ -55,7 +56,7 @@ def component_labels(edges: DataFrame, vertices: DataFrame, rounds: int = 60) ->
         hook = step.groupBy("label").agg(F.min("new").alias("hook"))
         new = step.join(hook, "label").select("vertex", F.col("label").alias("old"), F.least("new", "hook").alias("label"))
         jump = new.select(F.col("vertex").alias("label"), F.col("label").alias("to"))
-        new = written(new.join(jump, "label", "left").select("vertex", "old", F.least("label", "to").alias("label")), "labels")
+        new = table(new.join(jump, "label", "left").select("vertex", "old", F.least("label", "to").alias("label")))
         if new.filter("old <> label").isEmpty():
             return new.select("vertex", "label")
         at = new.select("vertex", "label")
@@ -108,7 +109,8 @@ def grow(edges: DataFrame, vertices: DataFrame, parts: int, rounds: int | None =
     v = written(vertices.select("vertex").distinct(), "vertices")
     most = max(1, int(balance * v.count() / max(1, parts)))
     seeds = v.orderBy(F.xxhash64("vertex", F.lit(seed)), "vertex").limit(parts)
-    at = written(numbered(seeds, "agg", "vertex").select("vertex", "agg"), "parts")
+    table = Rounds("parts")
+    at = table(numbered(seeds, "agg", "vertex").select("vertex", "agg"))
     e = edges.filter("v1 is not null").select("v0", "v1", "w")
     both = written(e.unionByName(e.select(F.col("v1").alias("v0"), F.col("v0").alias("v1"), "w")), "neighbours")
     for _ in range(rounds if rounds is not None else 1000):
@@ -117,11 +119,10 @@ def grow(edges: DataFrame, vertices: DataFrame, parts: int, rounds: int | None =
         best = pull.groupBy("v0", "agg").agg(F.sum("w").alias("w")).join(room, "agg").groupBy("v0").agg(F.max(F.struct("w", -F.col("agg"), "room")).alias("m"))
         new = best.select(F.col("v0").alias("vertex"), (-F.col("m.col2")).cast("long").alias("agg"), "m.w", "m.room")
         rank = F.row_number().over(Window.partitionBy("agg").orderBy(F.desc("w"), "vertex"))
-        new = written(new.withColumn("rank", rank).filter("rank <= room").select("vertex", "agg"), "parts")
-        if new.isEmpty():
+        now = table(new.withColumn("rank", rank).filter("rank <= room").select("vertex", "agg", F.lit(True).alias("new")).unionByName(at.withColumn("new", F.lit(False))))
+        at = now.select("vertex", "agg")
+        if now.filter("new").isEmpty():
             break
-        at = at.unionByName(new)
-    at = written(at, "parts")
     rest = v.join(at, "vertex", "left_anti")
     if rest.isEmpty():
         return at
@@ -139,7 +140,8 @@ def colours(adjacency: DataFrame, seed: int | None = None, rounds: int = 1000) -
     """
     e = adjacency.filter("i <> j").select("i", "j")
     both = written(e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "neighbours")
-    at = written(both.select(F.col("i").alias("vertex")).distinct().withColumn("colour", F.lit(None).cast("long")), "colours")
+    table = Rounds("colours")
+    at = table(both.select(F.col("i").alias("vertex")).distinct().withColumn("colour", F.lit(None).cast("long")))
     place = lambda c: F.col(c) if seed is None else F.struct(F.xxhash64(c, F.lit(seed)), F.col(c))
     for _ in range(rounds):
         if at.filter("colour is null").isEmpty():
@@ -149,5 +151,5 @@ def colours(adjacency: DataFrame, seed: int | None = None, rounds: int = 1000) -
         told = near.groupBy("i").agg(waits.alias("waits"), F.collect_set("colour").alias("taken")).filter("not waits")
         free = F.array_min(F.array_except(F.sequence(F.lit(0).cast("long"), F.size("taken").cast("long")), "taken"))
         new = told.select(F.col("i").alias("vertex"), free.alias("new"))
-        at = written(at.join(new, "vertex", "left").select("vertex", F.coalesce("colour", "new").alias("colour")), "colours")
+        at = table(at.join(new, "vertex", "left").select("vertex", F.coalesce("colour", "new").alias("colour")))
     raise RuntimeError(f"vertices without a colour after {rounds} rounds")

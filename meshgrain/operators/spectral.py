@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.checkpoints import written
 from . import algebra
-from .kernels import one_minus_one, orthogonal_to_first, saddle_solve, smallest_pairs
+from .kernels import dual_system, one_minus_one, orthogonal_to_first, saddle_solve, smallest_pairs
 from .topology import signed_incidence
 
 
@@ -28,6 +28,10 @@ class Parameters:
     max_vectors: int = 4
     max_traces: int = 4
     coarsening: float = 64.0
+    #: Trace samples by eigenvectors of the edges' Laplacian, where M is diagonal; with M on both sides; in the energy M + D^T D.
+    dual: bool = False
+    dual_scaled: bool = False
+    dual_energy: bool = False
 
 
 @dataclass(frozen=True)
@@ -94,6 +98,14 @@ class _Group:
         return t.reindex(ids).fillna(0.0).to_numpy()
 
 
+def _entries(blocks: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]], column: str) -> pd.DataFrame:
+    """(kind, i, column, v) of dense blocks (kind, row ids, column ids, values)."""
+    join = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
+    kinds = np.array([k for k, i, j, _ in blocks for _ in range(len(i) * len(j))], object)
+    rows, columns = join([np.repeat(i, len(j)) for _, i, j, _ in blocks], np.int64), join([np.tile(j, len(i)) for _, i, j, _ in blocks], np.int64)
+    return pd.DataFrame({"kind": kinds, "i": rows, column: columns, "v": join([v.ravel() for *_, v in blocks], np.float64)})
+
+
 def _placed(system: System, partition: DataFrame) -> tuple[DataFrame, DataFrame]:
     """vdofs and edofs with their aggregates: (vdof, agg) and (edof, a, b)."""
     p = partition.select("vertex", "agg")
@@ -105,7 +117,8 @@ def _placed(system: System, partition: DataFrame) -> tuple[DataFrame, DataFrame]
 def vertex_targets(system: System, partition: DataFrame, par: Parameters) -> DataFrame:
     """(agg, kind, i, k, v): kind u, target k of an aggregate at vdof i; kind s, trace sample k at edof i.
 
-    The eigenvectors are those of D M^-1 D^T on the aggregate and its neighbouring vertices, with the edofs inside.
+    The eigenvectors are those of D M^-1 D^T on the aggregate and its neighbouring vertices, with the edofs inside. Samples are their
+    fluxes, or, with par.dual, eigenvectors of the edges' own Laplacian there.
     """
     ends = system.edofs.filter("v0 <> v1")
     near = ends.select(F.col("v0").alias("x"), F.col("v1").alias("y")).unionByName(ends.select(F.col("v1").alias("x"), F.col("v0").alias("y"))).distinct()
@@ -121,7 +134,6 @@ def vertex_targets(system: System, partition: DataFrame, par: Parameters) -> Dat
     def kernel(key, table: pd.DataFrame) -> pd.DataFrame:
         g = _Group(table)
         v, e, own_ = g.ids("v"), g.ids("e"), g.ids("own")
-        out = []
         if len(v) == 1 or not len(e):
             targets, samples = np.ones((len(own_), 1)) / np.sqrt(len(own_)), np.zeros((len(e), 0))
         else:
@@ -129,12 +141,15 @@ def vertex_targets(system: System, partition: DataFrame, par: Parameters) -> Dat
             flux = np.linalg.solve(m, d.T)
             _, vectors = smallest_pairs(d @ flux, max(most, traces), tolerance)
             samples = flux @ vectors[:, 1:]
+            if par.dual and not np.count_nonzero(m - np.diag(m.diagonal())):
+                # a vertex without an edge inside has no row
+                a, b = dual_system(d[np.abs(d).sum(1) > 0], 1 / m.diagonal(), par.dual_scaled, par.dual_energy)
+                values, samples = smallest_pairs(a, traces, tolerance, b)
+                if values[0] > 1e-8 * max(1.0, np.abs(a).max()):
+                    raise ValueError(f"the least eigenvalue of the edges' Laplacian is {values[0]:.1e}, not 0")
             inside = vectors[np.searchsorted(v, own_)]
             targets = orthogonal_to_first(inside[:, 0], inside[:, 1:most], most)
-        for kind, ids, block in (("u", own_, targets), ("s", e, samples)):
-            i, k = np.meshgrid(np.arange(len(ids)), np.arange(block.shape[1]), indexing="ij")
-            out.append(pd.DataFrame({"agg": key[0], "kind": kind, "i": ids[i.ravel()], "k": k.ravel(), "v": block.ravel()}))
-        return pd.concat(out)
+        return _entries([(kind, ids, np.arange(block.shape[1]), block) for kind, ids, block in (("u", own_, targets), ("s", e, samples))], "k").assign(agg=key[0])
 
     return written(rows.groupBy("g").applyInPandas(kernel, "agg long, kind string, i long, k long, v double"), "targets")
 
@@ -236,13 +251,10 @@ def coarsen(system: System, partition: DataFrame, par: Parameters = Parameters()
             flow -= np.outer(c, c @ flow) / (c @ c)
             ext, _ = saddle_solve(m, de, np.column_stack([np.zeros((len(e_), len(bc))), g.dense("m", e_, f) @ t_]), np.column_stack([bubbles, flow]))
             names = np.concatenate([bc, tc])
-            i, k = np.meshgrid(np.arange(len(e_)), np.arange(len(names)), indexing="ij")
-            out.append(pd.DataFrame({"kind": "p", "i": e_[i.ravel()], "j": names[k.ravel()], "v": ext.ravel()}))
+            out.append(("p", e_, names, ext))
         if len(bc):  # a bubble's coefficient is its target's product with the divergence
-            q = bubbles.T @ d
-            i, k = np.meshgrid(np.arange(len(bc)), np.arange(len(cols)), indexing="ij")
-            out.append(pd.DataFrame({"kind": "q", "i": bc[i.ravel()], "j": cols[k.ravel()], "v": q.ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"kind": [], "i": [], "j": [], "v": []})
+            out.append(("q", bc, cols, bubbles.T @ d))
+        return _entries(out, "j")
 
     made = written(rows.groupBy("g").applyInPandas(kernel, "kind string, i long, j long, v double"), "extensions")
     rim_rows = traces.join(tn, ["a", "b", "k"]).select("i", F.col("c").alias("j"), (-F.col("v")).alias("v"))

@@ -20,9 +20,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it back."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes df as Parquet below the shared folder and reads it back."""
+    return _write(df, name)[0]
+
+
+class Rounds:
+    """The tables of an iteration: a call writes one as written() does, and deletes the one before the last, so that an
+    iteration holds two at a time. For iterations in which a table depends on the last one alone; the last two stay."""
+
+    def __init__(self, name: str):
+        self.name, self.paths = name, []
+
+    def __call__(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        out, path = _write(df, name or self.name)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            jvm = df.sparkSession.sparkContext._jvm
+            old = jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
+            old.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        return out
