@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshgrain.operators import partition, topology
-from meshgrain.plans import catalog, relations  # noqa: F401  fills the catalog
+from meshgrain.plans import catalog, invariants, relations  # noqa: F401  they fill the catalog
 from meshgrain.sources import files, grids
 from meshgrain.streaming import statistics
 
