@@ -89,8 +89,9 @@ def minres(a: Callable, b: np.ndarray, relative: float = 1e-9, absolute: float =
     return Solution(x, most, float(abs(eta)))
 
 
-def over_tables(a: DataFrame, b: DataFrame, tolerance: float = 1e-9, most: int = 500) -> DataFrame:
-    """x (i, v) of A x = b by conjugate gradients with A's diagonal, from zero. A (i, j, v) is symmetric and positive, or
+def over_tables(a: DataFrame, b: DataFrame, tolerance: float = 1e-9, most: int = 500, precondition: Callable[[DataFrame], DataFrame] | None = None, history: list[float] | None = None) -> DataFrame:
+    """x (i, v) of A x = b by conjugate gradients from zero, preconditioned by A's diagonal, or by a symmetric positive operator on tables
+    (i, v) that is given. `history` gets the preconditioned norm of the residual before each iteration. A (i, j, v) is symmetric and positive, or
     semidefinite with b in its range; b has a row for each unknown. Each iteration's vectors are written to the shared folder;
     RuntimeError if the residual isn't `tolerance` of the first after `most` iterations."""
     from ..operators import algebra
@@ -98,19 +99,28 @@ def over_tables(a: DataFrame, b: DataFrame, tolerance: float = 1e-9, most: int =
 
     table = Rounds("cg")
     diag = a.filter("i = j").select("i", F.col("v").alias("d"))
-    state = b.join(diag, "i").select("i", F.col("v").alias("r"), F.lit(0.0).alias("x"), (F.col("v") / F.col("d")).alias("p"), "d")
-    state = table(state)
+
+    def with_z(t: DataFrame) -> DataFrame:
+        """Adds z, the preconditioned residual."""
+        if precondition is None:
+            return t.join(diag, "i").withColumn("z", F.col("r") / F.col("d")).drop("d")
+        return t.join(precondition(t.select("i", F.col("r").alias("v"))).select("i", F.col("v").alias("z")), "i")
+
     total = lambda t, x: t.agg(F.sum(x)).first()[0] or 0.0
-    start = rz = total(state, F.col("r") * F.col("r") / F.col("d"))
+    state = table(with_z(b.select("i", F.col("v").alias("r"), F.lit(0.0).alias("x"))).withColumn("p", F.col("z")))
+    start = rz = total(state, F.col("r") * F.col("z"))
+    history = [] if history is None else history
     for _ in range(most):
+        history.append(max(rz, 0.0) ** 0.5)
         if rz <= tolerance**2 * start:
             break
         ap = algebra.matvec(a, state.select("i", F.col("p").alias("v"))).select("i", F.col("v").alias("ap"))
         state = table(state.join(ap, "i"))
         alpha = rz / total(state, F.col("p") * F.col("ap"))
-        state = state.select("i", (F.col("r") - alpha * F.col("ap")).alias("r"), (F.col("x") + alpha * F.col("p")).alias("x"), "p", "d")
-        now = total(state, F.col("r") * F.col("r") / F.col("d"))
-        state = state.select("i", "r", "x", (F.col("r") / F.col("d") + now / rz * F.col("p")).alias("p"), "d")
+        state = state.select("i", (F.col("r") - alpha * F.col("ap")).alias("r"), (F.col("x") + alpha * F.col("p")).alias("x"), "p")
+        state = table(with_z(state))
+        now = total(state, F.col("r") * F.col("z"))
+        state = state.withColumn("p", F.col("z") + now / rz * F.col("p"))
         rz = now
     if rz > tolerance**2 * start:
         raise RuntimeError(f"conjugate gradients: residual {(rz / start) ** 0.5:.1e} of the first after {most} iterations, above {tolerance:.1e}")

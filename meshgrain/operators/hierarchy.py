@@ -179,19 +179,55 @@ def _zeros(dofs: DataFrame, dof: str) -> DataFrame:
     return dofs.select(F.col(dof).alias("i"), F.lit(0.0).alias("v")).distinct()
 
 
-def conjugate_gradients(system: spectral.System, f: DataFrame, g: DataFrame | None = None, tolerance: float = 1e-9, most: int = 500) -> tuple[DataFrame, DataFrame]:
-    """The same over tables, for a diagonal M: (D M^-1 D^T + W) u = D M^-1 g - f with a diagonal preconditioner, and
-    sigma = M^-1 (g - D^T u). Each iteration's vectors are written to the shared folder."""
+def schur(system: spectral.System) -> DataFrame:
+    """D M^-1 D^T + W for a diagonal M, written."""
+    minv = system.m.select("i", (1 / F.col("v")).alias("v"))
+    a = algebra.congruence(algebra.transpose(system.d), minv)
+    return written(algebra.combine((1.0, a), (1.0, system.w)) if system.w is not None else a, "schur")
+
+
+def coarse_correction(a: DataFrame, transfers: Sequence[DataFrame]):
+    """An additive preconditioner of A over the levels below: the diagonal on each level, joined by the transfers P (i, j, v), and
+    on the last the inverse, densely where it has LOCAL_DOFS unknowns at most, its diagonal else.
+
+    A function of a residual (i, v), symmetric and positive, for krylov.over_tables. Level operators P^T A P are written once.
+    """
+    levels = [(a, None)]
+    for p in transfers:
+        levels.append((written(algebra.galerkin(levels[-1][0], p), "level"), p))
+    diagonals = [written(x.filter("i = j").groupBy("i").agg(F.sum("v").alias("v")), "diagonal") for x, _ in levels]
+    last, inverse = levels[-1][0], None
+    if transfers and diagonals[-1].count() <= LOCAL_DOFS:
+        ids = np.sort(diagonals[-1].toPandas()["i"].to_numpy())
+        inverse = np.linalg.pinv(_local(last, ids, ids), rcond=1e-12, hermitian=True)
+
+    def apply(r: DataFrame) -> DataFrame:
+        down = [r]
+        for _, p in levels[1:]:
+            down.append(algebra.matvec(p, down[-1], transposed=True))
+        z = _table(r.sparkSession, ids, inverse @ _vector(down[-1], ids)) if inverse is not None else algebra.rescale(down[-1], diagonals[-1], inverse=True)
+        for (_, p), diagonal, x in zip(levels[:0:-1], diagonals[-2::-1], down[-2::-1]):
+            z = algebra.combine((1.0, algebra.rescale(x, diagonal, inverse=True)), (1.0, algebra.matvec(p, z)))
+        return z
+
+    return apply
+
+
+def conjugate_gradients(
+    system: spectral.System, f: DataFrame, g: DataFrame | None = None, tolerance: float = 1e-9, most: int = 500, *, transfers: Sequence[DataFrame] = (), history: list[float] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The same over tables, for a diagonal M: (D M^-1 D^T + W) u = D M^-1 g - f, and sigma = M^-1 (g - D^T u). Preconditioned by the
+    diagonal, or, with a hierarchy's transfers of potentials (step.u of its steps, in order), by a correction on all of its levels.
+    Each iteration's vectors are written to the shared folder."""
     if not algebra.is_diagonal(system.m):
         raise ValueError("conjugate gradients need a diagonal M; minimal_residuals takes others")
     minv = system.m.select("i", (1 / F.col("v")).alias("v"))
-    a = algebra.congruence(algebra.transpose(system.d), minv)
-    a = written(algebra.combine((1.0, a), (1.0, system.w)) if system.w is not None else a, "schur")
+    a = schur(system)
     b = system.constant.select("i", "v") if system.w is None else None
     own = algebra.rescale(g.select("i", "v"), minv) if g is not None else None
     parts = [(1.0, _zeros(system.vdofs, "vdof")), (-1.0, f.select("i", "v"))]
     r = algebra.combine(*parts, *([(1.0, algebra.matvec(system.d, own))] if own is not None else []))
-    u = krylov.over_tables(a, algebra.minus_projection(r, b) if b is not None else r, tolerance, most)
+    u = krylov.over_tables(a, algebra.minus_projection(r, b) if b is not None else r, tolerance, most, coarse_correction(a, transfers) if transfers else None, history)
     u = written(algebra.minus_projection(u, b) if b is not None else u, "u")
     parts = [(1.0, _zeros(system.edofs, "edof")), (-1.0, algebra.rescale(algebra.matvec(system.d, u, transposed=True), minv))]
     return algebra.combine(*parts, *([(1.0, own)] if own is not None else [])), u

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import algebra, kernels
 from .hierarchy import LOCAL_DOFS, Hierarchy, _local, _vector
 
 
@@ -236,3 +236,31 @@ def estimate(spark: SparkSession, ls: list[Level], field, quantity: Callable, f:
         used[k] += batch
     s = statistics(drawn)
     return s.agg(F.sum("mean")).first()[0], s
+
+
+def block_root(w: DataFrame, vdofs: DataFrame) -> DataFrame:
+    """(i, j, v): the symmetric square root of a positive semidefinite W whose blocks are the dofs (vdof, vertex) of a vertex, as W is on every
+    level. A group is a vertex; ValueError where an entry ties dofs of two vertices."""
+    a, b = (vdofs.select(F.col("vdof").alias(k), F.col("vertex").alias(n)) for k, n in (("i", "g"), ("j", "h")))
+    placed = w.join(a, "i").join(b, "j")
+    if not placed.filter("g <> h and v <> 0").isEmpty():
+        raise ValueError("W isn't block diagonal by vertices")
+
+    def kernel(table):
+        import pandas as pd
+
+        ids = np.unique(table[["i", "j"]].to_numpy())
+        block = np.zeros((len(ids), len(ids)))
+        np.add.at(block, (np.searchsorted(ids, table["i"]), np.searchsorted(ids, table["j"])), table["v"])
+        values, vectors = np.linalg.eigh(block)
+        root = (vectors * np.sqrt(np.maximum(values, 0.0))) @ vectors.T
+        return pd.DataFrame({"i": np.repeat(ids, len(ids)), "j": np.tile(ids, len(ids)), "v": root.ravel()})
+
+    return placed.select("g", "i", "j", "v").groupBy("g").applyInPandas(kernel, "i long, j long, v double")
+
+
+def level_noise(system, seed: int, scale: float = 1.0) -> DataFrame:
+    """(i, v): noise of a level's own, scale * W^(1/2) times independent normals of its dofs, for fields that are sampled on this
+    level without a finer one. Its covariance is scale^2 W, that of the restricted finer noise."""
+    x = white_noise(system.vdofs.select(F.col("vdof").alias("i")), seed)
+    return algebra.matvec(block_root(system.w, system.vdofs), x).select("i", (F.lit(scale) * F.col("v")).alias("v"))

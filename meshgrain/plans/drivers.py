@@ -19,13 +19,14 @@ def upscaling(edges: DataFrame, vertices: DataFrame, partitions: Sequence[DataFr
     return f.sparkSession.createDataFrame(rows, "level int, vertex double, edge double, div double, complexity double")
 
 
-def inverse_power(h: hierarchy.Hierarchy, level: int, x: DataFrame, steps: int = 30) -> float:
-    """The smallest nonzero eigenvalue of the fine operator, by power iteration with solves on a level as the inverse."""
+def inverse_power(h: hierarchy.Hierarchy, level: int, x: DataFrame, steps: int = 30, tolerance: float = 1e-6) -> float:
+    """The smallest nonzero eigenvalue of the fine operator, by power iteration with solves on a level as the inverse; steps and tolerance
+    as of power_iterate."""
 
     def apply(y: DataFrame) -> DataFrame:
         return h.upscaled(level, y)[1].select("i", (-F.col("v")).alias("v"))
 
-    value, _ = algebra.power_iterate(lambda y: apply(algebra.minus_mean(y)), x, steps, 1e-6, written)
+    value, _ = algebra.power_iterate(lambda y: apply(algebra.minus_mean(y)), x, steps, tolerance, written)
     return 1 / abs(value)
 
 

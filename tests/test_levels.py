@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshgrain.operators import algebra, elements, hierarchy, kernels, partition, spectral
+from meshgrain.operators import algebra, elements, hierarchy, kernels, montecarlo, partition, spectral
 from meshgrain.sources import checkpoints, grids
 
 
@@ -107,3 +107,46 @@ def test_coefficients_on_levels_agree_with_a_rebuild(spark):
     with pytest.raises(ValueError):
         hierarchy.Hierarchy.build(system, [part], par).rescaled(1, k)
     assert [r.seconds > 0 for r in h.info().sort("level").collect()] == [False, True]
+
+
+def test_corrections_on_coarse_levels_need_fewer_iterations(spark):
+    n = 24
+    size = (n, n, 1)
+    cells = grids.cells(spark, size)
+    e = grids.cell_faces(cells, size, 2).filter("cell1 is not null").select(F.col("cell0").alias("v0"), F.col("cell1").alias("v1"))
+    e = checkpoints.written(algebra.numbered(e, "edge", "v0", "v1").withColumn("w", F.lit(1.0)))
+    v = cells.select(F.col("cell").alias("vertex"))
+    part = partition.cartesian(cells, (4, 4, 1), size)
+    system = spectral.fine_system(e, v)
+    u = spectral.vertex_targets(system, part, spectral.Parameters(spectral_tolerance=1.0, max_vectors=3)).filter("kind = 'u'")
+    p = checkpoints.written(u.select("i", (F.col("agg") * 8 + F.col("k")).alias("j"), "v"))
+    f = v.select(F.col("vertex").alias("i"), F.when(F.col("vertex") == 0, 1.0).when(F.col("vertex") == n * n - 1, -1.0).otherwise(0.0).alias("v"))
+    counts, found = [], []
+    for transfers in ((), (p,)):
+        history = []
+        _, x = hierarchy.conjugate_gradients(system, f, tolerance=1e-6, transfers=transfers, history=history)
+        counts.append(len(history))
+        found.append(np.array([r.v for r in x.sort("i").collect()]))
+    assert np.allclose(found[0], found[1], atol=1e-4) and counts[1] < 0.6 * counts[0]
+
+
+def test_noise_of_a_level_has_the_covariance_of_the_restricted_noise(spark):
+    e, part, v = grid(spark)
+    w = v.select(F.col("vertex").alias("i"), F.col("vertex").alias("j"), (1.0 + F.pmod("vertex", F.lit(3))).alias("v"))
+    system = spectral.fine_system(e, v, w)
+    u = spectral.vertex_targets(system, part, spectral.Parameters(spectral_tolerance=1.0, max_vectors=2)).filter("kind = 'u'")
+    p = checkpoints.written(u.select("i", (F.col("agg") * 8 + F.col("k")).alias("j"), "v"))
+    vdofs = p.select(F.col("j").alias("vdof"), F.floor(F.col("j") / 8).alias("vertex")).distinct()
+    coarse = algebra.galerkin(w, p)
+    ids = sorted(r.vdof for r in vdofs.collect())
+    dense = lambda m: hierarchy._local(m, np.array(ids), np.array(ids))
+    root, want = dense(montecarlo.block_root(coarse, vdofs)), dense(coarse)
+    assert np.allclose(root @ root, want) and np.count_nonzero(np.abs(want) > 1e-12) > len(ids)
+    draws = spark.range(20000).crossJoin(spark.range(len(ids)).toDF("k"))  # a small test's numbers
+    x = np.array([r.v for r in montecarlo.white_noise(draws.select((F.col("id") * 100 + F.col("k")).alias("i")), 5).sort("i").collect()]).reshape(20000, -1)
+    assert np.abs(np.cov((x @ root).T) - want).max() < 0.12
+    noise = montecarlo.level_noise(spectral.System(vdofs, system.edofs, system.m, system.d, system.constant, coarse), 3, 2.0).sort("i").toPandas()
+    one = np.array([r.v for r in montecarlo.white_noise(vdofs.select(F.col("vdof").alias("i")), 3).sort("i").collect()])
+    assert np.allclose(noise["v"], 2 * root @ one)
+    with pytest.raises(ValueError):
+        montecarlo.block_root(coarse, vdofs.select("vdof", F.col("vdof").alias("vertex")))

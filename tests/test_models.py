@@ -138,8 +138,8 @@ def test_studies(spark, grid):
     a = matrix(algebra.congruence(algebra.transpose(whole.systems[0].d), whole.systems[0].m.select("i", (1 / F.col("v")).alias("v"))), 64, 64)
     x = spark.createDataFrame([(i, float(i // 8) - 3.5 + 0.1 * (i % 3)) for i in range(64)], "i long, v double")
     exact = np.linalg.eigvalsh(a)[1]
-    assert abs(drivers.inverse_power(whole, 0, x, 8) / exact - 1) < 0.05
-    assert abs(drivers.inverse_power(whole, 1, x, 8) / exact - 1) < 0.15
+    assert abs(drivers.inverse_power(whole, 0, x, 8, 0.0) / exact - 1) < 0.05
+    assert abs(drivers.inverse_power(whole, 1, x, 8, 0.0) / exact - 1) < 0.15
     ls = montecarlo.levels(h, el)
     s = drivers.field_statistics(spark, montecarlo.Field(ls, 1.0, 5.0, seed=2), 1, 100).toPandas()
     assert len(s) == 4 and (s.n == 100).all() and (s["mean"].abs() < 1).all()
