@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import written
-from . import algebra
+from . import algebra, eigen
 from .kernels import dual_system, one_minus_one, orthogonal_to_first, saddle_solve, smallest_pairs
 from .topology import signed_incidence
 
@@ -32,6 +32,10 @@ class Parameters:
     dual: bool = False
     dual_scaled: bool = False
     dual_energy: bool = False
+    #: Aggregates whose vdofs and edofs, with the neighbours', make more entries of a dense D than this have their eigenvectors over tables,
+    #: with residuals of at most eigen_tolerance times the largest diagonal entry. Those need a diagonal M and have no dual samples.
+    dense_entries: int = 1 << 23
+    eigen_tolerance: float = 1e-7
 
 
 @dataclass(frozen=True)
@@ -93,6 +97,11 @@ class _Group:
         np.add.at(out, (np.searchsorted(rows, t["i"]), np.searchsorted(columns, t["j"])), t["v"])
         return out
 
+    def mass(self, kind: str, ids: np.ndarray) -> np.ndarray:
+        """A matrix over ids, or its diagonal alone where it has nothing else."""
+        t = self.rows(kind)
+        return self.vector(kind, ids) if (t["i"] == t["j"]).all() else self.dense(kind, ids, ids)
+
     def vector(self, kind: str, ids: np.ndarray) -> np.ndarray:
         t = self.rows(kind).set_index("i")["v"]
         return t.reindex(ids).fillna(0.0).to_numpy()
@@ -128,6 +137,12 @@ def vertex_targets(system: System, partition: DataFrame, par: Parameters) -> Dat
     e0, e1 = (ext.select("g", F.col("vertex").alias(k)) for k in ("v0", "v1"))
     ee = system.edofs.join(e0, "v0").join(e1, ["g", "v1"]).select("g", F.col("edof").alias("dof"))
     mine = own.join(system.vdofs, "vertex").select("g", F.col("vdof").alias("dof"))
+    count = lambda t, c: t.groupBy("g").agg(F.count(F.lit(1)).alias(c))
+    big = written(count(ev, "nv").join(count(ee, "ne"), "g").filter(F.col("nv") * F.col("ne") > par.dense_entries).select("g"), "large")
+    large = None
+    if not big.isEmpty():
+        large = _large_targets(system, *(t.join(big, "g", "left_semi") for t in (ev, ee, mine)), par)
+        ev, ee, mine = (t.join(big, "g", "left_anti") for t in (ev, ee, mine))
     rows = _marks(ev, "v", "dof").unionByName(_marks(ee, "e", "dof")).unionByName(_marks(mine, "own", "dof")).unionByName(_within(system.m, ee, ee, "m")).unionByName(_within(system.d, ev, ee, "d"))
     most, traces, tolerance = par.max_vectors, par.max_traces, par.spectral_tolerance
 
@@ -137,13 +152,13 @@ def vertex_targets(system: System, partition: DataFrame, par: Parameters) -> Dat
         if len(v) == 1 or not len(e):
             targets, samples = np.ones((len(own_), 1)) / np.sqrt(len(own_)), np.zeros((len(e), 0))
         else:
-            m, d = g.dense("m", e, e), g.dense("d", v, e)
-            flux = np.linalg.solve(m, d.T)
+            m, d = g.mass("m", e), g.dense("d", v, e)
+            flux = d.T / m[:, None] if m.ndim == 1 else np.linalg.solve(m, d.T)
             _, vectors = smallest_pairs(d @ flux, max(most, traces), tolerance)
             samples = flux @ vectors[:, 1:]
-            if par.dual and not np.count_nonzero(m - np.diag(m.diagonal())):
+            if par.dual and m.ndim == 1:
                 # a vertex without an edge inside has no row
-                a, b = dual_system(d[np.abs(d).sum(1) > 0], 1 / m.diagonal(), par.dual_scaled, par.dual_energy)
+                a, b = dual_system(d[np.abs(d).sum(1) > 0], 1 / m, par.dual_scaled, par.dual_energy)
                 values, samples = smallest_pairs(a, traces, tolerance, b)
                 if values[0] > 1e-8 * max(1.0, np.abs(a).max()):
                     raise ValueError(f"the least eigenvalue of the edges' Laplacian is {values[0]:.1e}, not 0")
@@ -151,7 +166,45 @@ def vertex_targets(system: System, partition: DataFrame, par: Parameters) -> Dat
             targets = orthogonal_to_first(inside[:, 0], inside[:, 1:most], most)
         return _entries([(kind, ids, np.arange(block.shape[1]), block) for kind, ids, block in (("u", own_, targets), ("s", e, samples))], "k").assign(agg=key[0])
 
-    return written(rows.groupBy("g").applyInPandas(kernel, "agg long, kind string, i long, k long, v double"), "targets")
+    made = rows.groupBy("g").applyInPandas(kernel, "agg long, kind string, i long, k long, v double")
+    return written(made.unionByName(large) if large is not None else made, "targets")
+
+
+def _large_targets(system: System, ev: DataFrame, ee: DataFrame, mine: DataFrame, par: Parameters) -> DataFrame:
+    """The rows of vertex_targets() of aggregates whose eigenproblem isn't made dense: ev, ee and mine (g, dof) are their vdofs and edofs
+    with the neighbours', and their own vdofs. Own vdofs meet in a task, with max_vectors values each."""
+    if par.dual:
+        raise ValueError("dual traces need a dense eigenproblem: raise dense_entries, or make smaller parts")
+    if not algebra.is_diagonal(system.m):
+        raise ValueError("M isn't diagonal: raise dense_entries, or make smaller parts")
+    minv = system.m.groupBy(F.col("i").alias("j")).agg((1 / F.sum("v")).alias("minv"))
+    d = written(_within(system.d, ev, ee, "d").join(minv, "j").select("g", "i", "j", "v", "minv"), "divergence")
+    other = d.select("g", "j", F.col("i").alias("k"), F.col("v").alias("y"))
+    a = written(d.join(other, ["g", "j"]).groupBy("g", "i", F.col("k").alias("j")).agg(F.sum(F.col("v") * F.col("y") * F.col("minv")).alias("v")), "laplacians")
+    unknowns = ev.select("g", F.col("dof").alias("i"))
+    count = max(par.max_vectors, par.max_traces)
+    x, values = eigen.lowest(a, unknowns, count, par.eigen_tolerance)
+    n = unknowns.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    keep = F.least(F.lit(count), F.col("n"))
+    if par.spectral_tolerance < 1:
+        values = values.join(eigen.largest(a, unknowns).withColumnRenamed("v", "top"), "g")
+        below = F.filter(F.slice("values", 2, count), lambda y: y < par.spectral_tolerance * F.col("top"))
+        keep = F.least(keep, 1 + F.size(below))  # values ascend
+    keep = values.join(n, "g").select("g", keep.cast("int").alias("keep"))
+    x = written(x.join(keep, "g").select("g", "i", F.expr("slice(x, 1, keep)").alias("x")), "kept")
+    # one column: no samples
+    each = d.join(x, ["g", "i"]).select("g", "j", "minv", "v", F.posexplode("x").alias("k", "x")).filter("k > 0")
+    samples = each.groupBy("g", "j", "k").agg(F.sum(F.col("minv") * F.col("v") * F.col("x")).alias("v"))
+    most = par.max_vectors
+
+    def kernel(key, t: pd.DataFrame) -> pd.DataFrame:
+        inside = np.stack(t["x"].to_numpy())
+        targets = orthogonal_to_first(inside[:, 0], inside[:, 1:most], most)
+        return _entries([("u", t["i"].to_numpy(), np.arange(targets.shape[1]), targets)], "k").assign(agg=key[0])
+
+    own = mine.join(x.withColumnRenamed("i", "dof"), ["g", "dof"]).select("g", F.col("dof").alias("i"), "x")
+    targets = own.groupBy("g").applyInPandas(kernel, "agg long, kind string, i long, k long, v double")
+    return targets.unionByName(samples.select(F.col("g").alias("agg"), F.lit("s").alias("kind"), F.col("j").alias("i"), (F.col("k") - 1).cast("long").alias("k"), "v"))
 
 
 def face_traces(system: System, partition: DataFrame, targets: DataFrame, par: Parameters) -> DataFrame:
@@ -190,7 +243,7 @@ def face_traces(system: System, partition: DataFrame, targets: DataFrame, par: P
         if len(f) == 1:
             traces = np.ones((1, 1))
         else:
-            m = g.dense("m", e_, e_)
+            m = g.mass("m", e_)
             sigma, _ = saddle_solve(m, d, np.zeros((len(e_), 1)), one_minus_one(c, split)[:, None])
             s = g.rows("s")
             columns = np.unique(s["j"].to_numpy())
@@ -243,13 +296,14 @@ def coarsen(system: System, partition: DataFrame, par: Parameters = Parameters()
         cols = np.union1d(e_, f)
         bubbles = g.dense("b", v_, bc)
         if len(e_):
-            m = g.dense("m", e_, e_)
+            m = g.mass("m", e_)
             de, df = d[:, np.searchsorted(cols, e_)], d[:, np.searchsorted(cols, f)]
             c = g.vector("c", v_)
             t_ = g.dense("t", f, tc)
             flow = df @ t_
             flow -= np.outer(c, c @ flow) / (c @ c)
-            ext, _ = saddle_solve(m, de, np.column_stack([np.zeros((len(e_), len(bc))), g.dense("m", e_, f) @ t_]), np.column_stack([bubbles, flow]))
+            across = np.zeros((len(e_), len(tc))) if m.ndim == 1 else g.dense("m", e_, f) @ t_
+            ext, _ = saddle_solve(m, de, np.column_stack([np.zeros((len(e_), len(bc))), across]), np.column_stack([bubbles, flow]))
             names = np.concatenate([bc, tc])
             out.append(("p", e_, names, ext))
         if len(bc):  # a bubble's coefficient is its target's product with the divergence
