@@ -156,11 +156,47 @@ def samples(spark: SparkSession, ls: list[Level], field, quantity: Callable, f:
                 rows.append((level, sample, fine - value(level + 1, sample) if level + 1 < len(levels_) else fine, fine, time.process_time() - start))
             yield pd.DataFrame(rows, columns=["level", "sample", "q", "finer", "cost"])
 
-    todo = [spark.range(r.start, r.stop).select(F.lit(k).alias("level"), F.col("id").alias("sample")) for k, r in plan.items() if len(r)]
-    rows = todo[0]
-    for t in todo[1:]:
-        rows = rows.unionByName(t)
-    return rows.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(run, "level int, sample long, q double, finer double, cost double")
+    return _planned(spark, plan).mapInPandas(run, "level int, sample long, q double, finer double, cost double")
+
+
+def dump(spark: SparkSession, ls: list[Level], field, plan: dict[int, range], path: str, f: np.ndarray | None = None) -> None:
+    """Writes the coefficients of the samples that the plan names for each level below path, (i, v) by folders of name, level and
+    sample, i a place in the level's arrays; with a right-hand side also the solutions, under the names flux and potential.
+
+    The tasks that draw the samples write them, one at a time; a lost task writes the same again. Folders of other samples stay, and those
+    of the plan's are replaced.
+    """
+    by = [f]
+    for k in range(len(ls) - 1):
+        by.append(ls[k].u.T @ by[-1] if f is not None else None)
+    shared = spark.sparkContext.broadcast((ls, field, by))
+
+    def run(batches):
+        levels_, field_, rhs = shared.value
+        for t in batches:
+            for level, sample in zip(t["level"].tolist(), t["sample"].tolist()):
+                c = field_.coefficient(sample, level)
+                parts = {"coefficient": c}
+                if rhs[level] is not None:
+                    parts["flux"], parts["potential"] = levels_[level].solve(rhs[level], c)
+                for name, v in parts.items():
+                    yield pd.DataFrame({"name": name, "level": level, "sample": sample, "i": np.arange(len(v)), "v": v})
+
+    rows = _planned(spark, plan).mapInPandas(run, "name string, level int, sample long, i long, v double")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name", "level", "sample").parquet(path)
+
+
+def dumped(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(level, sample, i, v) of what dump() wrote under a name: coefficient, flux or potential; filters on level and sample choose folders."""
+    return spark.read.schema("i long, v double, name string, level int, sample long").parquet(path).filter(F.col("name") == name).select("level", "sample", "i", "v")
+
+
+def _planned(spark: SparkSession, plan: dict[int, range]) -> DataFrame:
+    """(level, sample): the samples of a plan, dealt to all tasks."""
+    rows = spark.createDataFrame([], "level int, sample long")
+    for k, r in plan.items():
+        rows = rows.unionByName(spark.range(r.start, r.stop).select(F.lit(k).alias("level"), F.col("id").alias("sample")))
+    return rows.repartition(max(1, spark.sparkContext.defaultParallelism))
 
 
 def statistics(s: DataFrame, key: str = "level", value: str = "q") -> DataFrame:

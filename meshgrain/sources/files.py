@@ -5,36 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import fields
 from .checkpoints import written
 
 
 def _numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, x): the whitespace-separated fields of one file, in order.
+    """(pos, x): the whitespace-separated fields of one file, in order: through fields.numbers(), or, where that can't open it, by lines.
 
-    The file is read by blocks. Fields are counted by block, and a field's place is the sum over the blocks before, the
+    Then the file is read by blocks. Fields are counted by block, and a field's place is the sum over the blocks before, the
     lines before in its block, and its place in the line. Only the table of blocks meets in one task.
     """
+    if fields.readable(path):
+        return fields.numbers(spark, path)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    fields = lines.withColumn("f", F.filter(F.split("value", r"\s+"), lambda s: s != "")).select("file", "block", "line", "f")
-    fields = written(fields.filter(F.size("f") > 0), "lines")
+    parts = lines.withColumn("f", F.filter(F.split("value", r"\s+"), lambda s: s != "")).select("file", "block", "line", "f")
+    parts = written(parts.filter(F.size("f") > 0), "lines")
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = fields.groupBy("file", "block").agg(F.sum(F.size("f")).alias("n"))
+    blocks = parts.groupBy("file", "block").agg(F.sum(F.size("f")).alias("n"))
     start = blocks.select("file", "block", before(Window.orderBy("file", "block")).alias("start"))
-    own = fields.withColumn("n", F.size("f")).withColumn("own", before(Window.partitionBy("file", "block").orderBy("line")))
+    own = parts.withColumn("n", F.size("f")).withColumn("own", before(Window.partitionBy("file", "block").orderBy("line")))
     return own.join(F.broadcast(start), ["file", "block"]).select((F.col("start") + F.col("own")).alias("base"), F.posexplode("f").alias("k", "x")).select((F.col("base") + F.col("k")).alias("pos"), "x")
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
     """(vertex, edge, ord) of a compressed-row file: vertex and edge counts, row starts, column ids. Values that follow are
     not read: all are one."""
-    fields = _numbers(spark, path)
-    head = fields.filter("pos < 2").agg(F.max(F.when(F.col("pos") == 0, F.col("x"))).cast("long").alias("nv"), F.max(F.when(F.col("pos") == 1, F.col("x"))).cast("long").alias("ne")).first()
+    found = _numbers(spark, path)
+    head = found.filter("pos < 2").agg(F.max(F.when(F.col("pos") == 0, F.col("x"))).cast("long").alias("nv"), F.max(F.when(F.col("pos") == 1, F.col("x"))).cast("long").alias("ne")).first()
     nv, ne = head.nv, head.ne
-    starts = fields.filter(F.col("pos").between(2, 2 + nv)).select((F.col("pos") - 2).cast("long").alias("vertex"), F.col("x").cast("long").alias("start"))
+    starts = found.filter(F.col("pos").between(2, 2 + nv)).select((F.col("pos") - 2).cast("long").alias("vertex"), F.col("x").cast("long").alias("start"))
     ends = starts.select((F.col("vertex") - 1).alias("vertex"), F.col("start").alias("end"))
     spans = starts.join(ends, "vertex")
     spans = spans.select("vertex", F.explode(F.when(F.col("end") > F.col("start"), F.sequence(F.col("start"), F.col("end") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("k"))
-    columns = fields.filter(F.col("pos") >= 3 + nv).select((F.col("pos") - 3 - nv).cast("long").alias("k"), F.col("x")).filter(F.col("k") < 2 * ne)
+    columns = found.filter(F.col("pos") >= 3 + nv).select((F.col("pos") - 3 - nv).cast("long").alias("k"), F.col("x")).filter(F.col("k") < 2 * ne)
     rows = spans.join(columns, "k").select("vertex", F.col("x").cast("double").cast("long").alias("edge"))
     return rows.withColumn("ord", (F.row_number().over(Window.partitionBy("edge").orderBy("vertex")) - 1).cast("int"))
 

@@ -280,3 +280,30 @@ def test_hybrid_over_tables(spark, grid, monkeypatch):
     ts, tu = elements.hybrid_solve(h.systems[1], el[1], f)
     for a, b in ((s, ts), (u, tu)):
         assert np.allclose([r.v for r in a.sort("i").collect()], [r.v for r in b.sort("i").collect()], atol=1e-6)
+
+
+def test_dumps_of_samples(spark, grid, tmp_path):
+    """What is read back is what the samples have; a second plan replaces its own samples and leaves the others."""
+    _, _, h, el = grid
+    ls = montecarlo.levels(h, el)
+    field, path = montecarlo.Field(ls, volume=1.0, correlation=5.0, seed=3), str(tmp_path / "dump")
+    f = np.where(np.arange(64) < 32, 1.0, -1.0)
+    by = [f, ls[0].u.T @ f]
+    montecarlo.dump(spark, ls, field, {0: range(2), 1: range(3)}, path, f)
+    before = {}
+    for again in (False, True):
+        if again:
+            montecarlo.dump(spark, ls, field, {1: range(2, 5)}, path, f)
+        for name, n in (("coefficient", 0), ("flux", 1), ("potential", 2)):
+            t = montecarlo.dumped(spark, path, name).toPandas()
+            assert not t.duplicated(["level", "sample", "i"]).any()
+            assert sorted(set(zip(t["level"], t["sample"]))) == [(0, 0), (0, 1), *((1, k) for k in range(5 if again else 3))]
+            for (level, sample), rows in t.groupby(["level", "sample"]):
+                c = field.coefficient(sample, level)
+                want = (c, *ls[level].solve(by[level], c))[n]
+                got = rows.sort_values("i")["v"].to_numpy()
+                assert np.array_equal(before.setdefault((name, level, sample), got), got) and np.allclose(got, want, rtol=1e-12, atol=1e-12)
+    plan = montecarlo.dumped(spark, path, "flux").filter("level = 1 and sample = 4")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(name" in plan and "PushedFilters: []" in plan
+    montecarlo.dump(spark, ls, field, {0: range(1)}, str(tmp_path / "fields"))
+    assert montecarlo.dumped(spark, str(tmp_path / "fields"), "flux").isEmpty() and montecarlo.dumped(spark, str(tmp_path / "fields"), "coefficient").count() == 64
