@@ -68,7 +68,7 @@ def test_targets_over_tables_are_the_dense_ones(spark, tolerance, entries):
     found = []
     # aggregate 0 has 18 vertices and 27 edges with its neighbours, aggregate 1 has 30 and 49
     for most in (1 << 23, entries):
-        par = spectral.Parameters(spectral_tolerance=tolerance, max_vectors=3, max_traces=3, dense_entries=most, eigen_tolerance=1e-7)
+        par = spectral.Parameters(spectral_tolerance=tolerance, max_vectors=3, max_traces=3, dense_entries=most, eigen_tolerance=1e-8)
         out = {}
         for r in spectral.vertex_targets(system, part, par).collect():
             out.setdefault((r.agg, r.kind), {}).setdefault(r.k, np.zeros(len(edges)))[r.i] = r.v
