@@ -2,9 +2,14 @@
 
 Model. The state at a place is tanh(own + attention) with one head over the places before it and itself, biased by
 distance. The state opens a gate of CLASSES classes, each a distribution over subword ids; a token's probability is
-the gate's mixture of theirs. The embeddings, projections and gate are fitted by stochastic gradient descent on whole texts of
-a bounded sample of rows; the distributions are then re-estimated by expectation over the whole text of all training
-documents.
+the gate's mixture of theirs.
+
+Fit. All tasks start from one model, so that their classes agree: stochastic gradient descent on the driver over about
+START_DOCS training documents. Then one pass over the whole text of all training documents: each task descends from there over its own
+texts, a step for STEP windows, and adds up the classes that it expects of each token. Projections and gate become
+the tasks' mean by their windows, an id's embedding the mean by how often each task read it (so that a rare id moves as
+far as its own tasks moved it), and the distributions come from the sums of the expected classes. Tasks send their
+changes by blocks of ids: what they send, and what the driver gets, is bounded by the vocabulary.
 
 Words. Subwords give a word's probability: its first subword's among those that open a word, the others', and that
 the next opens a word. It is mixed with the word's share of all words of the training documents, WHOLE to 1 - WHOLE.
@@ -38,8 +43,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The part of a word's probability that comes from its share of all training words; the rest comes from its subwords.
 WHOLE = 0.5
 DIM, CLASSES, CONTEXT, STRIDE = 16, 32, 32, 24
-#: Documents in the sample to which embeddings, projections and gate are fitted, as a bound on its expected size.
-SAMPLE_DOCS = 600
+#: Training documents to which the common start is fitted, as a bound on their expected number.
+START_DOCS = 600
+#: Windows in a step of the start and of a task, and the rate of the start's first epoch and of the tasks.
+START_STEP, STEP, START_RATE, RATE = 256, 4096, 0.01, 0.003
 #: Text bytes in a run of documents, and windows that are worked on at once: their arrays stay in the cache.
 RUN, BATCH = 8 << 20, 512
 #: Text bytes for each bucket of words.
@@ -114,9 +121,10 @@ def windows(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """e: embeddings; q, k, v, o, r: projections; bias: by distance; g, gb: gate; t: (ids, classes) distributions."""
+    """e: embeddings; q, k, v, o, r: projections; bias: by distance; g, gb: gate; t: (ids, classes) distributions.
+    scales: running squares of what each was moved by, for the size of the next step."""
 
-    NAMES = ("e", "q", "k", "v", "o", "r", "bias", "g", "gb")
+    DENSE = ("q", "k", "v", "o", "r", "bias", "g", "gb")
 
     def __init__(self, vocabulary: int, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -126,12 +134,32 @@ class Model:
         self.bias = np.linspace(0, -2, CONTEXT).astype(np.float32)
         self.g, self.gb = w(DIM, CLASSES), np.zeros(CLASSES, np.float32)
         self.t = np.full((vocabulary, CLASSES), 1 / vocabulary, np.float32)
+        self.scales = {n: np.full_like(getattr(self, n), 1e-8) for n in ("e", *self.DENSE)}
         self.words = self.ends = 0  # of the training documents; the words with an end each
 
+    def copy(self) -> Model:
+        """One that can descend by itself; the distributions are shared."""
+        new = object.__new__(Model)
+        new.__dict__ = self.__dict__ | {n: getattr(self, n).copy() for n in ("e", *self.DENSE)}
+        new.scales = {n: x.copy() for n, x in self.scales.items()}
+        return new.ready()
+
+    def dense(self) -> np.ndarray:
+        """Projections, bias and gate, one after the other."""
+        return np.concatenate([getattr(self, n).ravel() for n in self.DENSE])
+
+    def set_dense(self, values: np.ndarray) -> None:
+        for n in self.DENSE:
+            old = getattr(self, n)
+            setattr(self, n, values[: old.size].reshape(old.shape).astype(old.dtype))
+            values = values[old.size :]
+
     def ready(self) -> Model:
-        """Projected embeddings, for scoring; the attention's output projection is taken into the values."""
-        self.kv = np.concatenate([self.e @ self.k, self.e @ self.v @ self.o, np.ones((len(self.e), 1), np.float32)], 1)
-        self.qr = np.concatenate([self.e @ self.q * np.float32(DIM**-0.5), self.e @ self.r], 1)
+        """Projected embeddings, by which all places are computed; the attention's output projection is taken into the values."""
+        self.to_kv = np.concatenate([self.k, self.v @ self.o], 1)
+        self.to_qr = np.concatenate([self.q * np.float32(DIM**-0.5), self.r], 1)
+        self.kv = np.concatenate([self.e @ self.to_kv, np.ones((len(self.e), 1), self.e.dtype)], 1)
+        self.qr = self.e @ self.to_qr
         return self
 
     def shape(self, target: np.ndarray, begin: np.ndarray, first: np.ndarray, text: np.ndarray):
@@ -147,10 +175,8 @@ class Model:
         gap = np.arange(CONTEXT - STRIDE, CONTEXT)[:, None] - np.arange(CONTEXT)
         return np.where(gap >= 0, self.bias[np.maximum(gap, 0)], -np.inf).astype(np.float32)
 
-    def mixture(self, inputs, known, target):
-        """Of each target the gate times its probability in each class; the gate's sum, by which both it and the next are to
-        be divided; and the gate's part of the classes' probabilities that a word opens."""
-        kv, qr = self.kv[inputs], self.qr[inputs[:, CONTEXT - STRIDE :]]
+    def attend(self, kv, qr, known):
+        """The attention's weights, before they are divided by their sums; one over these; and the states."""
         a = qr[..., :DIM] @ kv[..., :DIM].transpose(0, 2, 1)
         a += self.distance()
         np.minimum(a, 60, out=a)
@@ -158,13 +184,23 @@ class Model:
         cut = np.flatnonzero(~known.all(1))
         a[cut] *= known[cut, None, :]
         c = a @ kv[..., DIM:]  # the last column adds the weights up
-        h = c[..., :DIM] / np.maximum(c[..., DIM:], 1e-30)
+        share = 1 / np.maximum(c[..., DIM:], 1e-30)
+        h = c[..., :DIM] * share
         h += qr[..., DIM:]
         np.tanh(h, out=h)
+        return a, share, h
+
+    def gate(self, h):
+        """The gate of each state, before it is divided by its sum."""
         z = h.reshape(-1, DIM) @ self.g
         z += self.gb
         np.minimum(z, 60, out=z)
-        np.exp(z, out=z)
+        return np.exp(z, out=z)
+
+    def mixture(self, inputs, known, target):
+        """Of each target the gate times its probability in each class; the gate's sum, by which both it and the next are to
+        be divided; and the gate's part of the classes' probabilities that a word opens."""
+        z = self.gate(self.attend(self.kv[inputs], self.qr[inputs[:, CONTEXT - STRIDE :]], known)[2])
         total = z @ np.ones(CLASSES, np.float32)
         opens = z @ self.opening
         z *= self.t[target.ravel()]
@@ -190,17 +226,6 @@ class Model:
         after[target[head] == len(opens) - 1] = 0.0  # nothing follows an end
         return np.add.reduceat(p, head) - q[head] + after
 
-    def expect(self, target: np.ndarray, begin: np.ndarray, into: np.ndarray, use: np.ndarray, batch: int = BATCH) -> None:
-        """Adds the expected classes of each target to its row, for the texts in the mask `use`."""
-        self.opening = self.t[-1]
-        first, text = windows(begin)
-        first, text = first[use[text]], text[use[text]]
-        for i in range(0, len(first), batch):
-            inputs, known, t, real = self.shape(target, begin, first[i : i + batch], text[i : i + batch])
-            m = self.mixture(inputs, known, t)[0][real]
-            m /= np.maximum(m @ np.ones((CLASSES, 1), np.float32), 1e-30)
-            _add(into, t[real], m)
-
     def distribute(self, counts: np.ndarray, prior: float = 30.0) -> None:
         """The classes' distributions from expected counts, smoothed by the overall one and that by one."""
         overall = counts.sum(1) + 1e-3
@@ -209,51 +234,68 @@ class Model:
         t = counts + prior * overall[:, None]
         self.t = (t / t.sum(0)).astype(np.float32)
 
-    def learn(self, inputs, known, target, real, state: dict, rate: float) -> tuple[float, np.ndarray]:
-        """One step of gradient descent with running scales; the loss, and the expected classes of the real targets."""
-        x = self.e[inputs]
-        y = x[:, CONTEXT - STRIDE :]
-        q, k, v = y @ self.q * np.float32(DIM**-0.5), x @ self.k, x @ self.v
-        a = q @ k.transpose(0, 2, 1) + self.distance()
-        a = np.exp(np.minimum(a, 60)) * known[:, None, :]
-        a /= np.maximum(a.sum(-1, keepdims=True), 1e-30)
-        c = a @ v
-        h = np.tanh(y @ self.r + c @ self.o)
-        z = h @ self.g + self.gb
-        z = np.exp(z - z.max(-1, keepdims=True))
-        z /= z.sum(-1, keepdims=True)
-        m = z * self.t[target]
-        p = np.maximum(m.sum(-1, keepdims=True), 1e-30)
-        m /= p
-        n = max(1, int(real.sum()))
-        dz = ((z - m) * real[..., None] / n).astype(np.float32)
-        flat2 = lambda b: b.reshape(-1, b.shape[-1])
-        grad = {"g": flat2(h).T @ flat2(dz), "gb": flat2(dz).sum(0)}
-        du = (dz @ self.g.T) * (1 - h * h)
-        grad["r"], grad["o"] = flat2(y).T @ flat2(du), flat2(c).T @ flat2(du)
-        dc = du @ self.o.T
-        da = dc @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(-1, keepdims=True))
-        dv = a.transpose(0, 2, 1) @ dc
-        dq, dk = ds @ k * np.float32(DIM**-0.5), ds.transpose(0, 2, 1) @ q
+    def descend(self, inputs, known, target, real, into: dict) -> np.ndarray:
+        """Adds the gradient of minus the real targets' log-likelihood to `into`, and gives their expected classes."""
+        kv, qr = self.kv[inputs], self.qr[inputs[:, CONTEXT - STRIDE :]]
+        a, share, h = self.attend(kv, qr, known)
+        z = self.gate(h)
+        one = np.ones((CLASSES, 1), np.float32)
+        m = z * self.t[target.ravel()]
+        m /= np.maximum(m @ one, 1e-30)
+        z /= z @ one
+        z -= m
+        z[~real.ravel()] = 0
+        flat_h = h.reshape(-1, DIM)
+        into["g"] += flat_h.T @ z
+        into["gb"] += z.sum(0)
+        du = (z @ self.g.T) * (1 - flat_h * flat_h)
+        du = du.reshape(h.shape)
+        value = kv[..., DIM : 2 * DIM]
+        du_share = du * share
+        ds = du_share @ value.transpose(0, 2, 1)
+        ds -= (du_share * (a @ value * share)).sum(-1, keepdims=True)
+        ds *= a
         gap = np.arange(CONTEXT - STRIDE, CONTEXT)[:, None] - np.arange(CONTEXT)
-        grad["bias"] = np.bincount(np.maximum(gap, 0).ravel(), np.where(gap >= 0, ds.sum(0), 0).ravel(), CONTEXT).astype(np.float32)
-        grad["q"] = flat2(y).T @ flat2(dq)
-        grad["k"], grad["v"] = flat2(x).T @ flat2(dk), flat2(x).T @ flat2(dv)
-        dx = dk @ self.k.T + dv @ self.v.T
-        dx[:, CONTEXT - STRIDE :] += dq @ self.q.T + du @ self.r.T
-        rows, inverse = np.unique(inputs, return_inverse=True)
-        de = np.zeros((len(rows), DIM), np.float64)
-        _add(de, inverse.ravel(), flat2(dx))
-        for name, g in grad.items():
-            s = state.setdefault(name, np.full_like(g, 1e-8))
+        into["bias"] += np.bincount(np.maximum(gap, 0).ravel(), np.where(gap >= 0, ds.sum(0), 0).ravel(), CONTEXT)
+        dkv = np.concatenate([ds.transpose(0, 2, 1) @ qr[..., :DIM], a.transpose(0, 2, 1) @ du_share], -1)
+        dqr = np.concatenate([ds @ kv[..., :DIM], du], -1)
+        x = self.e[inputs]
+        into["kv"] += x.reshape(-1, DIM).T @ dkv.reshape(-1, 2 * DIM)
+        into["qr"] += x[:, CONTEXT - STRIDE :].reshape(-1, DIM).T @ dqr.reshape(-1, 2 * DIM)
+        dx = dkv @ self.to_kv.T
+        dx[:, CONTEXT - STRIDE :] += dqr @ self.to_qr.T
+        _add(into["e"], inputs.ravel(), dx.reshape(-1, DIM))
+        into["n"] += int(real.sum())
+        return m[real.ravel()]
+
+    def gradient(self) -> dict:
+        """An empty one, for descend()."""
+        kv = np.zeros((DIM, 2 * DIM))
+        return {"e": np.zeros(self.e.shape, self.e.dtype), "kv": kv, "qr": kv.copy(), "bias": np.zeros(CONTEXT), "g": np.zeros(self.g.shape), "gb": np.zeros(CLASSES), "n": 0}
+
+    def by_projection(self, into: dict) -> dict:
+        """The gradient by each dense array."""
+        vo = into["kv"][:, DIM:]
+        own = {"k": into["kv"][:, :DIM], "v": vo @ self.o.T, "o": self.v.T @ vo}
+        return own | {"q": into["qr"][:, :DIM] * DIM**-0.5, "r": into["qr"][:, DIM:], "bias": into["bias"], "g": into["g"], "gb": into["gb"]}
+
+    def step(self, into: dict, rate: float) -> None:
+        """Moves all against the gradient's mean over its targets, by running scales, and empties it."""
+        n = max(1, into["n"])
+        for name, grad in self.by_projection(into).items():
+            grad, s = (grad / n).astype(np.float32), self.scales[name]
             s *= 0.99
-            s += 0.01 * g * g
-            setattr(self, name, getattr(self, name) - (rate * g / np.sqrt(s)).astype(np.float32))
-        s = state.setdefault("e", np.full(self.e.shape, 1e-8, np.float32))
+            s += 0.01 * grad * grad
+            setattr(self, name, getattr(self, name) - rate * grad / np.sqrt(s))
+        rows = np.flatnonzero(into["e"].any(1))
+        de, s = into["e"][rows] / n, self.scales["e"]
         s[rows] += de * de
-        self.e[rows] -= (rate * 10 * de / np.sqrt(s[rows])).astype(np.float32)
-        return float(-(np.log10(p[..., 0]) * real).sum()), m
+        self.e[rows] -= rate * 10 * de / np.sqrt(s[rows])
+        for x in into.values():
+            if isinstance(x, np.ndarray):
+                x[:] = 0
+        into["n"] = 0
+        self.ready()
 
 
 def _add(into: np.ndarray, row: np.ndarray, value: np.ndarray) -> None:
@@ -268,30 +310,69 @@ def _add(into: np.ndarray, row: np.ndarray, value: np.ndarray) -> None:
     into[r[head]] += np.add.reduceat(value[order], head, axis=0)
 
 
-def train(target: np.ndarray, begin: np.ndarray, vocabulary: int, *, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 5) -> Model:
+def train(target: np.ndarray, begin: np.ndarray, vocabulary: int, *, epochs: int = 6, batch: int = START_STEP, rate: float = START_RATE, seed: int = 5) -> Model:
     """Fits a model to texts (targets as of spread())."""
-    model = Model(vocabulary, seed)
+    model = Model(vocabulary, seed).ready()
     rng = np.random.default_rng(seed)
     seen = np.bincount(target, minlength=vocabulary).astype(np.float64)
     counts = seen[:, None] * rng.dirichlet(np.full(CLASSES, 0.3), vocabulary)
     model.distribute(counts)
     first, text = windows(begin)
-    state: dict = {}
+    grad = model.gradient()
     fresh, since = np.zeros_like(counts), 0
     for epoch in range(epochs):
         order = rng.permutation(len(first))
         for i in range(0, len(order), batch):
             pick = order[i : i + batch]
             inputs, known, t, real = model.shape(target, begin, first[pick], text[pick])
-            _, m = model.learn(inputs, known, t, real, state, rate * (1 - 0.8 * epoch / epochs))
-            _add(fresh, t[real], m[real])
+            _add(fresh, t[real], model.descend(inputs, known, t, real, grad))
+            model.step(grad, rate * (1 - 0.8 * epoch / epochs))
             since += 1
             if since == 16:  # stepwise expectation: the older, the less it counts
                 keep = 0.85
                 counts = keep * counts + (1 - keep) * fresh * (seen.sum() / max(1.0, fresh.sum()))
                 model.distribute(counts)
                 fresh[:], since = 0, 0
-    return model.ready()
+    return model
+
+
+class Descent:
+    """A task's own descent from the common start over the texts that it reads."""
+
+    def __init__(self, start: Model):
+        self.start, self.model = start, start.copy()
+        self.grad, self.since, self.windows = self.model.gradient(), 0, 0
+        vocabulary = len(start.e)
+        self.expected = np.zeros((vocabulary, CLASSES), np.float32)
+        self.read = np.zeros(vocabulary, np.int64)  # how often each id was an input that a scored place could see
+
+    def learn(self, target: np.ndarray, begin: np.ndarray, use: np.ndarray, batch: int = BATCH) -> None:
+        """Descends over the texts in the mask `use`, and adds up the expected classes of their targets."""
+        first, text = windows(begin)
+        first, text = first[use[text]], text[use[text]]
+        for i in range(0, len(first), batch):
+            inputs, known, t, real = self.model.shape(target, begin, first[i : i + batch], text[i : i + batch])
+            _add(self.expected, t[real], self.model.descend(inputs, known, t, real, self.grad))
+            self.read += np.bincount(inputs[known], minlength=len(self.read))
+            self.since += len(inputs)
+            self.windows += len(inputs)
+            if self.since >= STEP:
+                self.step()
+
+    def step(self) -> None:
+        # a step over few windows, as a task's last, moves the less
+        self.model.step(self.grad, RATE * min(1.0, self.since / STEP))
+        self.since = 0
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids that were met, with WIDTH numbers each: expected classes, the embedding's change times how often it was
+        read, and that; and the change of what is dense times the windows, with these at the end."""
+        if self.since:
+            self.step()
+        ids = np.flatnonzero((self.read > 0) | self.expected.any(1))
+        n = self.read[ids, None].astype(np.float32)
+        moved = np.concatenate([self.expected[ids], (self.model.e[ids] - self.start.e[ids]) * n, n], 1)
+        return ids, moved, np.append((self.model.dense() - self.start.dense()) * np.float32(self.windows), np.float32(self.windows))
 
 
 def _packed(arrays: dict) -> bytes:
@@ -306,14 +387,13 @@ def _held_out(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), F.lit(7)) == 2
 
 
-def begin_fit(training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits embeddings, projections and gate to a sample: see the module's text. Null counts as empty. Without documents
-    every id is as likely as another."""
+def begin_fit(training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, start_docs: int = START_DOCS) -> Model:
+    """The common start: see the module's text. Null counts as empty. Without documents every id is as likely as another."""
     spark = training.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     size = subwords(vocabulary).end + 1
     texts = training.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("body"))
-    share = min(1.0, sample_docs / max(1, texts.count()))
+    share = min(1.0, start_docs / max(1, texts.count()))
     sample = texts.filter(F.pmod(F.xxhash64("id", "body", F.lit("lm")), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
 
     def make():
@@ -333,13 +413,14 @@ def begin_fit(training: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 #: What a pass over the texts gives. kind 0: a run's distinct words in a hash bucket `key` (a: hashes, b: their numbers in
 #: training documents); 1: the run itself (a: texts, compressed, of `size` bytes; b: offsets and who is held out);
-#: 2: expected classes of a block `key` of ids (a: ids, b: classes); 3: numbers of words and texts in training documents (b).
+#: 2: of a block `key` of ids what a task learned (a: places in the block, b: WIDTH numbers for each); block DENSE has the
+#: changes of projections, bias and gate, WIDTH to a row; 3: numbers of words and texts in training documents (b).
 _POSTED = "kind int, key long, blob long, a binary, b binary, size long, ids array<string>"
 _RUN = "blob long, key long, a binary, b binary, size long, ids array<string>"
 _SUMS = "key long, a binary, b binary"
 _SCORED = "id string, held_out boolean, n_tokens long, n_known long, logs double, score double, train long, distinct long"
-#: Ids in a block of the expected classes.
-BLOCK = 4096
+#: Ids in a block of what tasks learned, numbers for each, and the block of what doesn't belong to an id.
+BLOCK, WIDTH, DENSE = 4096, CLASSES + DIM + 1, -1
 
 
 def _table(rows: list[tuple], ddl: str) -> pa.RecordBatch:
@@ -352,8 +433,7 @@ def _post(batches, vocabulary: str, buckets: int, begun):
     """The pass over the texts: see _POSTED."""
     task = TaskContext.get().partitionId()
     blob = (task << 24) - 1
-    sw, model = subwords(vocabulary), begun.value
-    into, seen, total = np.zeros((sw.end + 1, CLASSES), np.float32), np.zeros(sw.end + 1, bool), np.zeros(2, np.int64)
+    sw, descent, total = subwords(vocabulary), None, np.zeros(2, np.int64)
     for batch in batches:
         for part in runs(batch, "body", RUN):
             blob += 1
@@ -361,8 +441,8 @@ def _post(batches, vocabulary: str, buckets: int, begun):
             w = Words(data, at)
             held = np.array(part.column("held_out").to_pylist(), bool)
             target, begin = spread(*sw.encode(w.spelled()), w.code, w.first, sw.end)
-            model.expect(target, begin, into, ~held)
-            seen[target[np.repeat(~held, np.diff(begin))]] = True
+            descent = descent or Descent(begun.value)
+            descent.learn(target, begin, ~held)
             in_training = np.repeat(~held, np.diff(w.first))
             total += in_training.sum(), (~held).sum()
             n = np.bincount(w.code[in_training], minlength=len(w.hash))
@@ -374,10 +454,14 @@ def _post(batches, vocabulary: str, buckets: int, begun):
                 rows.append((0, int(bucket[a]), blob, w.hash[order[a:z]].tobytes(), n[order[a:z]].astype(np.uint32).tobytes(), None, None))
             yield _table(rows, _POSTED)
     rows = [(3, int(total[0]), task, None, None, int(total[1]), None)]
-    ids = np.flatnonzero(seen)
-    for k in np.unique(ids // BLOCK).tolist():
-        i = ids[ids // BLOCK == k]
-        rows.append((2, k, task, i.astype(np.int32).tobytes(), into[i].tobytes(), None, None))
+    if descent:
+        ids, moved, dense = descent.rows()
+        for k in np.unique(ids // BLOCK).tolist():
+            mine = ids // BLOCK == k
+            rows.append((2, k, task, (ids[mine] % BLOCK).astype(np.int32).tobytes(), moved[mine].tobytes(), None, None))
+        lines = -(-len(dense) // WIDTH)
+        dense = np.pad(dense, (0, lines * WIDTH - len(dense))).astype(np.float32)
+        rows.append((2, DENSE, task, np.arange(lines, dtype=np.int32).tobytes(), dense.tobytes(), None, None))
     yield _table(rows, _POSTED)
 
 
@@ -389,40 +473,46 @@ def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """The sums of the expected classes of a block of ids."""
-    found = np.zeros((BLOCK, CLASSES))
-    key = table.column("key")[0].as_py()
-    seen = np.zeros(BLOCK, bool)
+    """The sums of what tasks learned of a block."""
+    found, seen = np.zeros((BLOCK, WIDTH)), np.zeros(BLOCK, bool)
     for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
-        i = np.frombuffer(a, np.int32) - key * BLOCK
-        found[i] += np.frombuffer(b, np.float32).reshape(-1, CLASSES)
+        i = np.frombuffer(a, np.int32)
+        found[i] += np.frombuffer(b, np.float32).reshape(-1, WIDTH)
         seen[i] = True
     i = np.flatnonzero(seen)
-    return pa.Table.from_batches([_table([(key, (i + key * BLOCK).astype(np.int32).tobytes(), found[i].astype(np.float32).tobytes())], _SUMS)])
+    return pa.Table.from_batches([_table([(table.column("key")[0].as_py(), i.astype(np.int32).tobytes(), found[i].astype(np.float32).tobytes())], _SUMS)])
 
 
 def finish_fit(model: Model, posted: DataFrame) -> Model:
-    """Re-estimates the distributions by the expected classes of all training texts. Tasks' sums are added up in two steps,
-    so that no group has more than a part of the tasks; the driver gets one row for each block of ids."""
+    """The model of all training texts from the common start and the table of the pass. Tasks' sums are added up in two
+    steps, so that no group has more than a part of the tasks; the driver gets one row for each block."""
     parts = posted.filter("kind = 2").withColumn("part", F.pmod("blob", F.lit(512)))
     part = parts.groupBy("key", "part").applyInArrow(_add_up, _SUMS)
     sums_ = part.groupBy("key").applyInArrow(_add_up, _SUMS).toArrow()
     counts = np.zeros((len(model.e), CLASSES))
-    for a, b in zip(sums_.column("a").to_pylist(), sums_.column("b").to_pylist()):
-        counts[np.frombuffer(a, np.int32)] = np.frombuffer(b, np.float32).reshape(-1, CLASSES)
+    for key, a, b in zip(*(sums_.column(x).to_pylist() for x in ("key", "a", "b"))):
+        found = np.frombuffer(b, np.float32).reshape(-1, WIDTH)
+        if key == DENSE:
+            own = model.dense()
+            model.set_dense(own + found.ravel()[: len(own)] / max(1.0, found.ravel()[len(own)]))
+        else:
+            i = np.frombuffer(a, np.int32) + key * BLOCK
+            counts[i] = found[:, :CLASSES]
+            model.e[i] += found[:, CLASSES:-1] / np.maximum(found[:, -1:], 1)
     if counts.any():
         model.distribute(counts)
+    model.ready()
     t = posted.filter("kind = 3").agg(F.sum("key"), F.sum("size")).first()
     model.ends = t[1] or 0
     model.words = (t[0] or 0) + model.ends
     return model
 
 
-def passed(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS) -> tuple[Model, DataFrame, int]:
+def passed(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, start_docs: int = START_DOCS) -> tuple[Model, DataFrame, int]:
     """The model that is learned from what `held_out` leaves, the table of the pass over all texts, and its number of
     hash buckets. That table has the texts in runs, so that they and their counts meet again without another pass."""
     spark = docs.sparkSession
-    begun = begin_fit(docs.filter(~held_out), id_col=id_col, text_col=text_col, vocabulary=vocabulary, sample_docs=sample_docs)
+    begun = begin_fit(docs.filter(~held_out), id_col=id_col, text_col=text_col, vocabulary=vocabulary, start_docs=start_docs)
     volume = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(12, math.ceil(volume / BUCKET_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS * 8)
@@ -496,14 +586,14 @@ def _scored(table: pa.Table, vocabulary: str, buckets: int, model, total: int, e
     return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=[x.split()[0] for x in _SCORED.split(", ")])
 
 
-def score(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def score(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, start_docs: int = START_DOCS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document; trained on those that
     `held_out` (a column of docs) leaves.
 
     Null counts as empty: a text of its end alone. Repeated rows are scored, and learned from, each. The end is a word
     of the base; n_known counts it if any document is in training.
     """
-    fitted, posted, buckets = passed(docs, held_out, id_col=id_col, text_col=text_col, vocabulary=vocabulary, sample_docs=sample_docs)
+    fitted, posted, buckets = passed(docs, held_out, id_col=id_col, text_col=text_col, vocabulary=vocabulary, start_docs=start_docs)
     total, ends = fitted.words, fitted.ends
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     counted = posted.filter("kind = 0").select("key", "blob", "a", "b").groupBy("key").applyInArrow(_total, _RUN)

@@ -230,13 +230,69 @@ def test_lm_distributions_rest_on_all_text(spark):
     """Every subword of the training texts has more than the prior, wherever in them it occurs."""
     names = ["red", "blue", "green", "black", "white", "brown", "orange", "yellow", "silver", "gold", "water", "stone"]
     texts = [f"the {w} " * 20 for w in names] + ["the " * 300 + "house " * 20 + "the " * 300 + "river " * 20]
-    m = lm_scoring.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sample_docs=1)
+    m = lm_scoring.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), start_docs=1)
     ids, at = lm_scoring.subwords(lm_scoring.VOCABULARY).encode([w.encode() for w in [*names, "house", "river", "purple"]])
     share = m.t[ids].sum(1)
     assert (share[: at[-2]] > 2 * share[at[-2]]).all()
     assert m.words == sum(len(t.split()) + 1 for t in texts)
 
 
+def test_lm_gradient_is_that_of_the_likelihood():
+    """Finite differences of the log-likelihood by some entries of every array."""
+    rng = np.random.default_rng(1)
+    target = rng.integers(0, 20, 130).astype(np.int32)
+    begin = np.array([0, 50, 130])
+    m = lm_scoring.train(target, begin, 21, epochs=1)
+    for name in ("e", "t", *m.DENSE):
+        setattr(m, name, getattr(m, name).astype(np.float64))
+    inputs, known, goal, real = m.shape(target, begin, *lm_scoring.windows(begin))
+    grad = m.ready().gradient()
+    expected = m.descend(inputs, known, goal, real, grad)
+    assert np.allclose(expected.sum(1), 1) and grad["n"] == 130
+
+    def loss():
+        m.ready().opening = m.t[0]
+        joint, total, _ = m.mixture(inputs, known, goal)
+        return -np.log(joint.sum(-1) / total)[real].sum()
+
+    for name, g in ({"e": grad["e"]} | m.by_projection(grad)).items():
+        values = getattr(m, name).ravel()
+        for i in rng.choice(len(values), min(6, len(values)), replace=False):
+            old, around = values[i], []
+            for sign in (1, -1):
+                values[i] = old + sign * 1e-4
+                m.distance = lambda: np.where((gap := np.arange(8, 32)[:, None] - np.arange(32)) >= 0, m.bias[np.maximum(gap, 0)], -np.inf)
+                around.append(loss())
+            values[i] = old
+            assert math.isclose((around[0] - around[1]) / 2e-4, g.ravel()[i], rel_tol=1e-3, abs_tol=1e-5), name
+
+
+def test_lm_learns_from_all_training_text(spark, sf):
+    """Every id of the training documents moves from where the start left it, and held-out text gets likelier by it."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(4)
+    held = lm_scoring._held_out("doc_id")
+    start = lm_scoring.begin_fit(d.filter(~held), start_docs=20)
+    m, _, _ = lm_scoring.passed(d, held, start_docs=20)
+    sw = lm_scoring.subwords(lm_scoring.VOCABULARY)
+    met = {"train": set(), "held": set()}
+    texts = {"train": [], "held": []}
+    for r in d.withColumn("held", held).collect():
+        kind = "held" if r.held else "train"
+        w = lm_scoring.Words(np.frombuffer((r.text or "").encode(), np.uint8), np.array([0, len((r.text or "").encode())]))
+        texts[kind].append(lm_scoring.spread(*sw.encode(w.spelled()), w.code, w.first, sw.end)[0])
+        met[kind] |= set(texts[kind][-1][:-1].tolist())
+    moved = (m.e != start.e).any(1)
+    ids = np.array(sorted(met["train"]))
+    assert moved[ids].all() and moved[sw.end]
+    assert not moved[sorted(set(range(sw.end)) - met["train"])].any()
+    assert all((getattr(m, n) != getattr(start, n)).any() for n in m.DENSE)
+    target, begin = np.concatenate(texts["held"]), np.r_[0, np.cumsum([len(x) for x in texts["held"]])]
+    after = m.score(target, begin, sw.opens).sum()
+    only = start.copy()
+    only.t = m.t  # the distributions of all text on the start's embeddings
+    assert after > only.score(target, begin, sw.opens).sum() > start.score(target, begin, sw.opens).sum()
+
+
 def test_lm_long_tokens_have_no_floor(spark):
     """A text without blanks that isn't in training is the less probable the longer it is; the rest are as before."""
     rng = np.random.default_rng(0)
