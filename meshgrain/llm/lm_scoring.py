@@ -311,29 +311,39 @@ def _add(into: np.ndarray, row: np.ndarray, value: np.ndarray) -> None:
 
 
 def train(target: np.ndarray, begin: np.ndarray, vocabulary: int, *, epochs: int = 6, batch: int = START_STEP, rate: float = START_RATE, seed: int = 5) -> Model:
-    """Fits a model to texts (targets as of spread())."""
-    model = Model(vocabulary, seed).ready()
+    """Fits a model to texts (targets as of spread()): among the ids that occur there, and the others are as they begin."""
+    model = Model(vocabulary, seed)
+    ids, target = np.unique(np.append(target, vocabulary - 1), return_inverse=True)  # the end stays the last
+    target = target[:-1].astype(np.int32)
+    small = Model(len(ids), seed)
+    small.e = model.e[ids]
     rng = np.random.default_rng(seed)
-    seen = np.bincount(target, minlength=vocabulary).astype(np.float64)
-    counts = seen[:, None] * rng.dirichlet(np.full(CLASSES, 0.3), vocabulary)
-    model.distribute(counts)
+    seen = np.bincount(target, minlength=len(ids)).astype(np.float64)
+    counts = seen[:, None] * rng.dirichlet(np.full(CLASSES, 0.3), len(ids))
+    small.ready().distribute(counts)
     first, text = windows(begin)
-    grad = model.gradient()
+    grad = small.gradient()
     fresh, since = np.zeros_like(counts), 0
     for epoch in range(epochs):
         order = rng.permutation(len(first))
         for i in range(0, len(order), batch):
             pick = order[i : i + batch]
-            inputs, known, t, real = model.shape(target, begin, first[pick], text[pick])
-            _add(fresh, t[real], model.descend(inputs, known, t, real, grad))
-            model.step(grad, rate * (1 - 0.8 * epoch / epochs))
+            inputs, known, t, real = small.shape(target, begin, first[pick], text[pick])
+            _add(fresh, t[real], small.descend(inputs, known, t, real, grad))
+            small.step(grad, rate * (1 - 0.8 * epoch / epochs))
             since += 1
             if since == 16:  # stepwise expectation: the older, the less it counts
                 keep = 0.85
                 counts = keep * counts + (1 - keep) * fresh * (seen.sum() / max(1.0, fresh.sum()))
-                model.distribute(counts)
+                small.distribute(counts)
                 fresh[:], since = 0, 0
-    return model
+    model.set_dense(small.dense())
+    model.e[ids], model.scales["e"][ids] = small.e, small.scales["e"]
+    model.scales |= {n: small.scales[n] for n in Model.DENSE}
+    whole = np.zeros((vocabulary, CLASSES))
+    whole[ids] = counts
+    model.distribute(whole)
+    return model.ready()
 
 
 class Descent:
