@@ -83,6 +83,34 @@ def test_slots_are_gapless(odd, empty):
     assert sharding.slots(sharding.assign(empty, "doc_id", sharding.planned()), "shard", ["doc_id"]).count() == 0
 
 
+def test_tree_query_against_draws_by_hand(spark, sf, docs):
+    """Every document goes down the tree by the least exponential draw, and slots have no gaps."""
+    import xxhash
+
+    got = QUERIES["op1_hash_tree"](spark, sf).toPandas().set_index("doc_id")
+    assert len(got) == len(docs) and set(got.law) == {"key"}
+
+    def least(key, level, weights):
+        first = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
+        draw = {c: -math.log(((xxhash.xxh64_intdigest(f"{level}{c}".encode(), first) >> 11) + 0.5) / (1 << 53)) / w for c, w in weights.items()}
+        return min(draw, key=draw.get)
+
+    def walk(key, tree):
+        weight = lambda level, of: collections.Counter({getattr(s, level): 0 for s in of}) + collections.Counter(getattr(s, level) for s in of)
+        for level in ("region", "rack", "shard"):
+            chosen = least(key, level, weight(level, tree))
+            tree = [s for s in tree if getattr(s, level) == chosen]
+        return chosen
+
+    tree = sharding.planned()
+    for i, text in zip(docs.doc_id, docs.text):
+        raw, r = (text or "").encode(), got.loc[i]
+        assert (r["size"], r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+        assert (r.shard, r.grown_shard) == (walk(i, tree), walk(i, sharding.grown(tree)))
+    for _, mine in got.groupby("shard"):
+        assert sorted(mine.slot) == list(range(len(mine)))
+
+
 # --- 2 media
 
 
