@@ -155,6 +155,42 @@ def test_media_query(spark, odd, empty):
     assert t.height * t.width * t.channels == 576 and t.tiles[0].dhash
 
 
+def test_media_query_against_bytes_and_areas_by_hand(spark, sf, docs):
+    """Stored bytes by the formats' definitions; hash bits by exact area means, but for those within rounding of a tie."""
+    import struct
+
+    got = QUERIES["op2_media_columns"](spark, sf).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    kinds, clear = set(), 0
+    for i, text in zip(docs.doc_id, docs.text):
+        raw, r = (text or "").encode(), got.loc[i]
+        data = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        kind, n = zlib.crc32(data) % 3, len(data) // 24
+        kinds.add(kind)
+        rgb = np.frombuffer(data, np.uint8).reshape(n, 8, 3).astype(int)
+        if kind == 0:
+            stored, light, shape = b"P5\n24 %d\n255\n" % n + data, rgb.reshape(n, 24), f"{n}x24x1"
+        else:
+            light, shape = (299 * rgb[..., 0] + 587 * rgb[..., 1] + 114 * rgb[..., 2]) // 1000, f"{n}x8x3"
+            stored = b"P6\n8 %d\n255\n" % n + data
+        if kind == 2:
+            rows = rgb[::-1, :, ::-1].astype(np.uint8).tobytes()
+            stored = b"BM" + struct.pack("<IIIIiiHHIIiiII", 54 + len(rows), 0, 54, 40, 8, n, 1, 24, 0, len(rows), 2835, 2835, 0, 0) + rows
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        cover = lambda parts, size: np.clip(np.minimum.outer(np.arange(1, parts + 1) * size, parts * np.arange(1, size + 1)) - np.maximum.outer(np.arange(parts) * size, parts * np.arange(size)), 0, None)
+        mean = 256 * (cover(8, n) @ light @ cover(9, light.shape[1]).T) / light.size
+        drop = (mean[:, :-1] - mean[:, 1:]).ravel()
+        found, bits = r.feature.split(":")
+        assert found == shape
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(bits), np.uint8)).astype(bool)
+        level = (abs(drop) < 1e-6) & (abs(mean[:, 1:] % 1 - 0.5) > 1e-3).ravel()  # equal neighbours, as in what is filled up
+        assert bits[drop > 1 + 1e-6].all() and not bits[(drop < -1e-6) | level].any()
+        clear += ((drop > 1 + 1e-6) | (drop < -1e-6) | level).mean()
+        if r.tiles == 1:
+            assert r.tile_hashes == hashlib.sha256(r.feature.split(":")[1].encode()).hexdigest()
+    assert kinds == {0, 1, 2} and clear > 0.9 * len(docs)
+
+
 # --- 3 decontamination
 
 
