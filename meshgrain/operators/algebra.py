@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import written
+from ..sources.dealing import dealt
 
 
 def transpose(a: DataFrame) -> DataFrame:
@@ -53,14 +54,14 @@ def scale_rows(a: DataFrame, d: DataFrame, inverse: bool = False) -> DataFrame:
     return a.join(s, "i").select("i", "j", (F.col("v") / F.col("s") if inverse else F.col("v") * F.col("s")).alias("v"))
 
 
-def combine(*terms: tuple[float, DataFrame]) -> DataFrame:
-    """The weighted sum of matrices or of vectors."""
+def combine(*terms: tuple[float, DataFrame], parts: int | None = None) -> DataFrame:
+    """The weighted sum of matrices or of vectors, dealt into `parts`, or as dealt() does."""
     keys = [c for c in terms[0][1].columns if c != "v"]
-    parts = [m.select(*keys, (F.lit(float(f)) * F.col("v")).alias("v")) for f, m in terms]
-    out = parts[0]
-    for p in parts[1:]:
+    weighted = [m.select(*keys, (F.lit(float(f)) * F.col("v")).alias("v")) for f, m in terms]
+    out = weighted[0]
+    for p in weighted[1:]:
         out = out.unionByName(p)
-    return out.groupBy(*keys).agg(F.sum("v").alias("v"))
+    return dealt(out, *keys, parts=parts).groupBy(*keys).agg(F.sum("v").alias("v"))
 
 
 def add_diagonal(a: DataFrame, d: DataFrame, fa: float = 1.0, fd: float = 1.0, inverse: bool = False) -> DataFrame:
@@ -176,11 +177,13 @@ def is_diagonal(a: DataFrame) -> bool:
     return a.filter("i <> j").isEmpty()
 
 
-def matvec(a: DataFrame, x: DataFrame, transposed: bool = False) -> DataFrame:
-    """A x, or A^T x. Rows without entries don't appear."""
+def matvec(a: DataFrame, x: DataFrame, transposed: bool = False, many: bool = False) -> DataFrame:
+    """A x, or A^T x. Rows without entries don't appear. With `many`, each row has few entries, so that sums before the shuffle
+    don't help."""
     k, to = ("i", "j") if transposed else ("j", "i")
     y = x.select(F.col("i").alias(k), F.col("v").alias("u"))
-    return a.join(y, k).groupBy(F.col(to).alias("i")).agg(F.sum(F.col("v") * F.col("u")).alias("v"))
+    terms = a.join(y, k).select(F.col(to).alias("i"), (F.col("v") * F.col("u")).alias("v"))
+    return (dealt(terms, "i") if many else terms).groupBy("i").agg(F.sum("v").alias("v"))
 
 
 def boolean_matvec(a: DataFrame, marked: DataFrame) -> DataFrame:

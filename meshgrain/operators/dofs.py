@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.dealing import dealt, shares
 from . import algebra
 from .algebra import numbered, offsets
 
@@ -26,7 +27,7 @@ def vertex_edofs(targets: DataFrame, traces: DataFrame, face_aggs: DataFrame) ->
 
 def interior(relation: DataFrame) -> DataFrame:
     """(agg, edof): where the tags add up to 2, a bubble or an edge seen from both sides."""
-    return relation.groupBy("agg", "edof").agg(F.sum("v").alias("s")).filter("s >= 1.5").select("agg", "edof")
+    return dealt(relation, "agg", "edof").groupBy("agg", "edof").agg(F.sum("v").alias("s")).filter("s >= 1.5").select("agg", "edof")
 
 
 def true_entities(shares: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def owned_numbers(owners: DataFrame) -> DataFrame:
 
 def essential(edof_attributes: DataFrame, attributes: DataFrame) -> DataFrame:
     """(i): the edofs (edof, attr) on an essential attribute (attr)."""
-    return edof_attributes.join(attributes.select("attr").distinct(), "attr", "left_semi").select(F.col("edof").alias("i")).distinct()
+    return edof_attributes.join(F.broadcast(attributes.select("attr").distinct()), "attr", "left_semi").select(F.col("edof").alias("i")).transform(dealt, "i").distinct()
 
 
 def averages(x: DataFrame, partition: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -62,8 +63,11 @@ def block_apply(m: DataFrame, d: DataFrame, x: DataFrame, fixed: DataFrame | Non
     """A block vector (block, i, v), 0 the fluxes and 1 the potentials, times [[M, D^T], [D, 0]]; rows of the fixed edofs (i)
     give the vector's own value."""
     s, u = algebra.block_vector(x, 0), algebra.block_vector(x, 1)
-    top = algebra.combine((1.0, algebra.matvec(m, s)), (1.0, algebra.matvec(d, u, transposed=True)))
+    n = shares(m, s)
+    own = algebra.matvec(dealt(m, "j", parts=n), dealt(s, "i", parts=n), many=True)
+    top = algebra.combine((1.0, own), (1.0, algebra.matvec(d, u, transposed=True, many=True)), parts=n)
     if fixed is not None:
-        kept = fixed.select("i").distinct().join(s, "i")
+        fixed = dealt(fixed.select("i"), "i", parts=n).distinct()
+        kept = fixed.join(dealt(s, "i", parts=n), "i")
         top = top.join(fixed, "i", "left_anti").unionByName(kept.select("i", "v"))
     return algebra.stacked(top, algebra.matvec(d, s))

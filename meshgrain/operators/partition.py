@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import Rounds, written
+from ..sources.dealing import dealt
 from .algebra import numbered
 
 
@@ -83,7 +84,7 @@ def cartesian(cells: DataFrame, blocks: tuple[int, int, int], size: tuple[int, i
 def weighted_adjacency(edges: DataFrame) -> DataFrame:
     """A diag(1 / M) A^T with A the unsigned incidence, M = 1 / w: what a partitioner with weights cuts."""
     e = edges.select(F.explode(F.array(*[F.struct(F.col(a).alias("i"), F.col(b).alias("j")) for a in ("v0", "v1") for b in ("v0", "v1")])).alias("t"), "w")
-    return e.select("t.*", "w").filter("i is not null and j is not null").groupBy("i", "j").agg(F.sum("w").alias("v"))
+    return dealt(e.select("t.*", "w").filter("i is not null and j is not null"), "i", "j").groupBy("i", "j").agg(F.sum("w").alias("v"))
 
 
 def without_vertices(edges: DataFrame, vertices: DataFrame, alone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.dealing import dealt
 from .algebra import numbered
 
 
@@ -36,7 +37,7 @@ def half_weights(edges: DataFrame) -> DataFrame:
 def laplacian(edges: DataFrame) -> DataFrame:
     """D M^-1 D^T as (i, j, v): each edge's four entries, added up."""
     e = edges.select(F.explode(F.array(*[F.struct(F.col(a).alias("i"), F.col(b).alias("j"), (s * F.col("w")).alias("v")) for a, b, s in (("v0", "v0", 1), ("v1", "v1", 1), ("v0", "v1", -1), ("v1", "v0", -1))])).alias("t"))
-    return e.select("t.*").filter("i is not null and j is not null").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return dealt(e.select("t.*").filter("i is not null and j is not null"), "i", "j").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def edge_aggregates(edges: DataFrame, partition: DataFrame) -> DataFrame:
 def aggregate_edges(edges: DataFrame, partition: DataFrame) -> DataFrame:
     """(agg, edge, ends): the edges of each aggregate; ends = 2 for an edge inside it."""
     e = edge_aggregates(edges, partition).select("edge", F.explode(F.array("a", "b")).alias("agg")).filter("agg is not null")
-    return e.groupBy("agg", "edge").agg(F.count(F.lit(1)).alias("ends"))
+    return dealt(e, "agg", "edge").groupBy("agg", "edge").agg(F.count(F.lit(1)).alias("ends"))
 
 
 def interior_edges(edges: DataFrame, partition: DataFrame) -> DataFrame:
@@ -85,8 +86,8 @@ def boundary_faces(edge_attributes: DataFrame, edges: DataFrame, partition: Data
 
 
 def marked_edges(edge_attributes: DataFrame, essential: DataFrame) -> DataFrame:
-    """(edge): the edges on a boundary attribute (attr) that is marked."""
-    return edge_attributes.join(essential.select("attr"), "attr", "left_semi").select("edge").distinct()
+    """(edge): the edges on a boundary attribute (attr) that is marked. Attributes are few, so that edges aren't dealt by them."""
+    return edge_attributes.join(F.broadcast(essential.select("attr")), "attr", "left_semi").select("edge").transform(dealt, "edge").distinct()
 
 
 def coarse_graph(edges: DataFrame, partition: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ def extended_aggregates(edges: DataFrame, partition: DataFrame) -> DataFrame:
     """(agg, vertex): each aggregate with the neighbours of its vertices."""
     e = edge_aggregates(edges, partition).filter("v1 is not null")
     out = e.select(F.col("a").alias("agg"), F.col("v1").alias("vertex")).unionByName(e.select(F.col("b").alias("agg"), F.col("v0").alias("vertex")))
-    return out.unionByName(partition.select("agg", "vertex")).distinct()
+    return dealt(out.unionByName(partition.select("agg", "vertex")), "agg", "vertex").distinct()
 
 
 def compose(fine: DataFrame, coarse: DataFrame) -> DataFrame:

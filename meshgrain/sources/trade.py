@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dealing import dealt, shares
+
 #: Above any customer key.
 SUPPLIERS = 1 << 31
 
@@ -20,7 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    pairs = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    n = shares(orders, items)
+    both = dealt(orders, "o_orderkey", parts=n).join(dealt(items, "l_orderkey", parts=n), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = dealt(both, "o_custkey", "l_suppkey", parts=n).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("w"))
     c, s = F.col("o_custkey").cast("long"), F.col("l_suppkey").cast("long")
     return pairs.select((c * SUPPLIERS + s).alias("edge"), c.alias("v0"), (s + SUPPLIERS).alias("v1"), "w")
 
