@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, grown
 from .shared import written
 from .textio import BATCH_ROWS, LOWER, NOT_SPACE, Rolling, flat, mix, runs, sums, words
 
@@ -306,11 +306,9 @@ def _labelled(sigs: DataFrame, links: DataFrame) -> DataFrame:
     return sigs.join(comps, "sig", "left").select("sig", F.coalesce("component", "sig").alias("comp"))
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has (id as string, n, sig) for every document, links the verified (a, b) between
-    signatures that make up the components. Equal sets share a signature; a set of 0 shingles links with nothing.
-    Links inside a component that follow from others aren't all listed.
-    """
+def _joined(docs: DataFrame, *, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, links, own, more): join()'s members; the links of step 2, and own (sig, comp), the components of every set
+    that may have a partner by these; and the links of step 4."""
     table = sets(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
     found = written(table.filter("shingle is not null").dropDuplicates(["sig"]).select("sig", "n", "shingle"), "survivors")
     salted = [_minimum("shingle", k) for k in range(MINIMA)]
@@ -328,8 +326,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     pairs_of = keyed.join(apart, ["k", "min"]).withColumn("block", F.pmod(F.xxhash64("sig"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     pairs_of = pairs_of.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     second = pairs_of.select("sig", "comp", "k", "min", "lo", "hi", "block").join(found, "sig").groupBy("k", "min", "lo", "hi").applyInArrow(lambda t: _compare(t.select(["sig", "comp", "n", "block", "shingle"]), percent), "a binary, b binary")
-    links = written(first.unionByName(second.distinct()), "leads")
-    placed = found.join(_labelled(found.select("sig"), links), "sig").join(minima.select("sig", F.array(*[f"m{k}" for k in range(MINIMA)]).alias("met")), "sig")
+    second = written(second.distinct(), "leads")
+    own = written(grown(own, "sig", "comp", second), "components")
+    placed = found.join(own, "sig").join(minima.select("sig", F.array(*[f"m{k}" for k in range(MINIMA)]).alias("met")), "sig")
     # of n shingles the first n - ceil(n * percent / 100) + 1 by frequency; the unshared ones come before all
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     alone = F.col("n") - F.size("shingle")
@@ -337,8 +336,17 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     lists = lists.select("sig", "comp", "met", "n", (F.col("p") + F.col("alone")).cast("long").alias("pos"), "s")
     mixed = lists.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("s")
     pairs = written(lists.join(mixed, "s").groupBy("s").applyInArrow(lambda t: _scan(t.select(["sig", "comp", "met", "n", "pos"]), percent), "a binary, b binary").distinct(), "pairs")
-    more = _verify(pairs, found, percent)
-    return table.select("id", "n", "sig"), written(links.unionByName(more), "links")
+    more = written(_verify(pairs, found, percent), "links")
+    return table.select("id", "n", "sig"), first.unionByName(second), own, more
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members has (id as string, n, sig) for every document, links the verified (a, b) between
+    signatures that make up the components. Equal sets share a signature; a set of 0 shingles links with nothing.
+    Links inside a component that follow from others aren't all listed.
+    """
+    members, links, _, more = _joined(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
+    return members, links.unionByName(more)
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -347,10 +355,10 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     Ids are numbers. Null and empty texts have 0 shingles and stand alone, each under its own id; a null id takes
     part in links and is never the least unless it stands alone. Repeated rows come out as often as they go in.
     """
-    members, links = join(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
+    members, _, own, more = _joined(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
     kind = docs.schema[id_col].dataType.simpleString()
     m = members.select(F.col("id").cast(kind).alias("id"), "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
-    comps = components(links).select(F.col("vertex").alias("sig"), "component")
+    comps = grown(own, "sig", "comp", more).select("sig", F.col("comp").alias("component"))
     classes = m.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("own"))
     classes = classes.join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = classes.groupBy("component").agg(F.min("own").alias("least"))

@@ -495,6 +495,20 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, 50: 50, 60: 50, 55: 50}
 
 
+def test_components_that_are_stars_take_no_round_and_grow_by_the_new_links_alone(spark):
+    star = spark.createDataFrame([(5, 1), (1, 7), (9, 4), (4, 4), (None, 2)], "a long, b long")
+    assert {r.vertex: r.component for r in components.components(star, rounds=0).collect()} == {1: 1, 5: 1, 7: 1, 4: 4, 9: 4}
+    rng = np.random.default_rng(8)
+    old, new = (rng.integers(0, 300, (n, 2)).tolist() for n in (150, 60))
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    every = spark.range(300).toDF("v")
+    label = lambda links: every.join(components.components(table(links)).withColumnRenamed("vertex", "v"), "v", "left").selectExpr("v", "coalesce(component, v) c")
+    want = {r.v: r.c for r in label(old + new).collect()}
+    assert {r.v: r.c for r in components.grown(label(old), "v", "c", table(new)).collect()} == want
+    assert {r.v: r.c for r in components.grown(label(old), "v", "c", table(old[:20])).collect()} == {r.v: r.c for r in label(old).collect()}
+
+
+
 # --- 8 suffix arrays
 
 
