@@ -51,6 +51,8 @@ START_STEP, STEP, START_RATE, RATE = 256, 4096, 0.01, 0.003
 RUN, BATCH = 8 << 20, 512
 #: Text bytes for each bucket of words.
 BUCKET_BYTES = 8 << 20
+#: The largest logarithm of a weight or a gate.
+CEILING = 60
 _U = np.uint64
 
 
@@ -160,6 +162,10 @@ class Model:
         self.to_qr = np.concatenate([self.q * np.float32(DIM**-0.5), self.r], 1)
         self.kv = np.concatenate([self.e @ self.to_kv, np.ones((len(self.e), 1), self.e.dtype)], 1)
         self.qr = self.e @ self.to_qr
+        longest = lambda x: math.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0))
+        # whether a weight's or a gate's logarithm can be above CEILING at all
+        self.steep = longest(self.qr[:, :DIM]) * longest(self.kv[:, :DIM]) + self.bias.max() > CEILING
+        self.steep_gate = (np.abs(self.g).sum(0) + self.gb).max() > CEILING
         return self
 
     def shape(self, target: np.ndarray, begin: np.ndarray, first: np.ndarray, text: np.ndarray):
@@ -176,34 +182,36 @@ class Model:
         return np.where(gap >= 0, self.bias[np.maximum(gap, 0)], -np.inf).astype(np.float32)
 
     def attend(self, kv, qr, known):
-        """The attention's weights, before they are divided by their sums; one over these; and the states."""
+        """The attention's weights, before they are divided by their sums; one over these; the values' means; and the states."""
         a = qr[..., :DIM] @ kv[..., :DIM].transpose(0, 2, 1)
         a += self.distance()
-        np.minimum(a, 60, out=a)
+        if self.steep:
+            np.minimum(a, CEILING, out=a)
         np.exp(a, out=a)
         cut = np.flatnonzero(~known.all(1))
         a[cut] *= known[cut, None, :]
         c = a @ kv[..., DIM:]  # the last column adds the weights up
         share = 1 / np.maximum(c[..., DIM:], 1e-30)
-        h = c[..., :DIM] * share
-        h += qr[..., DIM:]
+        mean = c[..., :DIM] * share
+        h = mean + qr[..., DIM:]
         np.tanh(h, out=h)
-        return a, share, h
+        return a, share, mean, h
 
     def gate(self, h):
         """The gate of each state, before it is divided by its sum."""
         z = h.reshape(-1, DIM) @ self.g
         z += self.gb
-        np.minimum(z, 60, out=z)
+        if self.steep_gate:
+            np.minimum(z, CEILING, out=z)
         return np.exp(z, out=z)
 
     def mixture(self, inputs, known, target):
         """Of each target the gate times its probability in each class; the gate's sum, by which both it and the next are to
         be divided; and the gate's part of the classes' probabilities that a word opens."""
-        z = self.gate(self.attend(self.kv[inputs], self.qr[inputs[:, CONTEXT - STRIDE :]], known)[2])
+        z = self.gate(self.attend(self.kv.take(inputs, 0), self.qr.take(inputs[:, CONTEXT - STRIDE :], 0), known)[-1])
         total = z @ np.ones(CLASSES, np.float32)
         opens = z @ self.opening
-        z *= self.t[target.ravel()]
+        z *= self.t.take(target.ravel(), 0)
         return z.reshape(*target.shape, CLASSES), total.reshape(target.shape), opens.reshape(target.shape)
 
     def score(self, target: np.ndarray, begin: np.ndarray, opens: np.ndarray, batch: int = BATCH) -> np.ndarray:
@@ -236,37 +244,45 @@ class Model:
 
     def descend(self, inputs, known, target, real, into: dict) -> np.ndarray:
         """Adds the gradient of minus the real targets' log-likelihood to `into`, and gives their expected classes."""
-        kv, qr = self.kv[inputs], self.qr[inputs[:, CONTEXT - STRIDE :]]
-        a, share, h = self.attend(kv, qr, known)
+        kv, qr = self.kv.take(inputs, 0), self.qr.take(inputs[:, CONTEXT - STRIDE :], 0)
+        a, share, mean, h = self.attend(kv, qr, known)
         z = self.gate(h)
-        one = np.ones((CLASSES, 1), np.float32)
-        m = z * self.t[target.ravel()]
-        m /= np.maximum(m @ one, 1e-30)
-        z /= z @ one
+        one = np.ones((CLASSES, 1), z.dtype)
+        m = self.t.take(target.ravel(), 0)
+        m *= z
+        m *= 1 / np.maximum(m @ one, 1e-30)
+        z *= 1 / (z @ one)
         z -= m
-        z[~real.ravel()] = 0
+        z[np.flatnonzero(~real)] = 0
         flat_h = h.reshape(-1, DIM)
         into["g"] += flat_h.T @ z
-        into["gb"] += z.sum(0)
-        du = (z @ self.g.T) * (1 - flat_h * flat_h)
-        du = du.reshape(h.shape)
-        value = kv[..., DIM : 2 * DIM]
-        du_share = du * share
-        ds = du_share @ value.transpose(0, 2, 1)
-        ds -= (du_share * (a @ value * share)).sum(-1, keepdims=True)
+        into["gb"] += np.ones(len(z), z.dtype) @ z
+        slope = flat_h * flat_h
+        np.subtract(1, slope, out=slope)
+        du = z @ self.g.T
+        du *= slope
+        # by the sums that the weights are divided by, in the column of the values' ones
+        dc = np.empty((*h.shape[:2], DIM + 1), du.dtype)
+        np.multiply(du.reshape(h.shape), share, out=dc[..., :DIM])
+        mean *= dc[..., :DIM]
+        dc[..., DIM] = (mean.reshape(-1, DIM) @ np.full(DIM, -1, du.dtype)).reshape(h.shape[:2])
+        ds = dc @ kv[..., DIM:].transpose(0, 2, 1)
         ds *= a
         gap = np.arange(CONTEXT - STRIDE, CONTEXT)[:, None] - np.arange(CONTEXT)
         into["bias"] += np.bincount(np.maximum(gap, 0).ravel(), np.where(gap >= 0, ds.sum(0), 0).ravel(), CONTEXT)
-        dkv = np.concatenate([ds.transpose(0, 2, 1) @ qr[..., :DIM], a.transpose(0, 2, 1) @ du_share], -1)
-        dqr = np.concatenate([ds @ kv[..., :DIM], du], -1)
-        x = self.e[inputs]
+        dkv, dqr = np.empty((*inputs.shape, 2 * DIM), du.dtype), np.empty((*h.shape[:2], 2 * DIM), du.dtype)
+        np.matmul(ds.transpose(0, 2, 1), qr[..., :DIM], out=dkv[..., :DIM])
+        np.matmul(a.transpose(0, 2, 1), dc[..., :DIM], out=dkv[..., DIM:])
+        np.matmul(ds, kv[..., :DIM], out=dqr[..., :DIM])
+        dqr[..., DIM:] = du.reshape(h.shape)
+        x = self.e.take(inputs, 0)
         into["kv"] += x.reshape(-1, DIM).T @ dkv.reshape(-1, 2 * DIM)
         into["qr"] += x[:, CONTEXT - STRIDE :].reshape(-1, DIM).T @ dqr.reshape(-1, 2 * DIM)
-        dx = dkv @ self.to_kv.T
-        dx[:, CONTEXT - STRIDE :] += dqr @ self.to_qr.T
+        dx = (dkv.reshape(-1, 2 * DIM) @ self.to_kv.T).reshape(x.shape)
+        dx[:, CONTEXT - STRIDE :] += (dqr.reshape(-1, 2 * DIM) @ self.to_qr.T).reshape(*h.shape)
         _add(into["e"], inputs.ravel(), dx.reshape(-1, DIM))
         into["n"] += int(real.sum())
-        return m[real.ravel()]
+        return m.take(np.flatnonzero(real), 0)
 
     def gradient(self) -> dict:
         """An empty one, for descend()."""
@@ -307,7 +323,7 @@ def _add(into: np.ndarray, row: np.ndarray, value: np.ndarray) -> None:
     order = np.argsort(row, kind="stable")
     r = row[order]
     head = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    into[r[head]] += np.add.reduceat(value[order], head, axis=0)
+    into[r[head]] += np.add.reduceat(value.take(order, 0), head, axis=0)
 
 
 def train(target: np.ndarray, begin: np.ndarray, vocabulary: int, *, epochs: int = 6, batch: int = START_STEP, rate: float = START_RATE, seed: int = 5) -> Model:
@@ -393,6 +409,28 @@ def _packed(arrays: dict) -> bytes:
     return out.getvalue()
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(x.max(initial=0)))
+
+
+def _coded(w: Words, ids: np.ndarray, at: np.ndarray, held: np.ndarray, buckets: int) -> bytes:
+    """What a run of texts is scored by: each word's place among the distinct ones, with equal bytes of these beside each other; their subwords
+    and hash buckets; each text's first word, and who is held out."""
+    code = _narrow(w.code)
+    planes = code.view(np.uint8).reshape(len(code), code.itemsize).T
+    return _packed({"code": planes, "ids": _narrow(ids), "count": _narrow(np.diff(at)), "bucket": _narrow(w.hash % _U(buckets)), "first": w.first, "held": held})
+
+
+def _decoded(raw: bytes) -> tuple[np.ndarray, ...]:
+    """code, ids, at, bucket, first, held: see _coded()."""
+    import io
+
+    x = np.load(io.BytesIO(raw))
+    planes = np.ascontiguousarray(x["code"].T)
+    code = planes.view(f"u{planes.shape[1]}").ravel().astype(np.int64)
+    return code, x["ids"].astype(np.int32), np.append(0, np.cumsum(x["count"], dtype=np.int64)), x["bucket"].astype(_U), x["first"], x["held"]
+
+
 def _held_out(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), F.lit(7)) == 2
 
@@ -422,7 +460,7 @@ def begin_fit(training: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 #: What a pass over the texts gives. kind 0: a run's distinct words in a hash bucket `key` (a: hashes, b: their numbers in
-#: training documents); 1: the run itself (a: texts, compressed, of `size` bytes; b: offsets and who is held out);
+#: training documents); 1: the run itself (a: as _coded(), compressed, of `size` bytes), from which it is scored without being cut into words again;
 #: 2: of a block `key` of ids what a task learned (a: places in the block, b: WIDTH numbers for each); block DENSE has the
 #: changes of projections, bias and gate, WIDTH to a row; 3: numbers of words and texts in training documents (b).
 _POSTED = "kind int, key long, blob long, a binary, b binary, size long, ids array<string>"
@@ -450,7 +488,8 @@ def _post(batches, vocabulary: str, buckets: int, begun):
             data, at = flat(part.column("body"))
             w = Words(data, at)
             held = np.array(part.column("held_out").to_pylist(), bool)
-            target, begin = spread(*sw.encode(w.spelled()), w.code, w.first, sw.end)
+            ids, at = sw.encode(w.spelled())
+            target, begin = spread(ids, at, w.code, w.first, sw.end)
             descent = descent or Descent(begun.value)
             descent.learn(target, begin, ~held)
             in_training = np.repeat(~held, np.diff(w.first))
@@ -458,8 +497,8 @@ def _post(batches, vocabulary: str, buckets: int, begun):
             n = np.bincount(w.code[in_training], minlength=len(w.hash))
             bucket, order = _dealt(w.hash, buckets)
             heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-            raw = np.ascontiguousarray(data).tobytes()
-            rows = [(1, None, blob, pa.compress(raw, "zstd", asbytes=True), _packed({"at": at, "held": held}), len(raw), part.column("id").to_pylist())]
+            raw = _coded(w, ids, at, held, buckets)
+            rows = [(1, None, blob, pa.compress(raw, "zstd", asbytes=True), None, len(raw), part.column("id").to_pylist())]
             for a, z in zip(heads, np.append(heads[1:], len(bucket)) if len(heads) else []):
                 rows.append((0, int(bucket[a]), blob, w.hash[order[a:z]].tobytes(), n[order[a:z]].astype(np.uint32).tobytes(), None, None))
             yield _table(rows, _POSTED)
@@ -520,7 +559,7 @@ def finish_fit(model: Model, posted: DataFrame) -> Model:
 
 def passed(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, start_docs: int = START_DOCS) -> tuple[Model, DataFrame, int]:
     """The model that is learned from what `held_out` leaves, the table of the pass over all texts, and its number of
-    hash buckets. That table has the texts in runs, so that they and their counts meet again without another pass."""
+    hash buckets. That table has the texts in runs, as words' places, so that they and their counts meet again without another pass."""
     spark = docs.sparkSession
     begun = begin_fit(docs.filter(~held_out), id_col=id_col, text_col=text_col, vocabulary=vocabulary, start_docs=start_docs)
     volume = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -563,35 +602,30 @@ def _scored(table: pa.Table, vocabulary: str, buckets: int, model, total: int, e
     """A run's documents, with the logarithms of their words' counts, and of their mixed probabilities, added up; total
     and ends: words and texts of the training documents. `train` and `distinct` are the run's
     part of the totals, on its first document."""
-    import io
-
     run = next(r for r in table.to_pylist() if r["ids"] is not None)
-    meta = np.load(io.BytesIO(run["b"]))
-    at, held, ids = meta["at"], meta["held"], run["ids"]
-    data = np.frombuffer(pa.decompress(run["a"], run["size"], "zstd", asbytes=True) if run["size"] else b"", np.uint8)
-    w = Words(data, at)
-    sw = subwords(vocabulary)
-    target, begin = spread(*sw.encode(w.spelled()), w.code, w.first, sw.end)
+    code, subs, at, bucket, first, held = _decoded(pa.decompress(run["a"], run["size"], "zstd", asbytes=True))
+    ids, sw = run["ids"], subwords(vocabulary)
+    target, begin = spread(subs, at, code, first, sw.end)
     score = model.value.score(target, begin, sw.opens)
-    bucket, order = _dealt(w.hash, buckets)
-    c, distinct = np.zeros(len(w.hash), np.int64), 0
+    bucket, order = _dealt(bucket, buckets)
+    c, distinct = np.zeros(len(order), np.int64), 0
     for key, count, share, names in zip(*(table.column(x).to_pylist() for x in ("key", "a", "size", "ids"))):
         if names is None:
             lo, hi = np.searchsorted(bucket, [key, key + 1])
             c[order[lo:hi]] = np.frombuffer(count, np.uint32 if len(count) == 4 * (hi - lo) else np.int64)
             distinct += share
-    c = c[w.code]
-    n = np.diff(w.first)
+    c = c[code]
+    n = np.diff(first)
     # words and ends stand one after the other in `score`
     own = np.repeat(np.arange(len(n)), n)
-    mixed = _mixed(c, total, score[np.arange(len(w.code)) + own])
-    ends_at = w.first[1:] + np.arange(len(n))
-    score = sums(mixed, w.first) + _mixed(np.full(len(n), ends), total, score[ends_at])
+    mixed = _mixed(c, total, score[np.arange(len(code)) + own])
+    ends_at = first[1:] + np.arange(len(n))
+    score = sums(mixed, first) + _mixed(np.full(len(n), ends), total, score[ends_at])
     train = np.zeros(len(n), np.int64)
     share = np.zeros(len(n), np.int64)
     if len(n):
         train[0], share[0] = (n + 1)[~held].sum(), distinct
-    cols = (ids, held, n + 1, sums((c > 0).astype(np.int64), w.first), sums(np.log10(c + 1.0), w.first), score, train, share)
+    cols = (ids, held, n + 1, sums((c > 0).astype(np.int64), first), sums(np.log10(c + 1.0), first), score, train, share)
     kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
     return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=[x.split()[0] for x in _SCORED.split(", ")])
 

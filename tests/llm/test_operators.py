@@ -357,6 +357,40 @@ def test_lm_learns_from_all_training_text(spark, sf):
     assert after > only.score(target, begin, sw.opens).sum() > start.score(target, begin, sw.opens).sum()
 
 
+def test_lm_runs_are_scored_without_cutting_texts_again(spark, odd, monkeypatch):
+    """The table of the pass is enough for the scores; its runs give back words and subwords, also of no words and of many to a word."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    sw = lm_scoring.subwords(lm_scoring.VOCABULARY)
+    for texts in ([None, "", "  "], ["a " * 300, "b" * 3000 + " a", None], [" ".join(f"w{i}" for i in range(70000))]):
+        w = lm_scoring.Words(*textio.flat(pa.array(texts, pa.string())))
+        ids, at = sw.encode(w.spelled())
+        held = np.array([False] * len(texts))
+        code, subs, places, bucket, first, out = lm_scoring._decoded(lm_scoring._coded(w, ids, at, held, 300))
+        for got, want in ((code, w.code), (subs, ids), (places, at), (bucket, w.hash % np.uint64(300)), (first, w.first), (out, held)):
+            assert np.array_equal(got, want)
+    d = odd.select("doc_id", "text").repartition(1)
+    m, posted, buckets = lm_scoring.passed(d, F.lit(False))
+    rows = posted.filter("kind = 1").select("blob", F.lit(None).cast("long").alias("key"), "a", "b", "size", "ids").toArrow()
+    counts = posted.filter("kind = 0").groupBy("key").applyInArrow(lm_scoring._total, lm_scoring._RUN).toArrow()
+    monkeypatch.setattr(lm_scoring, "Words", None)
+    got = lm_scoring._scored(pa.concat_tables([rows.cast(counts.schema), counts]), lm_scoring.VOCABULARY, buckets, SimpleNamespace(value=m), m.words, m.ends)
+    assert got.num_rows == 12 and np.isfinite(got.column("score").to_numpy()).all()
+
+
+def test_lm_ceilings_are_kept_where_they_can_be_reached():
+    """Weights and gates of any size give finite probabilities; where none can reach the ceiling, it isn't applied."""
+    target, begin = np.arange(40, dtype=np.int32) % 20, np.array([0, 40])
+    m = lm_scoring.train(target, begin, 21, epochs=1)
+    assert not m.steep and not m.steep_gate
+    m.e, m.g = m.e * 100, m.g * 1000
+    assert m.ready().steep and m.steep_gate
+    assert np.isfinite(m.score(target, begin, np.ones(21, bool))).all()
+
+
 def test_lm_long_tokens_have_no_floor(spark):
     """A text without blanks that isn't in training is the less probable the longer it is; the rest are as before."""
     rng = np.random.default_rng(0)
