@@ -86,3 +86,41 @@ def test_what_needs_dense_problems_raises(spark):
     part = spark.createDataFrame([(v, v // 5) for v in range(9)], "vertex long, agg long")
     with pytest.raises(ValueError, match="dual traces"):
         spectral.vertex_targets(system, part, spectral.Parameters(dual=True, dense_entries=0))
+
+
+@pytest.mark.parametrize("tolerance", [1.0, 0.05])
+def test_targets_in_a_task_are_those_over_tables(spark, monkeypatch, tolerance):
+    """An aggregate's eigenvectors over its entries of D, a task each."""
+    edges = grid(6, 5)
+    system = spectral.fine_system(spark.createDataFrame(edges, "edge long, v0 long, v1 long, w double"), spark.range(36).withColumnRenamed("id", "vertex"))
+    part = spark.createDataFrame([(v, int(v % 6 > 1)) for v in range(36)], "vertex long, agg long")
+    found, calls, solve = [], [], eigen.lowest
+    monkeypatch.setattr(eigen, "lowest", lambda *a, **k: calls.append(1) or solve(*a, **k))
+    for most in (0, 1 << 21):
+        par = spectral.Parameters(spectral_tolerance=tolerance, max_vectors=4, max_traces=4, dense_entries=0, task_edofs=most, eigen_tolerance=1e-9)
+        out = {}
+        for r in spectral.vertex_targets(system, part, par).collect():
+            out.setdefault((r.agg, r.kind), {}).setdefault(r.k, np.zeros(len(edges)))[r.i] = r.v
+        found.append({key: np.column_stack([c[k] for k in sorted(c)]) for key, c in out.items()})
+        assert bool(calls) == (most == 0)
+        calls.clear()
+    assert found[0].keys() == found[1].keys()
+    for key, x in found[0].items():
+        y = found[1][key]
+        assert x.shape == y.shape and np.abs(x @ np.linalg.pinv(x) - y @ np.linalg.pinv(y)).max() < 1e-5
+
+
+@pytest.mark.parametrize("most", [0, 1 << 21])
+def test_coarse_spaces_keep_the_constant(spark, most):
+    """However loosely eigenvectors converge, with weights of ten powers of ten."""
+    edges = [(k, a, b, 10.0 ** (k % 11 - 5)) for k, a, b, _ in grid(6, 5)]
+    system = spectral.fine_system(spark.createDataFrame(edges, "edge long, v0 long, v1 long, w double"), spark.range(36).withColumnRenamed("id", "vertex"))
+    part = spark.createDataFrame([(v, int(v % 6 > 1)) for v in range(36)], "vertex long, agg long")
+    par = spectral.Parameters(spectral_tolerance=1.0, max_vectors=3, max_traces=3, dense_entries=0, task_edofs=most, eigen_tolerance=1e-4)
+    u = {}
+    for r in spectral.vertex_targets(system, part, par).filter("kind = 'u'").collect():
+        u.setdefault(r.agg, {}).setdefault(r.k, {})[r.i] = r.v
+    for columns in u.values():
+        first = np.array(list(columns[0].values()))
+        assert np.abs(first * np.sqrt(len(first)) - 1).max() < 1e-13
+        assert all(abs(sum(c.values())) < 1e-13 for k, c in columns.items() if k)
