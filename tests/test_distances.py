@@ -36,3 +36,13 @@ def test_pairs_of_blocks_are_the_tasks(spark):
     v = spark.createDataFrame([(1, 0, [1.0]), (2, 0, [3.0])], "vec_id long, label int, embedding array<float>")
     plan = algebra.squared_distances(v, F.col("label"), "vec_id", "embedding")._jdf.queryExecution().toString()
     assert "FlatMapGroupsInArrow" in plan
+
+
+def test_a_block_is_shuffled_once(spark, monkeypatch):
+    """However many others it is compared with."""
+    monkeypatch.setattr(algebra, "BLOCK", 2)
+    v = spark.range(40).select(F.col("id").alias("vec_id"), F.lit(0).alias("label"), F.array(F.col("id").cast("float")).alias("embedding"))
+    out = algebra.squared_distances(v, F.col("label"), "vec_id", "embedding")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
+    assert {(r.k, r.l, r.v) for r in out.collect()} == {(k, m, float(k - m) ** 2) for k in range(40) for m in range(k)}
