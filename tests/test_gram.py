@@ -41,3 +41,10 @@ def test_a_term_is_shuffled_as_few_bytes(spark):
     lists = a.groupBy("i").agg(F.collect_list("j").alias("js"), F.collect_list("v").alias("ws")).select("js", "ws", F.col("js").alias("ks"), F.col("ws").alias("vs"))
     bytes_ = sum(len(b) for r in lists.toArrow().to_batches() for t in algebra.terms.spread([r], 4) for b in t["blob"].to_pylist())
     assert bytes_ < 3 * 500 * 40 * 41 / 2
+
+
+def test_weights_are_sent_by_number(spark):
+    """As many bytes with five weights as without, but for one an entry."""
+    a = spark.range(40 * 500).select(F.expr("id % 500").alias("i"), F.pmod(F.xxhash64("id"), F.lit(10000)).alias("j"), F.lit(1.0).alias("v"))
+    lists = a.groupBy("i").agg(F.collect_list("j").alias("js"), F.collect_list(F.col("i") % 5 + F.col("v")).alias("ws"), F.collect_list("v").alias("vs")).select("js", "ws", F.col("js").alias("ks"), "vs")
+    assert sum(len(b) for r in lists.toArrow().to_batches() for t in algebra.terms.spread([r], 4) for b in t["blob"].to_pylist()) < 3 * 500 * 40 * 41 / 2
